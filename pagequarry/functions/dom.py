@@ -7,6 +7,7 @@ markup several times over.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -92,19 +93,23 @@ def page_dom(
 
 
 def _nfkc(texts: pa.Array) -> pa.Array:
+    """NFKC form of a text (or text list) array. Only texts beyond ASCII reach Python."""
     if pa.types.is_list(texts.type):
         lengths = pc.fill_null(pc.list_value_length(texts), 0)
         ends = pc.cumulative_sum(lengths).cast(pa.int32())
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        values = pc.utf8_normalize(texts.flatten(), form="NFKC")
-        return pa.ListArray.from_arrays(offsets, values, mask=texts.is_null())
-    return pc.utf8_normalize(texts, form="NFKC")
+        return pa.ListArray.from_arrays(offsets, _nfkc(texts.flatten()), mask=texts.is_null())
+    beyond = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)
+    if not pc.any(beyond).as_py():
+        return texts
+    normal = [unicodedata.normalize("NFKC", t) for t in texts.filter(beyond).to_pylist()]
+    return pc.replace_with_mask(texts, beyond, pa.array(normal, texts.type))
 
 
 def normalize(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``table`` with the given text (or text list) columns in NFKC form.
 
-    Spark has no such function; Arrow's works on whole columns, without per-row Python.
+    Spark has no such function, and the one of Arrow decomposes without composing.
     """
     names, chosen = table.columns, set(columns)
 

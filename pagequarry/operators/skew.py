@@ -1,0 +1,51 @@
+"""Joins that stay even when one key holds much of the left table."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot when it has more than this share of all rows, so there are fewer than
+# HOT_ONE_IN hot keys, whatever the size of the table.
+HOT_ONE_IN = 1000
+SALTS = 256
+
+
+def hot_keys(table: DataFrame, key: str) -> DataFrame:
+    """Keys with more than one row in ``HOT_ONE_IN``: at most ``HOT_ONE_IN - 1`` of them.
+
+    Counts are combined on the map side; only one row per key and map task is shuffled.
+    """
+    counts = table.groupBy(key).agg(F.count("*").alias("rows"))
+    total = table.agg(F.count("*").alias("rows"))
+    return (
+        counts.filter(F.col("rows") * HOT_ONE_IN > total.scalar())
+        .filter(F.col(key).isNotNull())
+        .select(key, F.lit(True).alias("hot"))
+    )
+
+
+def even_join(
+    left: DataFrame, right: DataFrame, key: str, how: str, spread_by: Sequence[str]
+) -> DataFrame:
+    """``left.join(right, key, how)`` for a ``right`` with one row per key.
+
+    Rows of hot left keys are dealt over ``SALTS`` groups by the hash of their ``spread_by``
+    columns (an id, say: fixed per row, so a repeated task deals them out alike), and the
+    matching right rows, fewer than ``HOT_ONE_IN``, are copied to each group. The table of
+    hot keys is broadcast: its size is bounded by ``hot_keys``.
+    """
+    hot = F.broadcast(hot_keys(left, key))
+    dealt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
+    salted = (
+        left.join(hot, key, "left")
+        .withColumn("salt", F.when(F.col("hot"), dealt).otherwise(0))
+        .drop("hot")
+    )
+    groups = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    copied = right.join(hot, key, "left").withColumn("salt", F.explode(groups)).drop("hot")
+    return salted.join(copied, [key, "salt"], how).drop("salt")
