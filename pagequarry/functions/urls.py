@@ -4,20 +4,25 @@ They give what Python's ``urllib.parse`` gives for the same text, including its
 blanks, control characters, ``;parameters``, bracketed hosts and malformed input. Spark's own
 ``parse_url`` is not used: it follows ``java.net.URI`` and refuses URLs that browsers and
 Python accept.
+
+The expressions are written as SQL text, since they are used inside lambdas over the links of
+a page; ``_let`` names a value so that it is computed once. Plain URLs, the great majority,
+are recognised by one pattern each and skip the long way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagequarry import settings as S
-from pagequarry.functions.text import let, strip
 
 # scheme, host, path (with ;parameters), query, fragment — RFC 3986, appendix B
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
+# a stripped URL that is canonical already, its path without parameters
+_PLAIN_URL = rf"\A(?:{'|'.join(S.WEB_SCHEMES)})://[a-z0-9.\-]+/[^#;?\t\r\n]*\z"
+# a stripped absolute path without parameters or dot segments, and not starting a host
+_PLAIN_PATH = r"(?s)\A/(?![/.])(?:[^#;?\t\r\n/]|/(?!\.))*+\z"
 
 
 def _ipv6_pattern() -> str:
@@ -37,223 +42,227 @@ def _ipv6_pattern() -> str:
 _BRACKETED = rf"(?s)^(?:v[a-fA-F0-9]+\.[^\n]+|{_ipv6_pattern()})\z"
 
 
-def _split(url: Column) -> Column:
-    """Struct of the parts of a URL; ``bad`` marks a host that makes the URL unreadable."""
+# -- SQL text --------------------------------------------------------------------------
 
-    def parts(text: Column) -> Column:
-        def group(n: int) -> Column:
-            return F.regexp_extract(text, _PARTS, n)
-
-        host = group(2)
-        opened, closed = host.contains("["), host.contains("]")
-        inside = F.regexp_extract(host, r"(?s)^[^\[]*\[([^\]]*)", 1)
-        unsafe = host.rlike(f"[{S.UNSAFE_HOST_CHARS}]")
-        return F.struct(
-            F.lower(group(1)).alias("scheme"),
-            host.alias("host"),
-            group(3).alias("path"),
-            group(4).alias("query"),
-            group(5).alias("fragment"),
-            ((opened != closed) | (opened & ~inside.rlike(_BRACKETED)) | unsafe).alias("bad"),
-        )
 
-    return let(F.translate(F.ltrim(url, F.lit(S.C0_OR_SPACE)), "\t\r\n", ""), parts)
+def _text(value: str) -> str:
+    return "'" + "".join(f"\\u{ord(c):04x}" for c in value) + "'"
 
 
-def _fetchable(parts: Column) -> Column:
-    return ~parts["bad"] & parts["scheme"].isin(S.WEB_SCHEMES) & (parts["host"] != "")
+def _pattern(value: str) -> str:
+    return f"r'{value}'"
 
 
-def url_is_valid(url: Column) -> Column:
-    """Does the URL, stripped, have a web scheme and a host? Never null, never fails."""
-    return F.coalesce(_fetchable(_split(strip(url))), F.lit(False))
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _decode(text: Column) -> Column:
-    # a % that starts no escape stands for itself
-    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+def _strip(x: str) -> str:
+    return f"trim(BOTH {_text(S.WHITESPACE)} FROM {x})"
 
 
-def _encode(text: Column) -> Column:
-    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+def _group(x: str, n: int) -> str:
+    return f"regexp_extract({x}, {_pattern(_PARTS)}, {n})"
 
 
-def _canonical_query(query: Column) -> Column:
-    """Pairs with a value, decoded, sorted by name and value, encoded again."""
-    fields = F.filter(F.split(query, "&"), lambda f: f.rlike(r"(?s)=."))
-    pairs = F.transform(
-        fields,
-        lambda f: F.struct(
-            _decode(F.substring_index(f, "=", 1)).alias("name"),
-            _decode(F.regexp_replace(f, "(?s)^[^=]*=", "")).alias("value"),
-        ),
+def _split(url: str) -> str:
+    """Struct of the parts of a URL; ``bad`` marks a host that makes the URL unreadable."""
+    cleaned = f"translate(trim(LEADING {_text(S.C0_OR_SPACE)} FROM {url}), '\\t\\r\\n', '')"
+    inside = rf"regexp_extract(host, r'(?s)^[^\[]*\[([^\]]*)', 1)"
+    bad = (
+        "contains(host, '[') != contains(host, ']')"
+        f" OR (contains(host, '[') AND NOT {inside} RLIKE {_pattern(_BRACKETED)})"
+        f" OR host RLIKE '[{S.UNSAFE_HOST_CHARS}]'"
     )
-    encoded = F.transform(
-        F.sort_array(pairs), lambda p: F.concat(_encode(p["name"]), F.lit("="), _encode(p["value"]))
+    parts = (
+        f"named_struct('scheme', lower({_group('cleaned', 1)}), 'host', host,"
+        f" 'path', {_group('cleaned', 3)}, 'query', {_group('cleaned', 4)},"
+        f" 'fragment', {_group('cleaned', 5)}, 'bad', {bad})"
     )
-    return F.array_join(encoded, "&")
+    return _let(cleaned, "cleaned", _let(_group("cleaned", 2), "host", parts))
 
 
-def _prefixed(mark: str, text: Column) -> Column:
-    return F.when(text != "", F.concat(F.lit(mark), text)).otherwise("")
+_WEB = ", ".join(f"'{s}'" for s in S.WEB_SCHEMES)
 
 
-def _without_empty_parameters(path: Column) -> Column:
-    return F.regexp_replace(path, r"(?s)\A(.*/)?([^/;]*);\z", "$1$2")
+def _fetchable(p: str) -> str:
+    return f"(NOT {p}.bad AND {p}.scheme IN ({_WEB}) AND {p}.host != '')"
 
 
-def url_normalize(url: Column) -> Column:
-    """Canonical form: lower-case scheme and host, a path, sorted query, no fragment."""
+def _decode(x: str) -> str:
+    # a % that starts no escape stands for itself
+    return f"url_decode(regexp_replace({x}, '%(?![0-9A-Fa-f]{{2}})', '%25'))"
 
-    def canonical(parts: Column) -> Column:
-        path = _without_empty_parameters(parts["path"])
-        query = F.when(parts["query"] != "", _canonical_query(parts["query"])).otherwise("")
-        return F.when(
-            _fetchable(parts),
-            F.concat(
-                parts["scheme"],
-                F.lit("://"),
-                F.lower(parts["host"]),
-                F.when(path == "", "/").otherwise(path),
-                let(query, lambda q: _prefixed("?", q)),
-            ),
-        )
 
-    return let(_split(strip(url)), canonical)
+def _encode(x: str) -> str:
+    return f"replace(replace(url_encode({x}), '*', '%2A'), '%7E', '~')"
 
 
-def url_domain(url: Column) -> Column:
-    """Lower-case host with user and port, null for an invalid URL.
+def _canonical_query(query: str) -> str:
+    """Pairs with a value, decoded, sorted by name and value, encoded again."""
+    fields = f"filter(split({query}, '&'), field -> field RLIKE r'(?s)=.')"
+    name = _decode("substring_index(field, '=', 1)")
+    value = _decode("regexp_replace(field, r'(?s)^[^=]*=', '')")
+    pairs = f"transform({fields}, field -> named_struct('name', {name}, 'value', {value}))"
+    written = f"pair -> concat({_encode('pair.name')}, '=', {_encode('pair.value')})"
+    return f"array_join(transform(sort_array({pairs}), {written}), '&')"
 
-    The host is taken from the URL as given: blanks after it stay.
-    """
-    return F.when(url_is_valid(url), F.lower(_split(url)["host"]))
 
+def _prefixed(mark: str, x: str) -> str:
+    return f"CASE WHEN {x} != '' THEN concat('{mark}', {x}) ELSE '' END"
 
-def url_same_domain(left: Column, right: Column) -> Column:
-    """Do both URLs have the same host? False if either has none."""
-    same = let(
-        F.struct(url_domain(left).alias("l"), url_domain(right).alias("r")),
-        lambda d: (d["l"] == d["r"]) & (d["l"] != ""),
+
+def _normal(url: str) -> str:
+    # parameters that are empty vanish with their mark
+    path = r"regexp_replace(p.path, r'(?s)\A(.*/)?([^/;]*);\z', '$1$2')"
+    query = f"CASE WHEN p.query != '' THEN {_canonical_query('p.query')} ELSE '' END"
+    whole = (
+        "concat(p.scheme, '://', lower(p.host),"
+        f" CASE WHEN p.path = '' THEN '/' ELSE {path} END, {_let(query, 'q', _prefixed('?', 'q'))})"
+    )
+    long_way = _let(_split("stripped"), "p", f"CASE WHEN {_fetchable('p')} THEN {whole} END")
+    return _let(
+        _strip(url),
+        "stripped",
+        f"CASE WHEN stripped RLIKE {_pattern(_PLAIN_URL)} THEN stripped ELSE {long_way} END",
     )
-    return F.coalesce(same, F.lit(False))
 
 
-def _merge_paths(base: Column, path: Column) -> Column:
+def _merged_path(base: str, path: str) -> str:
     """Path of a reference against the base path, with ``.`` and ``..`` taken out."""
-    directory = F.regexp_replace(base, r"(?s)[^/]*\z", "")
     # empty segments vanish when a path is merged, except at its ends
-    merged = F.regexp_replace(F.concat(directory, path), "/{2,}", "/")
-    full = F.when(path.startswith("/"), path).otherwise(
-        F.when(merged.startswith("/"), merged).otherwise(F.concat(F.lit("/"), merged))
+    merged = f"regexp_replace(concat(regexp_replace({base}, r'(?s)[^/]*\\z', ''), {path}), '/{{2,}}', '/')"
+    full = f"CASE WHEN startswith({path}, '/') THEN {path} ELSE {_let(merged, 'm', _rooted('m'))} END"
+    climb = (
+        "(done, segment) -> CASE"
+        " WHEN segment = '..' THEN slice(done, 1, greatest(size(done) - 1, 0))"
+        " WHEN segment = '.' THEN done ELSE concat(done, array(segment)) END"
+    )
+    walked = f"aggregate(split(full, '/'), CAST(array() AS array<string>), {climb})"
+    ended = r"CASE WHEN full RLIKE r'(?:\A|/)\.\.?\z' THEN array('') ELSE CAST(array() AS array<string>) END"
+    without_dots = _let(f"array_join(concat({walked}, {ended}), '/')", "w", _rooted("w"))
+    return _let(
+        full,
+        "full",
+        rf"CASE WHEN full RLIKE r'(?:\A|/)\.\.?(?:/|\z)' THEN {without_dots} ELSE full END",
     )
 
-    def climb(done: Column, segment: Column) -> Column:
-        return (
-            F.when(segment == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
-            .when(segment == ".", done)
-            .otherwise(F.concat(done, F.array(segment)))
-        )
-
-    def without_dots(text: Column) -> Column:
-        segments = F.split(text, "/")
-        walked = F.aggregate(segments, F.array().cast("array<string>"), climb)
-        ends_in_dots = text.rlike(r"(?:\A|/)\.\.?\z")
-        joined = F.array_join(
-            F.when(ends_in_dots, F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/"
-        )
-        return F.when(text.rlike(r"(?:\A|/)\.\.?(?:/|\z)"), joined).otherwise(text)
 
-    rooted = let(full, without_dots)
-    return let(rooted, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
+def _rooted(x: str) -> str:
+    return f"CASE WHEN startswith({x}, '/') THEN {x} ELSE concat('/', {x}) END"
 
 
-def _split_parameters(path: Column) -> Column:
+def _split_parameters(path: str) -> str:
     """Struct of the path and the ``;parameters`` of its last segment."""
-    pattern = r"(?s)\A((?:.*/)?[^/;]*)(?:;(.*))?\z"
-    return F.struct(
-        F.regexp_extract(path, pattern, 1).alias("path"),
-        F.regexp_extract(path, pattern, 2).alias("parameters"),
+    pattern = _pattern(r"(?s)\A((?:.*/)?[^/;]*)(?:;(.*))?\z")
+    return (
+        f"named_struct('path', regexp_extract({path}, {pattern}, 1),"
+        f" 'parameters', regexp_extract({path}, {pattern}, 2))"
     )
 
 
-def _join(base: Column, base_path: Column, reference: Column) -> Column:
-    """Absolute URL of a stripped reference, given the parts of its base; null if unreadable."""
-
-    def joined(parts: Column) -> Column:
-        own = _split_parameters(parts["path"])
-
-        def absolute(host: Column, path: Column, parameters: Column, query: Column) -> Column:
-            text = F.concat(
-                base["scheme"],
-                F.lit("://"),
-                host,
-                path,
-                _prefixed(";", parameters),
-                _prefixed("?", query),
-                _prefixed("#", parts["fragment"]),
-            )
-            return F.when(host != "", text)
-
-        def against(mine: Column) -> Column:
-            path, parameters = mine["path"], mine["parameters"]
-            return (
-                F.when(
-                    parts["host"] != "",
-                    absolute(parts["host"], path, parameters, parts["query"]),
-                )
-                .when(
-                    (path == "") & (parameters == ""),
-                    absolute(
-                        base["host"],
-                        base_path["path"],
-                        base_path["parameters"],
-                        F.when(parts["query"] != "", parts["query"]).otherwise(base["query"]),
-                    ),
-                )
-                .otherwise(
-                    absolute(
-                        base["host"],
-                        _merge_paths(base_path["path"], path),
-                        parameters,
-                        parts["query"],
-                    )
-                )
-            )
-
-        other_scheme = (parts["scheme"] != "") & (parts["scheme"] != base["scheme"])
+def _base(url: str) -> str:
+    """Struct of a base URL: its text, parts, path and parameters, and site if fetchable."""
+    site = f"CASE WHEN {_fetchable('bp')} THEN concat(bp.scheme, '://', lower(bp.host)) END"
+    struct = f"named_struct('text', {url}, 'parts', bp, 'own', {_split_parameters('bp.path')}, 'site', {site})"
+    return _let(_split(url), "bp", struct)
+
+
+def _joined(base: str, reference: str) -> str:
+    """Absolute URL of a stripped, non-empty reference; null if there is none."""
+
+    def absolute(host: str, path: str, parameters: str, query: str) -> str:
         return (
-            F.when(parts["bad"] | base["bad"], F.lit(None).cast("string"))
-            .when(other_scheme | ~base["scheme"].isin(S.WEB_SCHEMES), reference)
-            .otherwise(let(own, against))
+            f"CASE WHEN {host} != '' THEN concat({base}.parts.scheme, '://', {host}, {path},"
+            f" {_prefixed(';', parameters)}, {query}, {_prefixed('#', 'r.fragment')}) END"
         )
 
-    return let(_split(reference), joined)
+    query = _prefixed("?", "r.query")
+    base_query = f"CASE WHEN r.query != '' THEN {query} ELSE {_prefixed('?', f'{base}.parts.query')} END"
+    other_host = absolute("r.host", "own.path", "own.parameters", query)
+    same_page = absolute(
+        f"{base}.parts.host", f"{base}.own.path", f"{base}.own.parameters", base_query
+    )
+    same_host = absolute(
+        f"{base}.parts.host", _merged_path(f"{base}.own.path", "own.path"), "own.parameters", query
+    )
+    against = (
+        f"CASE WHEN r.host != '' THEN {other_host}"
+        f" WHEN own.path = '' AND own.parameters = '' THEN {same_page} ELSE {same_host} END"
+    )
+    return _let(
+        _split(reference),
+        "r",
+        f"CASE WHEN r.bad OR {base}.parts.bad THEN NULL"
+        f" WHEN (r.scheme != '' AND r.scheme != {base}.parts.scheme)"
+        f" OR {base}.parts.scheme NOT IN ({_WEB}) THEN {reference}"
+        f" ELSE {_let(_split_parameters('r.path'), 'own', against)} END",
+    )
 
 
-def resolver(base_url: Column, use: Callable[[Callable[[Column], Column]], Column]) -> Column:
-    """``use(resolve)`` where ``resolve`` makes references absolute against ``base_url``.
+def _resolved(base: str, reference: str) -> str:
+    whole = f"CASE WHEN ref = '' THEN {base}.text ELSE {_joined(base, 'ref')} END"
+    stripped = _let(
+        _strip(reference),
+        "ref",
+        f"CASE WHEN {base}.site IS NOT NULL AND ref RLIKE {_pattern(_PLAIN_PATH)}"
+        f" THEN concat({base}.site, ref)"
+        f" WHEN {base}.site IS NOT NULL AND ref RLIKE {_pattern(_PLAIN_URL)} THEN ref"
+        f" ELSE {_normal(whole)} END",
+    )
+    return f"CASE WHEN {reference} != '' AND {base}.text != '' THEN {stripped} END"
 
-    The base is read once, however many references are resolved.
-    """
-    known = F.when(base_url != "", base_url)
-    base = let(
-        _split(known),
-        lambda p: F.struct(
-            known.alias("text"), p.alias("parts"), _split_parameters(p["path"]).alias("path")
-        ),
+
+def _apply(sql: str, value: Column) -> Column:
+    """The SQL text, in which ``x`` stands for the value."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"x -> {sql}")), F.lit(0))
+
+
+# -- functions -------------------------------------------------------------------------
+
+
+def url_is_valid(url: Column) -> Column:
+    """Does the URL, stripped, have a web scheme and a host? Never null, never fails."""
+    return _apply(
+        f"coalesce({_let(_split(_strip('x')), 'p', _fetchable('p'))}, false)", url
     )
 
-    def resolve(b: Column, reference: Column) -> Column:
-        absolute = let(
-            strip(reference),
-            lambda r: F.when(r == "", b["text"]).otherwise(_join(b["parts"], b["path"], r)),
-        )
-        return F.when((reference != "") & b["text"].isNotNull(), url_normalize(absolute))
 
-    return let(base, lambda b: use(lambda reference: resolve(b, reference)))
+def url_normalize(url: Column) -> Column:
+    """Canonical form: lower-case scheme and host, a path, sorted query, no fragment."""
+    return _apply(_normal("x"), url)
+
+
+def _domain(x: str) -> str:
+    given = _let(_split(x), "g", "lower(g.host)")
+    return _let(_split(_strip(x)), "p", f"CASE WHEN {_fetchable('p')} THEN {given} END")
+
+
+def url_domain(url: Column) -> Column:
+    """Lower-case host with user and port, null for an invalid URL.
+
+    The host is taken from the URL as given: blanks after it stay.
+    """
+    return _apply(_domain("x"), url)
+
+
+def url_same_domain(left: Column, right: Column) -> Column:
+    """Do both URLs have the same host? False if either has none."""
+    same = _let(_domain("x.l"), "l", f"l != '' AND l = {_domain('x.r')}")
+    return _apply(f"coalesce({same}, false)", F.struct(left.alias("l"), right.alias("r")))
 
 
 def url_resolve(base_url: Column, reference: Column) -> Column:
-    """Normalised absolute URL of ``reference`` found on ``base_url``; null if there is none."""
-    return resolver(base_url, lambda to: to(reference))
+    """Normalised absolute URL of ``reference`` found on ``base_url``; null if there is none.
+
+    On a base that is no web URL only references with a web scheme of their own resolve.
+    """
+    pair = F.struct(base_url.alias("base"), reference.alias("reference"))
+    return _apply(_let(_base("x.base"), "b", _resolved("b", "x.reference")), pair)
+
+
+def url_resolve_all(base_url: Column, references: Column) -> Column:
+    """``url_resolve`` for an array of references; the base is read once."""
+    pair = F.struct(base_url.alias("base"), references.alias("references"))
+    each = f"transform(x.references, reference -> {_resolved('b', 'reference')})"
+    return _apply(_let(_base("x.base"), "b", each), pair)

@@ -17,7 +17,7 @@ from pagequarry import settings as S
 from pagequarry.functions.dom import normalize, normalize_parts, page_dom
 from pagequarry.functions.markup import TEXT_CONTAINERS, PageReader
 from pagequarry.functions.text import collapse, let, strip
-from pagequarry.functions.urls import resolver
+from pagequarry.functions.urls import url_resolve_all
 
 
 def _tags(chosen: Sequence[str] | None, default: list[str]) -> list[str]:
@@ -103,7 +103,7 @@ def hrefs(tree: Column) -> Column:
 
 def links(tree: Column, base_url: Column) -> Column:
     """Absolute, valid, normalised links, first occurrences in document order."""
-    resolved = resolver(base_url, lambda to: F.transform(hrefs(tree), to))
+    resolved = url_resolve_all(base_url, hrefs(tree))
     known = F.filter(resolved, lambda link: link.isNotNull())
     return F.coalesce(F.array_distinct(known), F.array().cast("array<string>"))
 

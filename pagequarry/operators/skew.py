@@ -8,27 +8,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it has more than this share of all rows, so there are fewer than
-# HOT_ONE_IN hot keys, whatever the size of the table.
+# HOT_ONE_IN hot keys, whatever the size of the table. Keys with few rows never are.
 HOT_ONE_IN = 1000
+HOT_MIN_ROWS = 100_000
 SALTS = 256
 
 
-def hot_keys(table: DataFrame, key: str) -> DataFrame:
+def hot_keys(table: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """Keys with more than one row in ``HOT_ONE_IN``: at most ``HOT_ONE_IN - 1`` of them.
 
     Counts are combined on the map side; only one row per key and map task is shuffled.
     """
     counts = table.groupBy(key).agg(F.count("*").alias("rows"))
-    total = table.agg(F.count("*").alias("rows"))
-    return (
-        counts.filter(F.col("rows") * HOT_ONE_IN > total.scalar())
-        .filter(F.col(key).isNotNull())
-        .select(key, F.lit(True).alias("hot"))
-    )
+    total = counts.agg(F.sum("rows").alias("rows"))
+    share = F.col("rows") * HOT_ONE_IN > total.scalar()
+    hot = counts.filter(F.col(key).isNotNull() & (F.col("rows") > min_rows) & share)
+    return hot.select(key, F.lit(True).alias("hot"))
 
 
 def even_join(
-    left: DataFrame, right: DataFrame, key: str, how: str, spread_by: Sequence[str]
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str,
+    spread_by: Sequence[str],
+    min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """``left.join(right, key, how)`` for a ``right`` with one row per key.
 
@@ -37,7 +41,7 @@ def even_join(
     matching right rows, fewer than ``HOT_ONE_IN``, are copied to each group. The table of
     hot keys is broadcast: its size is bounded by ``hot_keys``.
     """
-    hot = F.broadcast(hot_keys(left, key))
+    hot = F.broadcast(hot_keys(left, key, min_rows))
     dealt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
     salted = (
         left.join(hot, key, "left")
