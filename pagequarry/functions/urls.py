@@ -6,7 +6,7 @@ blanks, control characters, ``;parameters``, bracketed hosts and malformed input
 Python accept.
 
 The expressions are written as SQL text, since they are used inside lambdas over the links of
-a page; ``_let`` names a value so that it is computed once. Plain URLs, the great majority,
+a page; Plain URLs, the great majority,
 are recognised by one pattern each and skip the long way.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagequarry import settings as S
+from pagequarry.functions.text import sql_let, sql_strip, sql_text
 
 # scheme, host, path (with ;parameters), query, fragment — RFC 3986, appendix B
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
@@ -45,29 +46,17 @@ _BRACKETED = rf"(?s)^(?:v[a-fA-F0-9]+\.[^\n]+|{_ipv6_pattern()})\z"
 # -- SQL text --------------------------------------------------------------------------
 
 
-def _text(value: str) -> str:
-    return "'" + "".join(f"\\u{ord(c):04x}" for c in value) + "'"
-
-
 def _pattern(value: str) -> str:
     return f"r'{value}'"
 
 
-def _let(value: str, name: str, body: str) -> str:
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
-def _strip(x: str) -> str:
-    return f"trim(BOTH {_text(S.WHITESPACE)} FROM {x})"
-
-
 def _group(x: str, n: int) -> str:
     return f"regexp_extract({x}, {_pattern(_PARTS)}, {n})"
 
 
 def _split(url: str) -> str:
     """Struct of the parts of a URL; ``bad`` marks a host that makes the URL unreadable."""
-    cleaned = f"translate(trim(LEADING {_text(S.C0_OR_SPACE)} FROM {url}), '\\t\\r\\n', '')"
+    cleaned = f"translate(trim(LEADING {sql_text(S.C0_OR_SPACE)} FROM {url}), '\\t\\r\\n', '')"
     inside = rf"regexp_extract(host, r'(?s)^[^\[]*\[([^\]]*)', 1)"
     bad = (
         "contains(host, '[') != contains(host, ']')"
@@ -79,7 +68,7 @@ def _split(url: str) -> str:
         f" 'path', {_group('cleaned', 3)}, 'query', {_group('cleaned', 4)},"
         f" 'fragment', {_group('cleaned', 5)}, 'bad', {bad})"
     )
-    return _let(cleaned, "cleaned", _let(_group("cleaned", 2), "host", parts))
+    return sql_let(cleaned, "cleaned", sql_let(_group("cleaned", 2), "host", parts))
 
 
 _WEB = ", ".join(f"'{s}'" for s in S.WEB_SCHEMES)
@@ -118,11 +107,11 @@ def _normal(url: str) -> str:
     query = f"CASE WHEN p.query != '' THEN {_canonical_query('p.query')} ELSE '' END"
     whole = (
         "concat(p.scheme, '://', lower(p.host),"
-        f" CASE WHEN p.path = '' THEN '/' ELSE {path} END, {_let(query, 'q', _prefixed('?', 'q'))})"
+        f" CASE WHEN p.path = '' THEN '/' ELSE {path} END, {sql_let(query, 'q', _prefixed('?', 'q'))})"
     )
-    long_way = _let(_split("stripped"), "p", f"CASE WHEN {_fetchable('p')} THEN {whole} END")
-    return _let(
-        _strip(url),
+    long_way = sql_let(_split("stripped"), "p", f"CASE WHEN {_fetchable('p')} THEN {whole} END")
+    return sql_let(
+        sql_strip(url),
         "stripped",
         f"CASE WHEN stripped RLIKE {_pattern(_PLAIN_URL)} THEN stripped ELSE {long_way} END",
     )
@@ -132,7 +121,7 @@ def _merged_path(base: str, path: str) -> str:
     """Path of a reference against the base path, with ``.`` and ``..`` taken out."""
     # empty segments vanish when a path is merged, except at its ends
     merged = f"regexp_replace(concat(regexp_replace({base}, r'(?s)[^/]*\\z', ''), {path}), '/{{2,}}', '/')"
-    full = f"CASE WHEN startswith({path}, '/') THEN {path} ELSE {_let(merged, 'm', _rooted('m'))} END"
+    full = f"CASE WHEN startswith({path}, '/') THEN {path} ELSE {sql_let(merged, 'm', _rooted('m'))} END"
     climb = (
         "(done, segment) -> CASE"
         " WHEN segment = '..' THEN slice(done, 1, greatest(size(done) - 1, 0))"
@@ -140,8 +129,8 @@ def _merged_path(base: str, path: str) -> str:
     )
     walked = f"aggregate(split(full, '/'), CAST(array() AS array<string>), {climb})"
     ended = r"CASE WHEN full RLIKE r'(?:\A|/)\.\.?\z' THEN array('') ELSE CAST(array() AS array<string>) END"
-    without_dots = _let(f"array_join(concat({walked}, {ended}), '/')", "w", _rooted("w"))
-    return _let(
+    without_dots = sql_let(f"array_join(concat({walked}, {ended}), '/')", "w", _rooted("w"))
+    return sql_let(
         full,
         "full",
         rf"CASE WHEN full RLIKE r'(?:\A|/)\.\.?(?:/|\z)' THEN {without_dots} ELSE full END",
@@ -165,7 +154,7 @@ def _base(url: str) -> str:
     """Struct of a base URL: its text, parts, path and parameters, and site if fetchable."""
     site = f"CASE WHEN {_fetchable('bp')} THEN concat(bp.scheme, '://', lower(bp.host)) END"
     struct = f"named_struct('text', {url}, 'parts', bp, 'own', {_split_parameters('bp.path')}, 'site', {site})"
-    return _let(_split(url), "bp", struct)
+    return sql_let(_split(url), "bp", struct)
 
 
 def _joined(base: str, reference: str) -> str:
@@ -190,20 +179,20 @@ def _joined(base: str, reference: str) -> str:
         f"CASE WHEN r.host != '' THEN {other_host}"
         f" WHEN own.path = '' AND own.parameters = '' THEN {same_page} ELSE {same_host} END"
     )
-    return _let(
+    return sql_let(
         _split(reference),
         "r",
         f"CASE WHEN r.bad OR {base}.parts.bad THEN NULL"
         f" WHEN (r.scheme != '' AND r.scheme != {base}.parts.scheme)"
         f" OR {base}.parts.scheme NOT IN ({_WEB}) THEN {reference}"
-        f" ELSE {_let(_split_parameters('r.path'), 'own', against)} END",
+        f" ELSE {sql_let(_split_parameters('r.path'), 'own', against)} END",
     )
 
 
 def _resolved(base: str, reference: str) -> str:
     whole = f"CASE WHEN ref = '' THEN {base}.text ELSE {_joined(base, 'ref')} END"
-    stripped = _let(
-        _strip(reference),
+    stripped = sql_let(
+        sql_strip(reference),
         "ref",
         f"CASE WHEN {base}.site IS NOT NULL AND ref RLIKE {_pattern(_PLAIN_PATH)}"
         f" THEN concat({base}.site, ref)"
@@ -224,7 +213,7 @@ def _apply(sql: str, value: Column) -> Column:
 def url_is_valid(url: Column) -> Column:
     """Does the URL, stripped, have a web scheme and a host? Never null, never fails."""
     return _apply(
-        f"coalesce({_let(_split(_strip('x')), 'p', _fetchable('p'))}, false)", url
+        f"coalesce({sql_let(_split(sql_strip('x')), 'p', _fetchable('p'))}, false)", url
     )
 
 
@@ -234,8 +223,8 @@ def url_normalize(url: Column) -> Column:
 
 
 def _domain(x: str) -> str:
-    given = _let(_split(x), "g", "lower(g.host)")
-    return _let(_split(_strip(x)), "p", f"CASE WHEN {_fetchable('p')} THEN {given} END")
+    given = sql_let(_split(x), "g", "lower(g.host)")
+    return sql_let(_split(sql_strip(x)), "p", f"CASE WHEN {_fetchable('p')} THEN {given} END")
 
 
 def url_domain(url: Column) -> Column:
@@ -248,7 +237,7 @@ def url_domain(url: Column) -> Column:
 
 def url_same_domain(left: Column, right: Column) -> Column:
     """Do both URLs have the same host? False if either has none."""
-    same = _let(_domain("x.l"), "l", f"l != '' AND l = {_domain('x.r')}")
+    same = sql_let(_domain("x.l"), "l", f"l != '' AND l = {_domain('x.r')}")
     return _apply(f"coalesce({same}, false)", F.struct(left.alias("l"), right.alias("r")))
 
 
@@ -258,11 +247,16 @@ def url_resolve(base_url: Column, reference: Column) -> Column:
     On a base that is no web URL only references with a web scheme of their own resolve.
     """
     pair = F.struct(base_url.alias("base"), reference.alias("reference"))
-    return _apply(_let(_base("x.base"), "b", _resolved("b", "x.reference")), pair)
+    return _apply(sql_let(_base("x.base"), "b", _resolved("b", "x.reference")), pair)
+
+
+def sql_resolve_all(base_url: str, references: str) -> str:
+    """Resolved references of an array; the base is read once."""
+    each = f"transform({references}, reference -> {_resolved('b', 'reference')})"
+    return sql_let(_base(base_url), "b", each)
 
 
 def url_resolve_all(base_url: Column, references: Column) -> Column:
-    """``url_resolve`` for an array of references; the base is read once."""
+    """``url_resolve`` for an array of references."""
     pair = F.struct(base_url.alias("base"), references.alias("references"))
-    each = f"transform(x.references, reference -> {_resolved('b', 'reference')})"
-    return _apply(_let(_base("x.base"), "b", each), pair)
+    return _apply(sql_resolve_all("x.base", "x.references"), pair)

@@ -16,125 +16,111 @@ from pyspark.sql import functions as F
 from pagequarry import settings as S
 from pagequarry.functions.dom import normalize, normalize_parts, page_dom
 from pagequarry.functions.markup import TEXT_CONTAINERS, PageReader
-from pagequarry.functions.text import collapse, let, strip
-from pagequarry.functions.urls import url_resolve_all
+from pagequarry.functions.text import collapse, sql_let, sql_strip, sql_text
+from pagequarry.functions.urls import sql_resolve_all
 
 
-def _tags(chosen: Sequence[str] | None, default: list[str]) -> list[str]:
-    return list(chosen) if chosen else default
+def _tags(chosen: Sequence[str] | None, default: list[str]) -> str:
+    """Tag list as SQL text; an empty choice means the default."""
+    return ", ".join(sql_text(tag) for tag in dict.fromkeys(chosen or default))
 
 
-def _strings(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+# -- SQL text over the column ``dom`` --------------------------------------------------
 
 
-def prune(dom: Column, noise_tags: Sequence[str] | None = None) -> Column:
-    """Elements and text runs outside noise elements.
+def _pruned(noise_tags: Sequence[str] | None, body: str) -> str:
+    """``body`` over ``tree``: elements and text runs outside noise elements.
 
     Elements inside noise are dropped. Text runs keep their places, as elements refer to them
     by position; those inside noise lose their text.
     """
-    noise = _strings(_tags(noise_tags, S.NOISE_TAGS))
-    scopes = F.transform(
-        dom["scopes"],
-        lambda s: F.struct(
-            (~F.arrays_overlap(s["tags"], noise)).alias("kept"), s["kind"].alias("kind")
-        ),
+    noise = f"array({_tags(noise_tags, S.NOISE_TAGS)})"
+    scopes = (
+        "transform(dom.scopes, scope ->"
+        f" named_struct('kept', NOT arrays_overlap(scope.tags, {noise}), 'kind', scope.kind))"
     )
-    return let(
-        scopes,
-        lambda kinds: F.struct(
-            F.filter(dom["elements"], lambda e: F.get(kinds, e["scope"])["kept"]).alias("elements"),
-            F.transform(
-                dom["texts"],
-                lambda t: F.struct(
-                    F.when(F.get(kinds, t["scope"])["kept"], t["text"]).alias("text"),
-                    F.get(kinds, t["scope"])["kind"].alias("kind"),
-                ),
-            ).alias("texts"),
-        ),
+    tree = (
+        "named_struct('elements', filter(dom.elements, element -> get(kinds, element.scope).kept),"
+        " 'texts', transform(dom.texts, run -> named_struct("
+        "'text', CASE WHEN get(kinds, run.scope).kept THEN run.text END,"
+        " 'kind', get(kinds, run.scope).kind)))"
     )
+    return sql_let(sql_let(scopes, "kinds", tree), "tree", body)
 
 
-def _runs(tree: Column, element: Column) -> Column:
-    """Text runs the element can see: below it, not noise, and of its own kind."""
-    own_kind = F.when(element["tag"].isin(list(TEXT_CONTAINERS)), element["tag"])
-    runs = F.slice(tree["texts"], element["first"] + 1, element["last"] - element["first"])
-    seen = F.filter(runs, lambda t: t["text"].isNotNull() & t["kind"].eqNullSafe(own_kind))
-    return F.transform(seen, lambda t: t["text"])
+def _runs(element: str) -> str:
+    """Text runs an element can see: below it, not noise, and of its own kind."""
+    containers = ", ".join(sql_text(tag) for tag in TEXT_CONTAINERS)
+    own_kind = f"CASE WHEN {element}.tag IN ({containers}) THEN {element}.tag END"
+    below = f"slice(tree.texts, {element}.first + 1, {element}.last - {element}.first)"
+    seen = f"filter({below}, run -> run.text IS NOT NULL AND run.kind <=> {own_kind})"
+    return f"transform({seen}, run -> run.text)"
 
 
-def raw_title(tree: Column) -> Column:
+def _title() -> str:
     """Text of the first title, else the first h1, else the first h2 that is not blank."""
 
-    def of(tag: str) -> Column:
-        first = F.get(F.filter(tree["elements"], lambda e: e["tag"] == tag), F.lit(0))
-        text = let(first, lambda e: F.array_join(_runs(tree, e), ""))
-        return let(text, lambda t: F.when(strip(t) != "", t))
+    def of(tag: str) -> str:
+        first = f"get(filter(tree.elements, element -> element.tag = '{tag}'), 0)"
+        text = sql_let(first, "found", f"array_join({_runs('found')}, '')")
+        return sql_let(text, "raw", f"CASE WHEN {sql_strip('raw')} != '' THEN raw END")
 
-    return F.coalesce(*[of(tag) for tag in S.TITLE_TAGS], F.lit(""))
+    return f"coalesce({', '.join(of(tag) for tag in S.TITLE_TAGS)}, '')"
 
 
-def raw_blocks(tree: Column, content_tags: Sequence[str] | None = None) -> Column:
+def _blocks(content_tags: Sequence[str] | None) -> str:
     """Text of every content element in document order, its runs stripped and blank-joined."""
     chosen = _tags(content_tags, S.CONTENT_TAGS)
-    elements = F.filter(tree["elements"], lambda e: e["tag"].isin(chosen))
+    elements = f"filter(tree.elements, element -> element.tag IN ({chosen}))"
+    runs = f"transform({_runs('element')}, run -> {sql_strip('run')})"
+    texts = f"transform({elements}, element -> array_join(filter({runs}, run -> run != ''), ' '))"
+    return f"filter({texts}, block -> block != '')"
 
-    def text(element: Column) -> Column:
-        runs = F.transform(_runs(tree, element), strip)
-        return F.array_join(F.filter(runs, lambda r: r != ""), " ")
-
-    return F.filter(F.transform(elements, text), lambda b: b != "")
 
+def _links() -> str:
+    """Absolute, valid, normalised links, first occurrences in document order."""
+    anchors = "filter(tree.elements, element -> element.tag = 'a' AND element.href IS NOT NULL)"
+    targets = f"transform({anchors}, element -> {sql_strip('element.href')})"
+    skipped = " OR ".join(f"startswith(href, '{prefix}')" for prefix in S.SKIPPED_HREF_PREFIXES)
+    hrefs = f"array_distinct(filter({targets}, href -> href != '' AND NOT ({skipped})))"
+    known = f"filter({sql_resolve_all('url', hrefs)}, link -> link IS NOT NULL)"
+    return f"coalesce(array_distinct({known}), {_NO_STRINGS})"
 
-def hrefs(tree: Column) -> Column:
-    """Link targets worth resolving, in document order, each once."""
-    anchors = F.filter(tree["elements"], lambda e: (e["tag"] == "a") & e["href"].isNotNull())
-    targets = F.transform(anchors, lambda e: strip(e["href"]))
 
-    def followed(href: Column) -> Column:
-        skipped = href == ""
-        for prefix in S.SKIPPED_HREF_PREFIXES:
-            skipped = skipped | href.startswith(prefix)
-        return ~skipped
+_NO_STRINGS = "CAST(array() AS array<string>)"
 
-    return F.array_distinct(F.filter(targets, followed))
 
+def kept_text(noise_tags: Sequence[str] | None = None) -> Column:
+    """All text of a page outside noise elements, as it stands."""
+    return F.expr(_pruned(noise_tags, "array_join(transform(tree.texts, run -> run.text), '')"))
 
-def links(tree: Column, base_url: Column) -> Column:
-    """Absolute, valid, normalised links, first occurrences in document order."""
-    resolved = url_resolve_all(base_url, hrefs(tree))
-    known = F.filter(resolved, lambda link: link.isNotNull())
-    return F.coalesce(F.array_distinct(known), F.array().cast("array<string>"))
 
-
-def noise_count(dom: Column, noise_tags: Sequence[str] | None = None) -> Column:
+def noise_count(noise_tags: Sequence[str] | None = None) -> Column:
     """Elements taken out when the noise tags are removed one tag after the other.
 
     Nested elements of one tag all count; an element that went with an ancestor of an earlier
     tag does not.
     """
-    noise = list(dict.fromkeys(_tags(noise_tags, S.NOISE_TAGS)))
-    listed = _strings(noise)
+    noise = _tags(noise_tags, S.NOISE_TAGS)
+    place = f"CAST(array_position(array({noise}), element.tag) AS int)"
+    earlier = f"slice(array({noise}), 1, greatest({place} - 1, 0))"
+    around = "get(dom.scopes, element.scope).tags"
+    counted = f"element.tag IN ({noise}) AND NOT arrays_overlap({around}, {earlier})"
+    return F.expr(f"coalesce(size(filter(dom.elements, element -> {counted})), 0)")
 
-    def counted(element: Column) -> Column:
-        around = F.get(dom["scopes"], element["scope"])["tags"]
-        earlier = F.slice(listed, F.lit(1), F.array_position(listed, element["tag"]).cast("int") - 1)
-        return element["tag"].isin(noise) & ~F.arrays_overlap(around, earlier)
 
-    return F.size(F.filter(dom["elements"], counted))
+# -- tables ----------------------------------------------------------------------------
 
 
-def select_from_dom(read: DataFrame, **outputs: Column) -> DataFrame:
+def _select(read: DataFrame, *outputs: Column) -> DataFrame:
     """``read`` (see ``page_dom``) with ``dom`` replaced by expressions over it."""
-    others = [c for c in read.columns if c != "dom"]
-    return read.select(*others, *[c.alias(name) for name, c in outputs.items()])
+    return read.select(*[c for c in read.columns if c != "dom"], *outputs)
 
 
 def page_titles(pages: DataFrame, noise_tags: Sequence[str] | None = None) -> DataFrame:
     """``title`` in place of ``html``."""
-    title = let(prune(F.col("dom"), noise_tags), raw_title)
-    titled = normalize(select_from_dom(page_dom(pages), title=title), ["title"])
+    title = F.expr(_pruned(noise_tags, _title())).alias("title")
+    titled = normalize(_select(page_dom(pages), title), ["title"])
     return titled.withColumn("title", collapse(F.col("title")))
 
 
@@ -144,18 +130,17 @@ def page_blocks(
     noise_tags: Sequence[str] | None = None,
 ) -> DataFrame:
     """``blocks`` (cleaned content texts in document order) in place of ``html``."""
-    blocks = let(prune(F.col("dom"), noise_tags), lambda tree: raw_blocks(tree, content_tags))
-    found = normalize(select_from_dom(page_dom(pages), blocks=blocks), ["blocks"])
-    return found.withColumn("blocks", _clean_blocks(F.col("blocks")))
+    blocks = F.expr(_pruned(noise_tags, _blocks(content_tags))).alias("blocks")
+    found = normalize(_select(page_dom(pages), blocks), ["blocks"])
+    return found.withColumn("blocks", _clean_blocks("blocks"))
 
 
 def page_links(pages: DataFrame, noise_tags: Sequence[str] | None = None) -> DataFrame:
     """``links`` in place of ``html``; relative ones are resolved against ``url``."""
-    found = let(prune(F.col("dom"), noise_tags), lambda tree: links(tree, F.col("url")))
-    return select_from_dom(page_dom(pages), links=found)
+    return _select(page_dom(pages), F.expr(_pruned(noise_tags, _links())).alias("links"))
 
 
-def _clean_blocks(blocks: Column) -> Column:
+def _clean_blocks(blocks: str) -> Column:
     return F.filter(F.transform(blocks, collapse), lambda b: b != "")
 
 
@@ -168,24 +153,25 @@ def extract(
     """``title``, ``blocks``, ``links``, ``noise_removed`` and ``parse_error`` for ``html``.
 
     One reading of the markup serves all of them. Two Arrow steps (read, normalise), no
-    exchange. Filter pages before this step: filters do not move below it.
+    exchange. Pages without markup, or that could not be read, get empty outputs. Filter
+    pages before this step: filters do not move below it.
     """
-    read = select_from_dom(
+    parts = _pruned(
+        noise_tags,
+        f"named_struct('title', {_title()}, 'blocks', {_blocks(content_tags)}, 'links', {_links()})",
+    )
+    read = _select(
         page_dom(pages, reader=reader),
-        parts=let(
-            prune(F.col("dom"), noise_tags),
-            lambda tree: F.struct(
-                raw_title(tree).alias("title"),
-                raw_blocks(tree, content_tags).alias("blocks"),
-                links(tree, F.col("url")).alias("links"),
-            ),
-        ),
-        noise_removed=noise_count(F.col("dom"), noise_tags),
-        parse_error=F.col("dom.error"),
+        F.expr(parts).alias("parts"),
+        noise_count(noise_tags).alias("noise_removed"),
+        F.col("dom.error").alias("parse_error"),
     )
     unpacked = normalize_parts(read, "parts", ["title", "blocks"])
     return unpacked.withColumns(
-        {"title": collapse(F.col("title")), "blocks": _clean_blocks(F.col("blocks"))}
+        {
+            "title": collapse(F.col("title")),
+            "blocks": F.coalesce(_clean_blocks("blocks"), F.expr(_NO_STRINGS)),
+        }
     )
 
 

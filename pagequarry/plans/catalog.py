@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import urls as U
 from pagequarry.functions.dom import page_dom
 from pagequarry.functions.markup import PageReader
-from pagequarry.functions.text import clean_text, let
+from pagequarry.functions.text import clean_text
 from pagequarry.operators import extract as X
 from pagequarry.operators import fetchlog as L
 from pagequarry.operators import reports as P
@@ -329,16 +329,13 @@ def _page_dom(spark, folder):
 @query
 def noise_removal(spark, folder):
     read = page_dom(_spread_pages(spark, folder))
-    texts = let(
-        X.prune(F.col("dom")), lambda tree: F.array_join(F.transform(tree["texts"], lambda t: t["text"]), "")
-    )
-    return read.select("page_id", texts.alias("kept_text"))
+    return read.select("page_id", X.kept_text().alias("kept_text"))
 
 
 @query
 def noise_count(spark, folder):
     read = page_dom(_spread_pages(spark, folder))
-    return read.select("page_id", X.noise_count(F.col("dom")).cast("bigint").alias("removed"))
+    return read.select("page_id", X.noise_count().cast("bigint").alias("removed"))
 
 
 @query

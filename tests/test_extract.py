@@ -130,7 +130,7 @@ def test_custom_and_empty_tag_lists(spark):
 def test_noise_count(spark):
     def count(html, tags=None):
         frame = spark.createDataFrame([(html,)], "html string")
-        return page_dom(frame).select(X.noise_count(F.col("dom"), tags)).first()[0]
+        return page_dom(frame).select(X.noise_count(tags)).first()[0]
 
     assert count(SIMPLE) == 3
     assert count("<nav><nav></nav></nav>") == 2
