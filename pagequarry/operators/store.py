@@ -40,7 +40,9 @@ def latest(results: DataFrame, order: str = "write_seq") -> DataFrame:
 def upsert(stored: DataFrame, new: DataFrame, order: str = "write_seq") -> DataFrame:
     """Store table after writing ``new`` into ``stored``.
 
-    ``stored`` has one row per key already, so it is only filtered, not sorted out again.
+    ``stored`` has one row per key already, so it is only filtered, not sorted out again; for
+    a small batch Spark broadcasts the batch's keys and leaves the store unshuffled. ``new``
+    is read twice: pass a written table, not a running extraction.
     """
     incoming = latest(new, order)
     written = with_key(new).select("storage_key").distinct()
@@ -48,22 +50,41 @@ def upsert(stored: DataFrame, new: DataFrame, order: str = "write_seq") -> DataF
     return untouched.unionByName(incoming.select(*untouched.columns))
 
 
-def lookup(requests: DataFrame, stored: DataFrame, request_id: str) -> DataFrame:
-    """Each request with its stored result in ``result`` (null when there is none)."""
-    found = stored.select("storage_key", F.struct(*stored.columns).alias("result"))
-    return even_join(with_key(requests), found, "storage_key", "left", [request_id])
+def asked_for(stored: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Stored rows with a key in ``keyed``.
+
+    The keys are brought down to one row each first. A small set is broadcast (Spark checks
+    its size), so looking up a few URLs does not shuffle the store.
+    """
+    return stored.join(keyed.select("storage_key").distinct(), "storage_key", "left_semi")
+
+
+def lookup(
+    requests: DataFrame, stored: DataFrame, request_id: str, selective: bool = True
+) -> DataFrame:
+    """Each request with its stored result in ``result`` (null when there is none).
+
+    Set ``selective`` to false when the requests cover much of the store: narrowing it down
+    first then costs a shuffle more than it saves.
+    """
+    keyed = with_key(requests)
+    rows = asked_for(stored, keyed) if selective else stored
+    found = rows.select("storage_key", F.struct(*stored.columns).alias("result"))
+    return even_join(keyed, found, "storage_key", "left", [request_id])
 
 
 def already_scraped(requests: DataFrame, stored: DataFrame, request_id: str) -> DataFrame:
     """Requests with a stored result."""
-    keys = stored.select("storage_key")
-    return even_join(with_key(requests), keys, "storage_key", "left_semi", [request_id])
+    keyed = with_key(requests)
+    known = asked_for(stored.select("storage_key"), keyed)
+    return even_join(keyed, known, "storage_key", "left_semi", [request_id])
 
 
 def to_scrape(requests: DataFrame, stored: DataFrame, request_id: str) -> DataFrame:
     """Requests without a stored result."""
-    keys = stored.select("storage_key")
-    return even_join(with_key(requests), keys, "storage_key", "left_anti", [request_id])
+    keyed = with_key(requests)
+    known = asked_for(stored.select("storage_key"), keyed)
+    return even_join(keyed, known, "storage_key", "left_anti", [request_id])
 
 
 def delete(stored: DataFrame, urls: DataFrame) -> DataFrame:
@@ -78,7 +99,7 @@ def deletions(stored: DataFrame, urls: DataFrame, request_id: str) -> DataFrame:
     """
     keyed = with_key(urls)
     first = keyed.groupBy("storage_key").agg(F.min(request_id).alias("first"))
-    hits = first.join(stored.select("storage_key"), "storage_key", "left_semi")
+    hits = stored.select("storage_key").join(first, "storage_key")
     marked = even_join(keyed, hits, "storage_key", "left", [request_id])
     return marked.withColumn(
         "deleted", F.coalesce(F.col(request_id) == F.col("first"), F.lit(False))

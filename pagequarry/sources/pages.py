@@ -17,7 +17,8 @@ def spread(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     A file with one row group is read by one task, and reading markup would then run on one
     core. Tables with enough splits of their own pass unchanged: their markup is not shuffled.
-    ``key`` must be (nearly) unique.
+    ``pages`` should be a scan (the partitions of a shuffle are only known once it has run),
+    and ``key`` (nearly) unique.
     """
     cores = pages.sparkSession.sparkContext.defaultParallelism
     if pages.rdd.getNumPartitions() >= cores:
