@@ -52,6 +52,13 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Text below these is of its own kind and is only seen by the element itself.
 TEXT_CONTAINERS = ("rt", "rp", "style", "script", "template")
 
+# barrier for the search of an end tag's element
+_END_BARRIERS = {tag: SCOPE - {tag} for tag in SPECIAL} | {"li": SCOPE | {"ol", "ul"}}
+# start tags that can do more than add an element to the body
+_STRUCTURAL = frozenset(["html", "head", "body", "frameset", *HEAD_ONLY, *CLOSES_P, *ENDS, *HEADINGS])
+
+# text, then a tag without attributes: by far the most frequent tokens
+_SIMPLE = re.compile(r"([^<]*+)<(/?)([A-Za-z][A-Za-z0-9]*+)>")
 _OPEN = re.compile(r"<(?:!(--)|(/?)([A-Za-z][^\t\n\f\r />]*+)|[!?/])")
 _COMMENT_END = re.compile(r"-->|(?<!<!)--!>")
 _TAG_REST = re.compile(
@@ -99,7 +106,7 @@ class PageReader:
         self.texts: list[str] = []
         self.text_scopes: list[int] = []
 
-        self._stack: list[int] = []
+        self._stack: list[tuple[str, int, int]] = []  # tag, element, scope
         self._open: dict[str, int] = {}
         self._scope_ids: dict[tuple[int, str], int] = {}
         self._has_body = False
@@ -110,82 +117,90 @@ class PageReader:
 
     def _read(self, html: str) -> None:
         position, size = 0, len(html)
+        simple, pending = _SIMPLE.match, self._pending
         while position < size:
-            token = _OPEN.search(html, position)
-            if token is None:
-                self._add_text(html[position:])
-                break
-            if token.start() > position:
-                self._add_text(html[position : token.start()])
-            if token[1]:
-                end = _COMMENT_END.search(html, token.start() + 2)
-                self._flush()
-                position = end.end() if end else size
-            elif token[3] is None:
-                end = html.find(">", token.end() - 1)
-                self._flush()
-                position = end + 1 if end >= 0 else size
+            token = simple(html, position)
+            if token is not None:
+                text, closing, tag = token.groups()
+                if text:
+                    pending.append(unescape(text) if "&" in text else text)
+                position, tag, attributes, empty = token.end(), tag.lower(), "", tag in VOID
             else:
-                tag, position, attributes, slash = token[3].lower(), token.end(), "", ""
-                if html[position : position + 1] == ">":
-                    position += 1
-                else:
-                    rest = _TAG_REST.match(html, position)
-                    if rest is None:
-                        break  # a tag cut off by the end of the page
-                    position, attributes, slash = rest.end(), rest[1], rest[2]
-                if token[2]:
-                    self._end_tag(tag)
+                token = _OPEN.search(html, position)
+                text = html[position : token.start() if token else size]
+                if text:
+                    pending.append(unescape(text) if "&" in text else text)
+                if token is None:
+                    break
+                if token[3] is None:  # a comment, or something like one
+                    self._flush()
+                    if token[1]:
+                        end = _COMMENT_END.search(html, token.start() + 2)
+                        position = end.end() if end else size
+                    else:
+                        position = html.find(">", token.end() - 1) + 1 or size
                     continue
-                empty = tag in VOID or slash.endswith("/")
-                self._start_tag(tag, _href(attributes) if tag == "a" else None, empty)
-                if not empty and tag in _RAW_END:
-                    end = _RAW_END[tag].search(html, position)
-                    stop = end.start() if end else size
-                    raw = html[position:stop]
-                    self._pending.append(unescape(raw) if tag in ESCAPABLE_RAW_TEXT else raw)
-                    position = stop
+                rest = _TAG_REST.match(html, token.end())
+                if rest is None:
+                    break  # a tag cut off by the end of the page
+                closing, tag, position, attributes = token[2], token[3].lower(), rest.end(), rest[1]
+                empty = tag in VOID or rest[2].endswith("/")
+            if closing:
+                self._end_tag(tag)
+                continue
+            self._start_tag(tag, _href(attributes) if tag == "a" else None, empty)
+            if tag in _RAW_END and not empty:
+                end = _RAW_END[tag].search(html, position)
+                stop = end.start() if end else size
+                raw = html[position:stop]
+                pending.append(unescape(raw) if tag in ESCAPABLE_RAW_TEXT else raw)
+                position = stop
         self._flush()
         self._pop_to(0)
 
     # -- tree --------------------------------------------------------------------------
 
     def _start_tag(self, tag: str, href: str | None, empty: bool) -> None:
-        if (
-            tag == "html" and self.tags
-            or tag == "body" and self._has_body
-            or tag == "head" and (self._has_body or "head" in self._open)
-        ):
-            return
-        self._flush()
-        if tag == "body":
-            self._enter_body(implied=False)
-        elif tag not in HEAD_ONLY and tag not in ("html", "head", "frameset"):
-            if not self._open.get("template"):
+        stack, count = self._stack, self._open.get
+        if tag in _STRUCTURAL:
+            if (
+                tag == "html" and self.tags
+                or tag == "body" and self._has_body
+                or tag == "head" and (self._has_body or "head" in self._open)
+            ):
+                return
+            self._flush()
+            if tag == "body":
+                self._enter_body(implied=False)
+            elif not (tag in HEAD_ONLY or tag in ("html", "head", "frameset") or count("template")):
+                self._enter_body()
+            if tag in CLOSES_P and count("p"):
+                self._close(("p",), SCOPE)
+            if tag in ENDS:
+                ended, barrier = ENDS[tag]
+                if any(map(count, ended)):
+                    self._close(ended, barrier)
+            if tag in HEADINGS and stack and stack[-1][0] in HEADINGS:
+                self._pop_to(len(stack) - 1)
+        else:
+            self._flush()
+            if not self._has_body and not count("template"):
                 self._enter_body()
-        if tag in CLOSES_P and self._open.get("p"):
-            self._close({"p"}, SCOPE)
-        if tag in ENDS:
-            self._close(*ENDS[tag])
-        if tag in HEADINGS and self._stack and self.tags[self._stack[-1]] in HEADINGS:
-            self._pop_to(len(self._stack) - 1)
         self._push(tag, href)
         if empty:
-            self._pop_to(len(self._stack) - 1)
+            self._pop_to(len(stack) - 1)
 
     def _end_tag(self, tag: str) -> None:
         if tag in ("html", "body") or not self._open.get(tag):
             return  # what follows the end of the body still belongs to it
-        barrier = SPECIAL
-        if tag in SPECIAL:
-            barrier = SCOPE - {tag} if tag != "li" else SCOPE | {"ol", "ul"}
         self._flush()
-        self._close({tag}, barrier)
+        self._close((tag,), _END_BARRIERS.get(tag, SPECIAL))
 
     def _close(self, tags, barrier) -> None:
         """End the nearest open element of ``tags`` unless one of ``barrier`` comes first."""
-        for depth in range(len(self._stack) - 1, -1, -1):
-            tag = self.tags[self._stack[depth]]
+        stack = self._stack
+        for depth in range(len(stack) - 1, -1, -1):
+            tag = stack[depth][0]
             if tag in tags:
                 return self._pop_to(depth)
             if tag in barrier:
@@ -194,52 +209,55 @@ class PageReader:
     def _enter_body(self, implied: bool = True) -> None:
         if not self._has_body:
             self._has_body = True
-            self._pop_to(1 if self._stack and self.tags[self._stack[0]] == "html" else 0)
+            self._pop_to(1 if self._stack and self._stack[0][0] == "html" else 0)
             if implied:
                 self._push("body", None)
 
     def _push(self, tag: str, href: str | None) -> None:
-        parent = self.element_scopes[self._stack[-1]] if self._stack else 0
+        stack, tags = self._stack, self.tags
+        parent = stack[-1][2] if stack else 0
         scope = self._scope_ids.get((parent, tag))
         if scope is None:
-            kind = tag if tag in TEXT_CONTAINERS else self.scope_kinds[parent]
-            if tag in self.scopes[parent] and kind == self.scope_kinds[parent]:
-                scope = parent
-            else:
-                scope = len(self.scopes)
-                self.scopes.append(list(dict.fromkeys([*self.scopes[parent], tag])))
-                self.scope_kinds.append(kind)
-            self._scope_ids[parent, tag] = scope
-        self._stack.append(len(self.tags))
+            scope = self._new_scope(parent, tag)
+        stack.append((tag, len(tags), scope))
         self._open[tag] = self._open.get(tag, 0) + 1
-        self.tags.append(tag)
+        tags.append(tag)
         self.element_scopes.append(scope)
         self.firsts.append(len(self.texts))
         self.lasts.append(-1)
         self.hrefs.append(href)
 
-    def _pop_to(self, depth: int) -> None:
-        while len(self._stack) > depth:
-            element = self._stack.pop()
-            self._open[self.tags[element]] -= 1
-            self.lasts[element] = len(self.texts)
+    def _new_scope(self, parent: int, tag: str) -> int:
+        kind = tag if tag in TEXT_CONTAINERS else self.scope_kinds[parent]
+        if tag in self.scopes[parent] and kind == self.scope_kinds[parent]:
+            scope = parent
+        else:
+            scope = len(self.scopes)
+            self.scopes.append(list(dict.fromkeys([*self.scopes[parent], tag])))
+            self.scope_kinds.append(kind)
+        self._scope_ids[parent, tag] = scope
+        return scope
 
-    def _add_text(self, text: str) -> None:
-        self._pending.append(unescape(text) if "&" in text else text)
+    def _pop_to(self, depth: int) -> None:
+        stack, last = self._stack, len(self.texts)
+        while len(stack) > depth:
+            tag, element, _ = stack.pop()
+            self._open[tag] -= 1
+            self.lasts[element] = last
 
     def _flush(self) -> None:
         """Store the pending text run below the innermost open element."""
-        if not self._pending:
+        pending, stack = self._pending, self._stack
+        if not pending:
             return
-        text = "".join(self._pending)
-        self._pending.clear()
+        text = pending[0] if len(pending) == 1 else "".join(pending)
+        pending.clear()
         if not text:
             return
-        top = self.tags[self._stack[-1]] if self._stack else "html"
-        if not self._has_body and top in ("html", "head"):
+        if not self._has_body and (not stack or stack[-1][0] in ("html", "head")):
             if text.isspace():
                 return
             self._enter_body()
             self._push("p", None)  # bare text makes a paragraph of its own
         self.texts.append(text)
-        self.text_scopes.append(self.element_scopes[self._stack[-1]] if self._stack else 0)
+        self.text_scopes.append(stack[-1][2] if stack else 0)

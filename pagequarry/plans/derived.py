@@ -52,8 +52,8 @@ FROM {pages}
 _FETCH_CASES = """
 (0, false, 1, 'http_error', 503, 'none'), (0, false, 2, 'ok', 200, 'full'),
 (1, false, 1, 'http_error', 404, 'none'),
-(2, false, 1, 'timeout', 0, 'none'), (2, false, 2, 'connection', 0, 'none'),
-(2, false, 3, 'http_error', 500, 'none'), (2, false, 4, 'ok', 200, 'full'),
+(2, false, 1, 'http_error', 500, 'none'), (2, false, 2, 'connection', 0, 'none'),
+(2, false, 3, 'timeout', 0, 'none'), (2, false, 4, 'ok', 200, 'full'),
 (3, false, 1, 'redirect_loop', 0, 'none'), (3, false, 2, 'ok', 200, 'full'),
 (4, false, 1, 'other', 0, 'none'), (4, false, 2, 'timeout', 0, 'none'), (4, false, 3, 'ok', 203, 'full'),
 (5, false, 1, 'ok', 200, 'shell'), (5, true, 1, 'ok', 200, 'full'),

@@ -52,13 +52,14 @@ def scrape_batch(
     aggregation, and its output is joined to the requests as it is partitioned.
     """
     checked = R.validate(R.with_defaults(requests)).withColumnRenamed("error", "refused")
-    jobs = R.normalize_requests(checked).select(key, "url", "use_browser", "refused")
+    jobs = R.normalize_requests(checked).select(key, "url", "use_browser", "timeout", "refused")
     responses = _responses(fetches, key, content_tags, noise_tags)
-    response = F.struct(*[c for c in responses.columns if c not in (key, "use_browser", "attempt")])
+    carried = [c for c in responses.columns if c not in (key, "use_browser", "attempt", "kind")]
+    response = F.struct(*carried)
     static = F.when(~F.col("use_browser"), F.col("attempt"))
     settled = responses.groupBy(key).agg(
         F.min_by(response, F.when(F.col("outcome") != L.RETRY, static)).alias("static"),
-        F.max_by(F.struct("error", "fetched_at"), static).alias("last"),
+        F.max_by(F.struct("kind", "error", "fetched_at"), static).alias("last"),
         F.max(static).alias("attempts"),
         F.min_by(response, F.when(F.col("use_browser"), F.col("attempt"))).alias("rendered"),
     )
@@ -74,7 +75,7 @@ def _responses(
     """Log rows that can matter, as responses with their extracted page instead of markup."""
     rendering, kind, status = F.col("use_browser"), F.col("kind"), F.col("status_code")
     loaded = F.when(kind == "ok", L.SUCCESS).otherwise(L.TERMINAL)
-    timeout = F.lit(S.REQUEST_TIMEOUT)
+    timeout = F.lit(S.REQUEST_TIMEOUT)  # the request's own is put in once they meet
     rows = (
         fetches.filter(rendering | (F.col("attempt") <= S.MAX_ATTEMPTS))
         .select(
@@ -82,6 +83,7 @@ def _responses(
             R.normal_request_url(F.col("url")).alias("url"),
             "use_browser",
             "attempt",
+            "kind",
             "fetched_at",
             F.when(rendering, loaded).otherwise(L.outcome(kind, status)).alias("outcome"),
             F.when(rendering, L.render_error(kind, F.col("error")))
@@ -101,6 +103,7 @@ def _responses(
         key,
         "use_browser",
         "attempt",
+        "kind",
         "outcome",
         "status_code",
         "title",
@@ -128,11 +131,16 @@ def _results(jobs: DataFrame, key: str, auto_browser: bool) -> DataFrame:
     exhausted = (
         accepted & ~by_browser & static.isNull() & (F.col("attempts") >= S.MAX_ATTEMPTS)
     )
+    last_error = F.when(
+        F.col("last.kind") == "timeout",
+        F.format_string(S.ERROR_TIMEOUT, F.col("timeout").cast("string")),
+    ).otherwise(F.col("last.error"))
     picked = jobs.select(
         key,
         "url",
         "refused",
-        F.col("last"),
+        "last",
+        last_error.alias("last_error"),
         chosen.alias("chosen"),
         F.coalesce(exhausted, F.lit(False)).alias("exhausted"),
         (accepted & by_browser).alias("used_browser"),
@@ -147,7 +155,7 @@ def _results(jobs: DataFrame, key: str, auto_browser: bool) -> DataFrame:
         F.coalesce("chosen.links", F.array().cast("array<string>")).alias("links"),
         F.when(failed, False).otherwise(F.col("chosen.success")).alias("success"),
         F.when(F.col("refused").isNotNull(), F.col("refused"))
-        .when(F.col("exhausted"), L.exhausted_error(F.col("last.error")))
+        .when(F.col("exhausted"), L.exhausted_error(F.col("last_error")))
         .otherwise(F.col("chosen.error"))
         .alias("error"),
         F.when(F.col("exhausted"), F.col("last.fetched_at"))

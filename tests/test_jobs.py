@@ -165,7 +165,7 @@ def test_scrape_batch(spark):
         4: ("d", 200, "", True, None, False),
         5: ("", -1, "", False, "ScrapeRequest requires a non-empty URL.", False),
         6: ("f", -1, "", False, "Timeout must be a positive integer, got -1.", False),
-        7: ("g", -1, "", False, "Failed after 3 attempts: Request timed out after 30s", False),
+        7: ("g", -1, "", False, "Failed after 3 attempts: Request timed out after 9s", False),
         8: ("h", 404, "", False, "HTTP 404 error: gone", False),
         9: ("i", -1, "", False, "Playwright error: Crash: y", True),
         10: ("j", 200, "", False, S.ERROR_NO_HTML, False),
