@@ -127,13 +127,13 @@ def _merged_path(base: str, path: str) -> str:
         " WHEN segment = '..' THEN slice(done, 1, greatest(size(done) - 1, 0))"
         " WHEN segment = '.' THEN done ELSE concat(done, array(segment)) END"
     )
-    walked = f"aggregate(split(full, '/'), CAST(array() AS array<string>), {climb})"
-    ended = r"CASE WHEN full RLIKE r'(?:\A|/)\.\.?\z' THEN array('') ELSE CAST(array() AS array<string>) END"
+    walked = f"aggregate(split(whole, '/'), CAST(array() AS array<string>), {climb})"
+    ended = r"CASE WHEN whole RLIKE r'(?:\A|/)\.\.?\z' THEN array('') ELSE CAST(array() AS array<string>) END"
     without_dots = sql_let(f"array_join(concat({walked}, {ended}), '/')", "w", _rooted("w"))
     return sql_let(
         full,
-        "full",
-        rf"CASE WHEN full RLIKE r'(?:\A|/)\.\.?(?:/|\z)' THEN {without_dots} ELSE full END",
+        "whole",
+        rf"CASE WHEN whole RLIKE r'(?:\A|/)\.\.?(?:/|\z)' THEN {without_dots} ELSE whole END",
     )
 
 

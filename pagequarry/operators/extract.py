@@ -17,7 +17,7 @@ from pagequarry import settings as S
 from pagequarry.functions.dom import normalize, normalize_parts, page_dom
 from pagequarry.functions.markup import TEXT_CONTAINERS, PageReader
 from pagequarry.functions.text import collapse, sql_let, sql_strip, sql_text
-from pagequarry.functions.urls import sql_resolve_all
+from pagequarry.functions.urls import sql_resolve_all, url_domain
 
 
 def _tags(chosen: Sequence[str] | None, default: list[str]) -> str:
@@ -140,6 +140,20 @@ def page_links(pages: DataFrame, noise_tags: Sequence[str] | None = None) -> Dat
     return _select(page_dom(pages), F.expr(_pruned(noise_tags, _links())).alias("links"))
 
 
+def links_by_domain(linked: DataFrame) -> DataFrame:
+    """Links per target domain, those within a page's own site (``internal``) apart.
+
+    ``linked`` has ``url`` and ``links`` in normal form, where the host stands between the
+    second and third slash.
+    """
+    rows = linked.select(url_domain(F.col("url")).alias("own"), F.explode("links").alias("link"))
+    domain = F.split_part("link", F.lit("/"), F.lit(3))
+    split = rows.select(
+        domain.alias("domain"), F.coalesce(domain == F.col("own"), F.lit(False)).alias("internal")
+    )
+    return split.groupBy("domain", "internal").agg(F.count("*").alias("n_links"))
+
+
 def _clean_blocks(blocks: str) -> Column:
     return F.filter(F.transform(blocks, collapse), lambda b: b != "")
 

@@ -443,7 +443,7 @@ def empty_content_warning(spark, folder):
 
 
 def _url_forms(spark, folder):
-    return _from_pages(D.URL_FORMS, spark, folder)
+    return D.derive(D.URL_FORMS, pages=_spread_pages(spark, folder))
 
 
 @query
@@ -466,7 +466,7 @@ def url_domain(spark, folder):
 
 @query
 def url_resolve(spark, folder):
-    references = _from_pages(D.REFERENCES, spark, folder)
+    references = D.derive(D.REFERENCES, pages=_spread_pages(spark, folder))
     resolved = U.url_resolve(F.col("base"), F.col("reference"))
     return references.select("page_id", "reference", resolved.alias("resolved"))
 
@@ -483,15 +483,7 @@ def url_same_domain(spark, folder):
 
 @query
 def links_by_domain(spark, folder):
-    found = X.page_links(_spread_pages(spark, folder), LINK_NOISE)
-    rows = found.select("url", F.explode("links").alias("link"))
-    return (
-        rows.groupBy(
-            U.url_domain(F.col("link")).alias("domain"),
-            U.url_same_domain(F.col("url"), F.col("link")).alias("internal"),
-        )
-        .agg(F.count("*").alias("n_links"))
-    )
+    return X.links_by_domain(X.page_links(_spread_pages(spark, folder), LINK_NOISE))
 
 
 # -- reports and the whole job ---------------------------------------------------------

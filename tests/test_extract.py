@@ -120,6 +120,15 @@ def test_links_in_noise_are_lost_unless_asked_for(spark):
     assert kept.links == ["https://docs.example.org/a", "https://docs.example.org/b"]
 
 
+def test_links_by_domain(spark):
+    html = "<a href=/a>1</a><a href=http://Docs.example.org:80/x?y=1>2</a><a href=//o.net>3</a><a href=/b;>4</a>"
+    frame = spark.createDataFrame([(BASE, html), ("http://o.net", "<a href=c>5</a>")], "url string, html string")
+    got = {(r.domain, r.internal): r.n_links for r in X.links_by_domain(X.page_links(frame)).collect()}
+    assert got == {
+        ("docs.example.org", True): 2, ("docs.example.org:80", False): 1,
+        ("o.net", False): 1, ("o.net", True): 1}
+
+
 def test_custom_and_empty_tag_lists(spark):
     html = "<p>Paragraph</p><span>Span</span><script>s</script>"
     assert one(spark, html, content_tags=["span"]).content == "Span"
