@@ -6,8 +6,8 @@ blanks, control characters, ``;parameters``, bracketed hosts and malformed input
 Python accept.
 
 The expressions are written as SQL text, since they are used inside lambdas over the links of
-a page; Plain URLs, the great majority,
-are recognised by one pattern each and skip the long way.
+a page. Plain URLs and paths, the great majority, are recognised by one pattern each and skip
+the long way.
 """
 
 from __future__ import annotations
@@ -121,7 +121,7 @@ def _merged_path(base: str, path: str) -> str:
     """Path of a reference against the base path, with ``.`` and ``..`` taken out."""
     # empty segments vanish when a path is merged, except at its ends
     merged = f"regexp_replace(concat(regexp_replace({base}, r'(?s)[^/]*\\z', ''), {path}), '/{{2,}}', '/')"
-    full = f"CASE WHEN startswith({path}, '/') THEN {path} ELSE {sql_let(merged, 'm', _rooted('m'))} END"
+    whole = f"CASE WHEN startswith({path}, '/') THEN {path} ELSE {sql_let(merged, 'm', _rooted('m'))} END"
     climb = (
         "(done, segment) -> CASE"
         " WHEN segment = '..' THEN slice(done, 1, greatest(size(done) - 1, 0))"
@@ -131,7 +131,7 @@ def _merged_path(base: str, path: str) -> str:
     ended = r"CASE WHEN whole RLIKE r'(?:\A|/)\.\.?\z' THEN array('') ELSE CAST(array() AS array<string>) END"
     without_dots = sql_let(f"array_join(concat({walked}, {ended}), '/')", "w", _rooted("w"))
     return sql_let(
-        full,
+        whole,
         "whole",
         rf"CASE WHEN whole RLIKE r'(?:\A|/)\.\.?(?:/|\z)' THEN {without_dots} ELSE whole END",
     )

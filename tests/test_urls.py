@@ -130,6 +130,12 @@ def test_any_text(spark, texts):
     check(spark, pairs)
 
 
+def test_very_long_urls(spark):
+    long = ["/" + "a/" * 50_000, "http://a.com/" + "é" * 100_000, "?" + "a=1&" * 20_000, "x/" * 20_000 + "y",
+            "../" * 1000 + "z", "/a" + "/./b" * 500, "http://" + "h" * 50_000, ";" * 50_000, "#" * 50_000, "%" * 20_000]
+    assert check(spark, [(BASES[0], url) for url in long]) == len(long)
+
+
 def test_normalizing_twice_changes_nothing(spark):
     rnd = random.Random(7)
     urls = [("http://h" + "".join(rnd.choice(PIECES) for _ in range(6)),) for _ in range(2000)]
