@@ -35,6 +35,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "4g
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        # recording the Python line of every column operation costs several calls to the JVM
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     return tune(builder.getOrCreate())
 
