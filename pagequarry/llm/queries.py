@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import quality, toxicity
+from pagequarry.llm import bpe, quality, toxicity
 from pagequarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,15 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.read_vocabulary(public_tokenizers.path(name), public_tokenizers.PATTERN)
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of tokens and digests of the ids and of the decoded bytes of every document."""
+    return bpe.token_digests(table(spark, folder, "documents"), public_vocabulary())
