@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import bpe, quality, toxicity
+from pagequarry.llm import bpe, decontaminate, quality, toxicity
 from pagequarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,9 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> bpe.Vocabulary:
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Number of tokens and digests of the ids and of the decoded bytes of every document."""
     return bpe.token_digests(table(spark, folder, "documents"), public_vocabulary())
+
+
+@query
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item found in it."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
