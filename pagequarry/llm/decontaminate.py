@@ -20,6 +20,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -220,8 +221,8 @@ def _spark_words():
     return F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))
 
 
-def indexes(items: DataFrame) -> Iterator[Index]:
-    """The index, or the indexes of the shards. Items without words are left out."""
+def index_parts(items: DataFrame) -> Iterator[tuple]:
+    """What the index, or that of each shard, is made of. Items without words are left out."""
     items = (
         items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
         .distinct()
@@ -247,7 +248,7 @@ def indexes(items: DataFrame) -> Iterator[Index]:
         for r in rows:
             for w in words_of(r.text):
                 known.setdefault(w, 1)
-        yield Index([(r.item_id, r.text) for r in rows], known, total.n, total.length)
+        yield [(r.item_id, r.text) for r in rows], known, total.n, total.length
 
 
 FOUND = [
@@ -257,6 +258,16 @@ FOUND = [
 ]
 
 
+def _finder(shared):
+    index = Index(*shared.value)
+    return lambda doc_id, text: [(doc_id, *f) for f in index.search(text)]
+
+
+def _tester(shared):
+    index = Index(*shared.value)
+    return lambda text: (bool(index.search(text)),)
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row per document and item found in it: doc_id, item_id, score, overlaps, first_word.
 
@@ -265,12 +276,12 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     sc = docs.sparkSession.sparkContext
     found = None
-    for index in indexes(items):
-        shared = sc.broadcast(index)  # at most SHARD_ITEMS items
+    for parts in index_parts(items):
+        shared = sc.broadcast(parts)  # at most SHARD_ITEMS items
         rows = flat_map_rows(
             docs,
             ["doc_id", "text"],
-            lambda shared=shared: lambda doc_id, text: [(doc_id, *f) for f in shared.value.search(text)],
+            partial(_finder, shared),
             [T.StructField("doc_id", T.LongType()), *FOUND],
         )
         found = rows if found is None else found.unionByName(rows)
@@ -283,12 +294,12 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def without_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with their own columns."""
     sc, columns = docs.sparkSession.sparkContext, docs.columns
-    for index in indexes(items):
-        shared = sc.broadcast(index)
+    for parts in index_parts(items):
+        shared = sc.broadcast(parts)
         rows = map_rows(
             docs,
             ["text"],
-            lambda shared=shared: lambda text: (bool(shared.value.search(text)),),
+            partial(_tester, shared),
             [T.StructField("__found", T.BooleanType())],
             columns,
         )
