@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import bpe, decontaminate, quality, toxicity
+from pagequarry.llm import bpe, decontaminate, neardup, quality, toxicity
 from pagequarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and benchmark item found in it."""
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every document, and which one of each class is kept."""
+    return neardup.near_duplicates(table(spark, folder, "documents"))
