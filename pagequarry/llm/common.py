@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,18 +21,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """The folder of ``spark.checkpoint.dir``; ``fallback`` only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder.rstrip("/")
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="pagequarry-llm-")
+
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` write below ``spark.checkpoint.dir``."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    Only a local session without that setting gets a folder of its own machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _own_folder()
+    return folder.rstrip("/")
 
 
 def remainder(column: str, divisor: int) -> Column:
