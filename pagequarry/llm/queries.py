@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import bpe, decontaminate, neardup, quality, toxicity
+from pagequarry.llm import bpe, brown, decontaminate, licenses, neardup, quality, toxicity
 from pagequarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,15 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Class of every document, and which one of each class is kept."""
     return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Base phrases and license notices of every document."""
+    return licenses.licenses(table(spark, folder, "documents"))
+
+
+@query
+def op9_brown(spark: SparkSession, folder: str) -> DataFrame:
+    """Base score and class-based score of every document."""
+    return brown.lm_scores(table(spark, folder, "documents"))
