@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from pagequarry.llm import bpe, brown, decontaminate, licenses, neardup, quality, toxicity
+from pyspark.sql import functions as F
+
+from pagequarry.llm import (
+    bpe,
+    brown,
+    decontaminate,
+    forest,
+    licenses,
+    neardup,
+    quality,
+    tokencounts,
+    toxicity,
+)
 from pagequarry.llm.common import table
+from pagequarry.llm.components import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +76,23 @@ def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
 def op9_brown(spark: SparkSession, folder: str) -> DataFrame:
     """Base score and class-based score of every document."""
     return brown.lm_scores(table(spark, folder, "documents"))
+
+
+@query
+def op2_hash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every row whose id is divisible by 20."""
+    return forest.nearest_of_queries(table(spark, folder, "embeddings"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token totals after all batches of a history of changes, one of which is sent twice."""
+    space = Workspace(spark, "tokencounts")
+    changes = space.keep(tokencounts.document_changes(table(spark, folder, "documents")), "changes")
+    store = tokencounts.Store(spark, f"{space.folder}/store")
+    for batch in (1, 2, 2, 3):
+        store.commit(str(batch), changes.filter(F.col("batch") == batch))
+    return store.totals()
+
+
+ORACLES["op3_token_counts"] = tokencounts.ORACLE
