@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm import (
+    blocks,
     bpe,
     brown,
     decontaminate,
@@ -96,3 +97,9 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op3_token_counts"] = tokencounts.ORACLE
+
+
+@query
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return blocks.extracted(table(spark, folder, "pages"))
