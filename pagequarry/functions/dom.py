@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from pagequarry.functions.markup import PageReader
 from pagequarry.schemas import DOM
-from pagequarry.settings import ERROR_PARSE
+from pagequarry.settings import ERROR_PARSE, NOISE_TAGS
 
 
 def _dom_array(html: pa.Array, reader: Callable[[str], PageReader]) -> pa.Array:
@@ -72,13 +73,20 @@ def _dom_array(html: pa.Array, reader: Callable[[str], PageReader]) -> pa.Array:
 
 
 def page_dom(
-    pages: DataFrame, html: str = "html", reader: Callable[[str], PageReader] = PageReader
+    pages: DataFrame,
+    html: str = "html",
+    reader: Callable[[str], PageReader] | None = None,
+    scope_tags: Sequence[str] | None = None,
 ) -> DataFrame:
     """``pages`` with ``dom`` (see ``schemas.DOM``) in place of the markup.
 
+    The scopes of ``dom`` know the tags in ``scope_tags`` (the default noise tags if not
+    given): give the noise tags that later steps will use.
+
     A page the reader fails on keeps its row, with the failure in ``dom.error`` and nothing
     else; other pages are not affected. Later steps never carry the markup.
     """
+    reader = reader or partial(PageReader, scope_tags=list(scope_tags or NOISE_TAGS))
     kept = [f for f in pages.schema if f.name != html]
     names = [f.name for f in kept]
 

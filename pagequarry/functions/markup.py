@@ -2,16 +2,20 @@
 
 This is the only per-page Python in the package. It follows the tokenizer and the cheap
 tree-repair rules of the HTML Living Standard; choosing, pruning and assembling is left to
-Spark expressions (see ``operators.extract``). Every pattern is possessive, so reading is
+Spark expressions (see ``operators.extract``). Every pattern is possessive, an end tag looks at
+a bounded number of open elements, and only tags asked for are listed per scope, so reading is
 linear in the size of the page.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 from html import unescape
 from html.entities import html5
 
+from pagequarry.settings import NOISE_TAGS
+
 # Fixed values from the HTML standard.
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
@@ -57,6 +61,9 @@ _END_BARRIERS = {tag: SCOPE - {tag} for tag in SPECIAL} | {"li": SCOPE | {"ol",
 # start tags that can do more than add an element to the body
 _STRUCTURAL = frozenset(["html", "head", "body", "frameset", *HEAD_ONLY, *CLOSES_P, *ENDS, *HEADINGS])
 
+# open elements looked at one by one before those further down are found by their tag
+_NEAR = 48
+
 # text, then a tag without attributes: by far the most frequent tokens
 _SIMPLE = re.compile(r"([^<]*+)<(/?)([A-Za-z][A-Za-z0-9]*+)>")
 _OPEN = re.compile(r"<(?:!(--)|(/?)([A-Za-z][^\t\n\f\r />]*+)|[!?/])")
@@ -91,11 +98,12 @@ class PageReader:
     """Elements and text runs of one page, in document order.
 
     An element covers the half-open range ``first..last`` of text runs below it. ``scopes``
-    lists the distinct sets of open tags; elements (themselves included) and text runs point
-    into it, so "is this inside a nav?" is one lookup.
+    lists the distinct sets of open tags, as far as they are among ``scope_tags``; elements
+    (themselves included) and text runs point into it, so "is this inside a nav?" is one lookup.
     """
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, scope_tags: Collection[str] = NOISE_TAGS):
+        self._scope_tags = frozenset(scope_tags)
         self.scopes: list[list[str]] = [[]]
         self.scope_kinds: list[str | None] = [None]
         self.tags: list[str] = []
@@ -107,7 +115,7 @@ class PageReader:
         self.text_scopes: list[int] = []
 
         self._stack: list[tuple[str, int, int]] = []  # tag, element, scope
-        self._open: dict[str, int] = {}
+        self._open: dict[str, list[int]] = {}  # by tag, the depths of its open elements
         self._scope_ids: dict[tuple[int, str], int] = {}
         self._has_body = False
         self._pending: list[str] = []
@@ -199,12 +207,17 @@ class PageReader:
     def _close(self, tags, barrier) -> None:
         """End the nearest open element of ``tags`` unless one of ``barrier`` comes first."""
         stack = self._stack
-        for depth in range(len(stack) - 1, -1, -1):
+        near = max(0, len(stack) - _NEAR)
+        for depth in range(len(stack) - 1, near - 1, -1):
             tag = stack[depth][0]
             if tag in tags:
                 return self._pop_to(depth)
             if tag in barrier:
                 return
+        if near:  # deeper down, only the topmost element of each tag is looked at
+            depth = max((self._open[t][-1] for t in tags if self._open.get(t)), default=-1)
+            if depth >= 0 and all(self._open[t][-1] < depth for t in barrier if self._open.get(t)):
+                self._pop_to(depth)
 
     def _enter_body(self, implied: bool = True) -> None:
         if not self._has_body:
@@ -219,8 +232,8 @@ class PageReader:
         scope = self._scope_ids.get((parent, tag))
         if scope is None:
             scope = self._new_scope(parent, tag)
+        self._open.setdefault(tag, []).append(len(stack))
         stack.append((tag, len(tags), scope))
-        self._open[tag] = self._open.get(tag, 0) + 1
         tags.append(tag)
         self.element_scopes.append(scope)
         self.firsts.append(len(self.texts))
@@ -229,11 +242,12 @@ class PageReader:
 
     def _new_scope(self, parent: int, tag: str) -> int:
         kind = tag if tag in TEXT_CONTAINERS else self.scope_kinds[parent]
-        if tag in self.scopes[parent] and kind == self.scope_kinds[parent]:
+        listed = tag not in self._scope_tags or tag in self.scopes[parent]
+        if listed and kind == self.scope_kinds[parent]:
             scope = parent
         else:
             scope = len(self.scopes)
-            self.scopes.append(list(dict.fromkeys([*self.scopes[parent], tag])))
+            self.scopes.append(self.scopes[parent] if listed else [*self.scopes[parent], tag])
             self.scope_kinds.append(kind)
         self._scope_ids[parent, tag] = scope
         return scope
@@ -242,7 +256,7 @@ class PageReader:
         stack, last = self._stack, len(self.texts)
         while len(stack) > depth:
             tag, element, _ = stack.pop()
-            self._open[tag] -= 1
+            self._open[tag].pop()
             self.lasts[element] = last
 
     def _flush(self) -> None:

@@ -77,21 +77,29 @@ def _blocks(content_tags: Sequence[str] | None) -> str:
     return f"filter({texts}, block -> block != '')"
 
 
-def _links() -> str:
-    """Absolute, valid, normalised links, first occurrences in document order."""
+def _hrefs() -> str:
+    """Link targets as written, first occurrences in document order."""
     anchors = "filter(tree.elements, element -> element.tag = 'a' AND element.href IS NOT NULL)"
     targets = f"transform({anchors}, element -> {sql_strip('element.href')})"
     skipped = " OR ".join(f"startswith(href, '{prefix}')" for prefix in S.SKIPPED_HREF_PREFIXES)
-    hrefs = f"array_distinct(filter({targets}, href -> href != '' AND NOT ({skipped})))"
-    known = f"filter({sql_resolve_all('url', hrefs)}, link -> link IS NOT NULL)"
+    return f"array_distinct(filter({targets}, href -> href != '' AND NOT ({skipped})))"
+
+
+def sql_links(url: str, hrefs: str) -> str:
+    """Absolute, valid, normalised links of targets on the page ``url``, each once."""
+    known = f"filter({sql_resolve_all(url, hrefs)}, link -> link IS NOT NULL)"
     return f"coalesce(array_distinct({known}), {_NO_STRINGS})"
 
 
+def _links(resolved: bool = True) -> str:
+    return sql_links("url", _hrefs()) if resolved else f"coalesce({_hrefs()}, {_NO_STRINGS})"
+
+
 _NO_STRINGS = "CAST(array() AS array<string>)"
 
 
 def kept_text(noise_tags: Sequence[str] | None = None) -> Column:
-    """All text of a page outside noise elements, as it stands."""
+    """All text of a page outside noise elements, as it stands; ``dom`` must know their tags."""
     return F.expr(_pruned(noise_tags, "array_join(transform(tree.texts, run -> run.text), '')"))
 
 
@@ -120,7 +128,7 @@ def _select(read: DataFrame, *outputs: Column) -> DataFrame:
 def page_titles(pages: DataFrame, noise_tags: Sequence[str] | None = None) -> DataFrame:
     """``title`` in place of ``html``."""
     title = F.expr(_pruned(noise_tags, _title())).alias("title")
-    titled = normalize(_select(page_dom(pages), title), ["title"])
+    titled = normalize(_select(page_dom(pages, scope_tags=noise_tags), title), ["title"])
     return titled.withColumn("title", collapse(F.col("title")))
 
 
@@ -131,13 +139,14 @@ def page_blocks(
 ) -> DataFrame:
     """``blocks`` (cleaned content texts in document order) in place of ``html``."""
     blocks = F.expr(_pruned(noise_tags, _blocks(content_tags))).alias("blocks")
-    found = normalize(_select(page_dom(pages), blocks), ["blocks"])
+    found = normalize(_select(page_dom(pages, scope_tags=noise_tags), blocks), ["blocks"])
     return found.withColumn("blocks", _clean_blocks("blocks"))
 
 
 def page_links(pages: DataFrame, noise_tags: Sequence[str] | None = None) -> DataFrame:
     """``links`` in place of ``html``; relative ones are resolved against ``url``."""
-    return _select(page_dom(pages), F.expr(_pruned(noise_tags, _links())).alias("links"))
+    read = page_dom(pages, scope_tags=noise_tags)
+    return _select(read, F.expr(_pruned(noise_tags, _links())).alias("links"))
 
 
 def links_by_domain(linked: DataFrame) -> DataFrame:
@@ -162,20 +171,23 @@ def extract(
     pages: DataFrame,
     content_tags: Sequence[str] | None = None,
     noise_tags: Sequence[str] | None = None,
-    reader: Callable[[str], PageReader] = PageReader,
+    reader: Callable[[str], PageReader] | None = None,
+    resolved: bool = True,
 ) -> DataFrame:
     """``title``, ``blocks``, ``links``, ``noise_removed`` and ``parse_error`` for ``html``.
 
+    Without ``resolved`` links stay as they are written, to be resolved later (``sql_links``).
+
     One reading of the markup serves all of them. Two Arrow steps (read, normalise), no
     exchange. Pages without markup, or that could not be read, get empty outputs. Filter
     pages before this step: filters do not move below it.
     """
     parts = _pruned(
         noise_tags,
-        f"named_struct('title', {_title()}, 'blocks', {_blocks(content_tags)}, 'links', {_links()})",
+        f"named_struct('title', {_title()}, 'blocks', {_blocks(content_tags)}, 'links', {_links(resolved)})",
     )
     read = _select(
-        page_dom(pages, reader=reader),
+        page_dom(pages, reader=reader, scope_tags=noise_tags),
         F.expr(parts).alias("parts"),
         noise_count(noise_tags).alias("noise_removed"),
         F.col("dom.error").alias("parse_error"),
@@ -189,11 +201,23 @@ def extract(
     )
 
 
+def metrics(parsed: DataFrame) -> DataFrame:
+    """One row of totals over parsed pages (see ``parse``)."""
+    return parsed.agg(
+        F.count("*").alias("pages"),
+        F.count_if("success").alias("parsed"),
+        F.sum("noise_removed").alias("noise_removed"),
+        F.sum("n_blocks").alias("blocks"),
+        F.sum(F.length("content")).alias("content_chars"),
+        F.sum(F.size("links")).alias("links"),
+    )
+
+
 def parse(
     fetched: DataFrame,
     content_tags: Sequence[str] | None = None,
     noise_tags: Sequence[str] | None = None,
-    reader: Callable[[str], PageReader] = PageReader,
+    reader: Callable[[str], PageReader] | None = None,
 ) -> DataFrame:
     """Fill title, content and links of fetched pages (``url, html, success, error, …``).
 

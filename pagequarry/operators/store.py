@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry import settings as S
-from pagequarry.operators.skew import even_join
 
 
 def storage_key(url: Column) -> Column:
@@ -59,6 +58,18 @@ def asked_for(stored: DataFrame, keyed: DataFrame) -> DataFrame:
     return stored.join(keyed.select("storage_key").distinct(), "storage_key", "left_semi")
 
 
+def _matched(keyed: DataFrame, right: DataFrame, how: str, spread_by: str) -> DataFrame:
+    """``keyed`` joined to ``right``, which has one row per storage key.
+
+    Keys asked for very often are split by Spark's skew join at run time. Requests without
+    a key match nothing; they are dealt out by their id instead of meeting in one partition
+    (no storage key has a line break).
+    """
+    spread = F.format_string("\n%d", F.pmod(F.xxhash64(spread_by), F.lit(1024)))
+    by = keyed.withColumn("__by", F.coalesce("storage_key", spread))
+    return by.join(right.withColumnRenamed("storage_key", "__by"), "__by", how).drop("__by")
+
+
 def lookup(
     requests: DataFrame, stored: DataFrame, request_id: str, selective: bool = True
 ) -> DataFrame:
@@ -70,21 +81,19 @@ def lookup(
     keyed = with_key(requests)
     rows = asked_for(stored, keyed) if selective else stored
     found = rows.select("storage_key", F.struct(*stored.columns).alias("result"))
-    return even_join(keyed, found, "storage_key", "left", [request_id])
+    return _matched(keyed, found, "left", request_id)
 
 
 def already_scraped(requests: DataFrame, stored: DataFrame, request_id: str) -> DataFrame:
     """Requests with a stored result."""
     keyed = with_key(requests)
-    known = asked_for(stored.select("storage_key"), keyed)
-    return even_join(keyed, known, "storage_key", "left_semi", [request_id])
+    return _matched(keyed, stored.select("storage_key"), "left_semi", request_id)
 
 
 def to_scrape(requests: DataFrame, stored: DataFrame, request_id: str) -> DataFrame:
     """Requests without a stored result."""
     keyed = with_key(requests)
-    known = asked_for(stored.select("storage_key"), keyed)
-    return even_join(keyed, known, "storage_key", "left_anti", [request_id])
+    return _matched(keyed, stored.select("storage_key"), "left_anti", request_id)
 
 
 def delete(stored: DataFrame, urls: DataFrame) -> DataFrame:
@@ -100,7 +109,7 @@ def deletions(stored: DataFrame, urls: DataFrame, request_id: str) -> DataFrame:
     keyed = with_key(urls)
     first = keyed.groupBy("storage_key").agg(F.min(request_id).alias("first"))
     hits = stored.select("storage_key").join(first, "storage_key")
-    marked = even_join(keyed, hits, "storage_key", "left", [request_id])
+    marked = _matched(keyed, hits, "left", request_id)
     return marked.withColumn(
         "deleted", F.coalesce(F.col(request_id) == F.col("first"), F.lit(False))
     ).drop("first")

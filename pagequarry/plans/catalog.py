@@ -432,10 +432,21 @@ def page_metrics(spark, folder):
     )
 
 
+@query
+def page_metrics_totals(spark, folder):
+    """The figures of ``page_metrics`` over all pages, as one row."""
+    each = X.parse(_fetched(_spread_pages(spark, folder)), noise_tags=[*LINK_NOISE, "footer"])
+    return X.metrics(each)
+
+
 @query
 def empty_content_warning(spark, folder):
-    """Asked for headings of the third level, which most pages lack."""
-    parsed = X.parse(_fetched(_spread_pages(spark, folder)), ["h3", "b"])
+    """Asked for paragraphs, of which some pages (going by their URL) have none."""
+    without = F.replace(F.replace("html", F.lit("<p>"), F.lit("<div>")), F.lit("</p>"), F.lit("</div>"))
+    pages = _spread_pages(spark, folder).withColumn(
+        "html", F.when(F.col("url").contains("?"), without).otherwise(F.col("html"))
+    )
+    parsed = X.parse(_fetched(pages), ["p"])
     return P.without_content(parsed).select("page_id", "url", "title")
 
 
@@ -474,16 +485,21 @@ def url_resolve(spark, folder):
 @query
 def url_same_domain(spark, folder):
     """Each form of a URL against the plain URL of its page."""
-    forms = _url_forms(spark, folder).join(
-        _pages(spark, folder).select("page_id", F.col("url").alias("plain")), "page_id"
-    )
+    forms = _url_forms(spark, folder)
     same = U.url_same_domain(F.col("url"), F.col("plain"))
     return forms.select("page_id", "form", same.alias("same"))
 
 
 @query
 def links_by_domain(spark, folder):
-    return X.links_by_domain(X.page_links(_spread_pages(spark, folder), LINK_NOISE))
+    """Links of the pages, and links resolved from all kinds of references, some to other sites."""
+    own = X.page_links(_spread_pages(spark, folder), LINK_NOISE).select("url", "links")
+    references = D.derive(D.REFERENCES, pages=_spread_pages(spark, folder))
+    resolved = U.url_resolve(F.col("base"), F.col("reference"))
+    others = references.select(
+        F.col("base").alias("url"), F.array_compact(F.array(resolved)).alias("links")
+    )
+    return X.links_by_domain(own.unionByName(others))
 
 
 # -- reports and the whole job ---------------------------------------------------------
@@ -532,16 +548,21 @@ def _jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def _scrape_batch(spark, folder):
-    return scrape_batch(_jobs(spark, folder), _fetches(spark, folder)).select(
-        "request_id", "url", *_big("status_code"), "title", "content",
-        F.size("links").cast("bigint").alias("n_links"), "success", "error",
+    """Noise tags that leave the navigation, so that there are links to compare."""
+    results = scrape_batch(
+        _jobs(spark, folder), _fetches(spark, folder),
+        content_tags=["p", "h1"], noise_tags=[*LINK_NOISE, "footer"],
+    )
+    return results.select(
+        "request_id", "url", *_big("status_code"), "title", "content", _joined("links"), "success", "error",
         results_source.iso_timestamp(F.col("scraped_at")).alias("scraped_at"), "used_browser",
     )
 
 
 @query
 def _scrape_pages(spark, folder):
-    results = scrape_pages(_spread_pages(spark, folder), noise_tags=LINK_NOISE + ["nav", "footer"])
+    results = scrape_pages(_spread_pages(spark, folder), ["p", "h1"], [*LINK_NOISE, "footer"])
     return results.select(
-        "page_id", "url", *_big("status_code"), "title", "content", "success", "error", "used_browser"
+        "page_id", "url", *_big("status_code"), "title", "content", _joined("links"), "success", "error",
+        "used_browser",
     )

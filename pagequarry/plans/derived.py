@@ -9,27 +9,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Jobs of up to four logged attempts each, made from events.
+# Jobs of four logged attempts each, made from events; one in seven is two jobs of two attempts.
 ATTEMPTS = """
-SELECT CAST((event_id - event_id % 4) / 4 AS BIGINT) AS job,
-       concat('https://site', CAST(CAST((event_id - event_id % 4) / 4 AS BIGINT) % 97 AS STRING),
-              '.example.com/', CAST(CAST((event_id - event_id % 4) / 4 AS BIGINT) AS STRING)) AS url,
-       CAST(event_id % 4 + 1 AS INT) AS attempt,
+SELECT job,
+       concat('https://site', CAST(job % 97 AS STRING), '.example.com/', CAST(job AS STRING)) AS url,
+       attempt,
        CASE WHEN event_type = 'view' AND value < 30 THEN 'ok'
             WHEN event_type = 'view' THEN 'redirect_loop'
             WHEN event_type = 'error' AND value < 10 THEN 'other'
             WHEN event_type IN ('error', 'click') THEN 'http_error'
+            WHEN event_type = 'purchase' AND value < 40 THEN 'ok'
             WHEN value < 20 THEN 'timeout'
             ELSE 'connection' END AS kind,
        CAST(CASE WHEN event_type = 'view' AND value < 30 THEN 200
+                 WHEN event_type = 'purchase' AND value < 40 THEN 203
                  WHEN event_type = 'click' THEN CASE WHEN value < 5 THEN 404 ELSE 502 END
                  WHEN event_type = 'error' AND value >= 10 THEN 503 END AS INT) AS status_code,
        CASE WHEN event_type = 'error' AND value < 10 THEN concat('ValueError: ', props)
             WHEN event_type IN ('error', 'click') THEN concat('answer for event ', CAST(event_id AS STRING))
             END AS error,
        user_id % 5 = 0 AS use_browser
-FROM {events}
-WHERE event_type <> 'purchase'
+FROM (SELECT event_id, event_type, value, props, user_id,
+             CASE WHEN four % 7 = 0 AND event_id % 4 >= 2 THEN four + 1000000000 ELSE four END AS job,
+             CAST(event_id % (CASE WHEN four % 7 = 0 THEN 2 ELSE 4 END) + 1 AS INT) AS attempt
+      FROM (SELECT *, CAST((event_id - event_id % 4) / 4 AS BIGINT) AS four FROM {events}) f) e
 """
 
 # Requests made from pages, some of them as users type them.
@@ -48,7 +51,7 @@ SELECT page_id AS request_id,
 FROM {pages}
 """
 
-# What happens to a page when it is fetched: (case, rendered, attempt, kind, status, markup).
+# What happens to a page when it is fetched (one in three from a URL it was redirected to): (case, rendered, attempt, kind, status, markup).
 _FETCH_CASES = """
 (0, false, 1, 'http_error', 503, 'none'), (0, false, 2, 'ok', 200, 'full'),
 (1, false, 1, 'http_error', 404, 'none'),
@@ -65,7 +68,9 @@ _FETCH_CASES = """
 """
 
 FETCHES = f"""
-SELECT p.page_id AS request_id, p.url, c.rendered AS use_browser, CAST(c.attempt AS INT) AS attempt,
+SELECT p.page_id AS request_id,
+       CASE WHEN p.page_id % 3 = 1 THEN concat('https://moved.example.org/to/', CAST(p.page_id AS STRING))
+            ELSE p.url END AS url, c.rendered AS use_browser, CAST(c.attempt AS INT) AS attempt,
        c.kind, CAST(CASE WHEN c.status > 0 THEN c.status END AS INT) AS status_code,
        CASE c.markup WHEN 'full' THEN p.html
                      WHEN 'shell' THEN concat('<html><head><title>App ', CAST(p.page_id AS STRING),
@@ -85,7 +90,7 @@ _URL_FORMS = ["as_is", "upper_scheme", "blanks", "no_host", "no_scheme", "query"
               "control", "six", "six_bad", "empty"]
 
 URL_FORMS = """
-SELECT p.page_id, p.form,
+SELECT p.page_id, p.form, p.url AS plain,
        CASE p.form
             WHEN 'upper_scheme' THEN replace(replace(p.url, 'https://', 'HTTPS://'), 'http://', 'HtTP://')
             WHEN 'blanks' THEN concat('  ', p.url, ' ')
@@ -152,19 +157,24 @@ WHERE url LIKE '%/en/%'
 # Stored JSON documents, some with missing, null or wrong fields, some cut off.
 DOCUMENTS = """
 SELECT page_id,
-       CASE page_id % 9
+       CASE page_id % 10
             WHEN 0 THEN concat('{{"url": "', url, '"}}')
             WHEN 1 THEN concat('{{"url": "', url, '", "title": null, "status_code": null}}')
             WHEN 2 THEN concat('{{"url": "', url, '", "title": "T ', CAST(page_id AS STRING), '", "scraped_at": ""}}')
             WHEN 3 THEN concat('{{"url": "', url, '", "scraped_at": "2024-01-02T03:04:05+00:00", "status_code": 404}}')
-            WHEN 4 THEN concat('{{"url": "', url, '", "scraped_at": "no time"}}')
+            WHEN 4 THEN concat('{{"url": "', url, '", "scraped_at": "',
+                 {each_time}[CAST((page_id - page_id % 10) / 10 AS INT) % 12 {base}], '"}}')
             WHEN 5 THEN concat('{{"url": "', url, '", "title": "cut')
             WHEN 6 THEN concat('["', url, '"]')
+            WHEN 8 THEN concat('{{"url": "first", "url": "', url, '", "status_code": 1, "status_code": 200, "extra": NaN}}')
             WHEN 7 THEN concat('{{"title": "only é", "links": ["', url, '", "/x"], "success": true, "used_browser": true}}')
             ELSE concat('{{"url": "', url, '", "scraped_at": 17, "error": "E", "content": "a b"}}') END AS value
 FROM {pages}
 """
 
+# Time texts, some of which are no ISO 8601 date and time.
+_TIMES = ["no time", "2024", "2024-01", "2024-1-2", "2024-01-02 03:04:05 UTC", "12:30", "T12:30",
+          "20240102", "20240102T030405", "2024-W01-1", "2024-01-02T03:04:05Z", "2024-01-02 03:04"]
 _LISTS = {"each_form": _URL_FORMS, "each_reference": _REFERENCES}
 
 
@@ -172,6 +182,9 @@ def _dialect(select: str, make_list: str, generator: str) -> str:
     for name, values in _LISTS.items():
         quoted = ", ".join(f"'{v}'" for v in values)
         select = select.replace(f"{{{name}}}", f"{generator}({make_list}({quoted}))")
+    quoted = ", ".join(f"'{t}'" for t in _TIMES)
+    select = select.replace("{each_time}", f"{make_list}({quoted})")
+    select = select.replace("{base}", "+ 1" if make_list == "list_value" else "")
     return select.replace("{list}", make_list)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry import settings as S
@@ -42,6 +42,7 @@ def scrape_batch(
 ) -> DataFrame:
     """One result per request.
 
+    ``key`` may be ``url``, compared in normal form. Links are relative to the request's URL.
     ``requests`` has ``key``, ``url`` and optional request columns; ``fetches`` has ``key``,
     ``url``, ``use_browser``, ``attempt``, ``kind``, ``status_code``, ``html``, ``error`` and
     ``fetched_at``, for static attempts and renderings alike.
@@ -52,18 +53,30 @@ def scrape_batch(
     aggregation, and its output is joined to the requests as it is partitioned.
     """
     checked = R.validate(R.with_defaults(requests)).withColumnRenamed("error", "refused")
-    jobs = R.normalize_requests(checked).select(key, "url", "use_browser", "timeout", "refused")
+    jobs = R.normalize_requests(checked).select(
+        _key(key).alias(_KEY), "url", "use_browser", "timeout", "refused"
+    )
     responses = _responses(fetches, key, content_tags, noise_tags)
-    carried = [c for c in responses.columns if c not in (key, "use_browser", "attempt", "kind")]
+    carried = [c for c in responses.columns if c not in (_KEY, "use_browser", "attempt", "kind")]
     response = F.struct(*carried)
     static = F.when(~F.col("use_browser"), F.col("attempt"))
-    settled = responses.groupBy(key).agg(
+    settled = responses.groupBy(_KEY).agg(
         F.min_by(response, F.when(F.col("outcome") != L.RETRY, static)).alias("static"),
         F.max_by(F.struct("kind", "error", "fetched_at"), static).alias("last"),
         F.max(static).alias("attempts"),
         F.min_by(response, F.when(F.col("use_browser"), F.col("attempt"))).alias("rendered"),
     )
-    return _results(jobs.join(settled, key, "left"), key, auto_browser)
+    results = _results(jobs.join(settled, _KEY, "left"), auto_browser)
+    return results.drop(_KEY) if key == "url" else results.withColumnRenamed(_KEY, key)
+
+
+# the key under a name of its own, as it may be the URL itself
+_KEY = "__key"
+
+
+def _key(key: str) -> Column:
+    """Requests and log rows that are matched by URL are matched by its normal form."""
+    return R.normal_request_url(F.col("url")) if key == "url" else F.col(key)
 
 
 def _responses(
@@ -79,8 +92,7 @@ def _responses(
     rows = (
         fetches.filter(rendering | (F.col("attempt") <= S.MAX_ATTEMPTS))
         .select(
-            key,
-            R.normal_request_url(F.col("url")).alias("url"),
+            _key(key).alias(_KEY),
             "use_browser",
             "attempt",
             "kind",
@@ -97,10 +109,11 @@ def _responses(
         .withColumn("sparse", L.is_sparse(F.col("html")))
         .withColumn("no_html", F.col("html") == "")
     )
-    parsed = X.extract(rows, content_tags, noise_tags)
+    # links are resolved when the page meets its request: the log's URL may be a redirect's
+    parsed = X.extract(rows, content_tags, noise_tags, resolved=False)
     parse_error = F.when(F.col("no_html"), F.lit(S.ERROR_NO_HTML)).otherwise(F.col("parse_error"))
     return parsed.select(
-        key,
+        _KEY,
         "use_browser",
         "attempt",
         "kind",
@@ -108,7 +121,7 @@ def _responses(
         "status_code",
         "title",
         F.array_join("blocks", "\n").alias("content"),
-        "links",
+        F.col("links").alias("hrefs"),
         ((F.col("outcome") == L.SUCCESS) & parse_error.isNull()).alias("success"),
         F.coalesce("error", parse_error).alias("error"),
         "sparse",
@@ -116,7 +129,7 @@ def _responses(
     )
 
 
-def _results(jobs: DataFrame, key: str, auto_browser: bool) -> DataFrame:
+def _results(jobs: DataFrame, auto_browser: bool) -> DataFrame:
     """The response that counts for each job, as a result row."""
     accepted = F.col("refused").isNull()
     render, static = F.col("rendered"), F.col("static")
@@ -136,7 +149,7 @@ def _results(jobs: DataFrame, key: str, auto_browser: bool) -> DataFrame:
         F.format_string(S.ERROR_TIMEOUT, F.col("timeout").cast("string")),
     ).otherwise(F.col("last.error"))
     picked = jobs.select(
-        key,
+        _KEY,
         "url",
         "refused",
         "last",
@@ -147,12 +160,12 @@ def _results(jobs: DataFrame, key: str, auto_browser: bool) -> DataFrame:
     )
     failed = F.col("refused").isNotNull() | F.col("exhausted")
     return picked.select(
-        key,
+        _KEY,
         "url",
         F.coalesce("chosen.status_code", F.lit(S.NO_STATUS)).alias("status_code"),
         F.coalesce("chosen.title", F.lit("")).alias("title"),
         F.coalesce("chosen.content", F.lit("")).alias("content"),
-        F.coalesce("chosen.links", F.array().cast("array<string>")).alias("links"),
+        F.expr(X.sql_links("url", "chosen.hrefs")).alias("links"),
         F.when(failed, False).otherwise(F.col("chosen.success")).alias("success"),
         F.when(F.col("refused").isNotNull(), F.col("refused"))
         .when(F.col("exhausted"), L.exhausted_error(F.col("last_error")))

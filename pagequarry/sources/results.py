@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from datetime import datetime, timezone
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pagequarry import settings as S
 from pagequarry.operators.reports import utc_text
-from pagequarry.schemas import RESULT_COLUMNS
+from pagequarry.schemas import RESULT_COLUMNS, RESULTS
 
 
 def iso_timestamp(ts: Column) -> Column:
@@ -39,40 +46,87 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def parse_documents(documents: DataFrame, column: str = "value") -> DataFrame:
-    """Results from a column of JSON documents; unreadable documents are left out.
-
-    A missing key takes its default while an explicit null stays null, so documents are read
-    as variants, which can tell the two apart. A time that is missing or not text becomes
-    now; a time text that is no time makes the document unreadable.
+# a value of its own, as the reading step travels to the executors without the package
+_NO_STATUS = S.NO_STATUS
+
+
+def _time(value: object) -> datetime:
+    """A time text as ``datetime.fromisoformat`` reads it, without an offset as UTC; else now."""
+    if not isinstance(value, str) or not value:
+        return datetime.now(timezone.utc)
+    time = datetime.fromisoformat(value)
+    return time.astimezone(timezone.utc) if time.tzinfo else time.replace(tzinfo=timezone.utc)
+
+
+def _text(value: object) -> str | None:
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _read_document(text: str | None) -> dict:
+    """The fields of one stored document, or why it was refused."""
+    try:
+        data = json.loads(text if text is not None else "")
+        if not isinstance(data, dict):
+            raise ValueError("the document is no object")
+        status, links = data.get("status_code", _NO_STATUS), data.get("links", [])
+        return {
+            "url": _text(data.get("url", "")),
+            "status_code": int(status) if isinstance(status, int) and abs(status) < 1 << 31 else None,
+            "title": _text(data.get("title", "")),
+            "content": _text(data.get("content", "")),
+            "links": [_text(x) for x in links] if isinstance(links, list) else None,
+            "success": s if isinstance(s := data.get("success", False), bool) else None,
+            "error": _text(data.get("error")),
+            "scraped_at": _time(data.get("scraped_at")),
+            "used_browser": b if isinstance(b := data.get("used_browser", False), bool) else None,
+        }
+    except (ValueError, RecursionError, OverflowError) as e:
+        return {"refused": f"{type(e).__name__}: {e}"}
+
+
+def read_documents(documents: DataFrame, column: str = "value") -> DataFrame:
+    """Every row of ``documents`` with the fields of its JSON document and ``refused``.
+
+    A document is read as Python's ``json`` and ``datetime.fromisoformat`` read it, whatever
+    its size: of repeated keys the last counts, NaN is a number, a missing key takes its
+    default while an explicit null stays null. A time that is missing or not text becomes
+    now. A document that cannot be read keeps its row: its fields are null and
+    ``refused`` says why. Values of another type than the field's become null, or JSON text.
     """
-    document = F.try_parse_json(F.col(column))
-    read = documents.filter(F.is_valid_utf8(F.col(column))).select(document.alias("doc"))
-    objects = read.filter(F.schema_of_variant("doc").startswith("OBJECT"))
+    valid = F.is_valid_utf8(F.col(column))
+    kept = [f for f in documents.schema if f.name != column and f.name not in RESULT_COLUMNS]
+    source = documents.select(
+        *(f.name for f in kept), F.when(valid, F.col(column)).alias(column), valid.alias("__valid")
+    )
+    fields = [*RESULTS.fields, T.StructField("refused", T.StringType())]
+    kinds = {f.name: to_arrow_type(f.dataType, timestamp_utc=True) for f in fields}
 
-    def field(name: str, kind: str, default: Column) -> Column:
-        present = F.try_variant_get("doc", f"$.{name}", "variant").isNotNull()
-        return F.when(present, F.try_variant_get("doc", f"$.{name}", kind)).otherwise(default)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                {"refused": "the document is no UTF-8"} if valid is False else _read_document(text)
+                for text, valid in zip(batch.column(column).to_pylist(), batch.column("__valid").to_pylist())
+            ]
+            made = [pa.array([r.get(n) for r in rows], kind) for n, kind in kinds.items()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(f.name) for f in kept), *made], [*(f.name for f in kept), *kinds]
+            )
 
-    time = F.try_variant_get("doc", "$.scraped_at", "variant")
-    time_text = F.when(
-        F.schema_of_variant(time) == "STRING", F.try_variant_get("doc", "$.scraped_at", "string")
-    )
-    no_time = F.coalesce(time_text == "", F.lit(True))
-    values = objects.select(
-        field("url", "string", F.lit("")).alias("url"),
-        field("status_code", "int", F.lit(S.NO_STATUS)).alias("status_code"),
-        field("title", "string", F.lit("")).alias("title"),
-        field("content", "string", F.lit("")).alias("content"),
-        field("links", "array<string>", F.array().cast("array<string>")).alias("links"),
-        field("success", "boolean", F.lit(False)).alias("success"),
-        field("error", "string", F.lit(None).cast("string")).alias("error"),
-        F.when(no_time, F.current_timestamp())
-        .otherwise(F.try_to_timestamp(time_text))
-        .alias("scraped_at"),
-        field("used_browser", "boolean", F.lit(False)).alias("used_browser"),
-    )
-    return values.filter(F.col("scraped_at").isNotNull())
+    return source.mapInArrow(read, T.StructType([*kept, *fields]))
+
+
+def parse_documents(documents: DataFrame, column: str = "value") -> DataFrame:
+    """Results of the documents that can be read; ``read_documents`` also has the others."""
+    return read_documents(documents, column).filter("refused IS NULL").select(*RESULT_COLUMNS)
+
+
+def refused_documents(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Path and reason of stored documents that cannot be read."""
+    files = spark.read.text(path, wholetext=one_per_file)
+    named = files.select("value", F.col("_metadata.file_path").alias("path"))
+    return read_documents(named).filter("refused IS NOT NULL").select("path", "refused")
 
 
 def read_json(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:

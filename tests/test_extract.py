@@ -12,42 +12,27 @@ from pagequarry import settings as S
 
 BASE = "https://docs.example.org/3/"
 
-SIMPLE = """
-<html>
-<head><title>Language Guide</title></head>
-<body>
-    <nav>Navigation to be dropped</nav>
-    <h1>Welcome</h1>
-    <p>It is a language.</p>
-    <p>It is easy.</p>
-    <footer>Footer to be dropped</footer>
-    <script>alert('dropped')</script>
-</body>
-</html>
-"""
-LINKS = """
-<html><head><title>Links</title></head><body>
-    <a href="https://docs.example.org/3/tutorial/">Tutorial</a>
-    <a href="/3/library/">Library</a>
-    <a href="#section">Fragment only</a>
-    <a href="mailto:test@example.com">Email</a>
-    <a href="tel:123">Call</a>
-    <a href="javascript:void(0)">Script</a>
-    <a href="JavaScript:void(0)">Script</a>
-    <a href="data:text/plain,x">Data</a>
-    <a href="">Empty</a>
-    <a href="  ">Blank</a>
-    <a>None</a>
-    <a href=" other?b=2&amp;a=1#f ">Relative</a>
-    <a href="https://docs.example.org/3/tutorial/#part">Same page, other part</a>
-    <a href="HTTPS://Docs.Example.ORG">Home</a>
-    <a href="//cdn.example.net">Other host</a>
-</body></html>
-"""
+# the parts of a page that count, between all kinds that do not
+WHOLE = (
+    "<!doctype html><title>Tide tables</title><style>h1 { color: teal }</style>"
+    "<aside><h1>Weather</h1><p>Rain later</p></aside>"
+    "<main><h1>Harbour</h1><section><p>High water at six.</p><p>Low water at noon.</p></section></main>"
+    "<form><p>Name</p></form><script>track('<p>none</p>')</script>"
+)
+# one anchor for every rule about targets, in the order of the links expected below
+LINKS = "<title>Targets</title><ol>" + "".join(
+    f"<li><a {href}>{n}</a></li>"
+    for n, href in enumerate([
+        "href='./pilots/'", "href='/3/charts'", "href='../3/charts'", "href='#top'", "href=' \t '", "href",
+        "name='anchor'", "href='tel:0042'", "href='mailto:harbour@example.org'", "href='javascript:open()'",
+        "href='JAVASCRIPT:open()'", "href='data:,x'", "href='\n buoys?z=2&amp;y=1#north '",
+        "href='pilots/#crew'", "href='HTTPS://DOCS.example.org'", "href='//tides.example.net'",
+    ])
+) + "</ol>"
 
 # html -> (title, content)
 CASES = {
-    "simple": (SIMPLE, "Language Guide", "Welcome\nIt is a language.\nIt is easy."),
+    "whole": (WHOLE, "Tide tables", "Harbour\nHigh water at six.\nLow water at noon."),
     "h1": ("<h1>Main <i>Head</i>ing</h1><p>Text.</p>", "Main Heading", "Main Head ing\nText."),
     "h2": ("<body><h2>Second</h2><p>Text.</p>", "Second", "Second\nText."),
     "no title": ("<p>Only a paragraph</p>", "", "Only a paragraph"),
@@ -55,11 +40,11 @@ CASES = {
     "first h1 only": ("<h1> </h1><h1>Two</h1><h2>Sub</h2>", "Sub", "Two\nSub"),
     "title in noise": ("<header><h1>Site</h1></header><h2>Page</h2>", "Page", "Page"),
     "unicode": (
-        "<title>T</title><p>Hello\xa0World</p><p>Fancy   spaces   here</p><p>’s “x” ﬁ ½</p>",
-        "T", "Hello World\nFancy spaces here\n’s “x” fi 1⁄2"),
+        "<title>ﬂ</title><p>Zürich\xa0\xa0Süd</p><p>№ 7\u2003½ ’q’</p>",
+        "fl", "Zürich Süd\nNo 7 1⁄2 ’q’"),
     "accent over runs": ("<h1>e<b>́</b></h1>", "é", "e ́"),
     "headings": ("<h1>One</h1><h2>Two</h2><h6>Six</h6><p>P</p>", "One", "One\nTwo\nSix\nP"),
-    "malformed": ("<html><body><p>Unclosed<div>Mixed</p></div>", "", "Unclosed"),
+    "malformed": ("<ul><li>left open<p>inner</ul></section><h2>after</p>", "after", "left open inner\ninner\nafter"),
     "nested repeats": ("<ul><li><p>x</p></li></ul><pre><code>y</code></pre>", "", "x\nx\ny\ny"),
     "runs": ("<p> a <b> b </b>\t<i></i> c\n\n d</p>", "", "a b c\n d"),
     "newline rule": ("<p>a\n \n\n\nb</p>", "", "a\n \nb"),
@@ -105,11 +90,11 @@ def test_single_outputs_agree_with_parse(pages):
 
 def test_links(spark):
     assert one(spark, LINKS).links == [
-        "https://docs.example.org/3/tutorial/",
-        "https://docs.example.org/3/library/",
-        "https://docs.example.org/3/other?a=1&b=2",
+        "https://docs.example.org/3/pilots/",
+        "https://docs.example.org/3/charts",
+        "https://docs.example.org/3/buoys?y=1&z=2",
         "https://docs.example.org/",
-        "https://cdn.example.net/",
+        "https://tides.example.net/",
     ]
 
 
@@ -130,18 +115,18 @@ def test_links_by_domain(spark):
 
 
 def test_custom_and_empty_tag_lists(spark):
-    html = "<p>Paragraph</p><span>Span</span><script>s</script>"
-    assert one(spark, html, content_tags=["span"]).content == "Span"
-    assert one(spark, html, content_tags=[], noise_tags=[]).content == "Paragraph"
+    html = "<blockquote>quoted</blockquote><p>said</p><script>s</script>"
+    assert one(spark, html, content_tags=["blockquote"]).content == "quoted"
+    assert one(spark, html, content_tags=[], noise_tags=[]).content == "said"
     assert one(spark, html, content_tags=["script"], noise_tags=["none"]).content == "s"
 
 
 def test_noise_count(spark):
     def count(html, tags=None):
         frame = spark.createDataFrame([(html,)], "html string")
-        return page_dom(frame).select(X.noise_count(tags)).first()[0]
+        return page_dom(frame, scope_tags=tags).select(X.noise_count(tags)).first()[0]
 
-    assert count(SIMPLE) == 3
+    assert count(WHOLE) == 4
     assert count("<nav><nav></nav></nav>") == 2
     # the style goes with the script's turn first, the footer with its nav
     assert count("<nav><footer></footer><style></style></nav>") == 2
@@ -184,8 +169,8 @@ def test_metrics_and_empty_content(spark, pages):
     parsed = X.parse(fetched(pages))
     blank = {r.name for r in without_content(parsed).collect()}
     assert blank == {"blank"}
-    row = parsed.filter("name = 'simple'").first()
-    assert (row.n_blocks, row.noise_removed) == (3, 3)
+    row = parsed.filter("name = 'whole'").first()
+    assert (row.n_blocks, row.noise_removed) == (3, 4)
 
 
 def test_clean_text(spark):
@@ -203,3 +188,13 @@ def test_strip_is_pythons(spark):
     frame = spark.createDataFrame([(c + "a" + c + "b" + c,) for c in blanks], "t string")
     for row in frame.select("t", strip(F.col("t")).alias("s")).collect():
         assert row.s == row.t.strip()
+
+
+def test_totals_of_metrics(spark, pages):
+    parsed = X.parse(fetched(pages)).cache()
+    total, rows = X.metrics(parsed).first(), parsed.collect()
+    assert total.pages == total.parsed == len(rows)
+    assert total.blocks == sum(r.n_blocks for r in rows)
+    assert total.content_chars == sum(len(r.content) for r in rows)
+    assert total.noise_removed == sum(r.noise_removed for r in rows)
+    parsed.unpersist()

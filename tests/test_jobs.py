@@ -11,8 +11,8 @@ from pagequarry.operators import requests as R
 from pagequarry.plans.scrape import scrape_batch
 from pagequarry.schemas import ATTEMPTS
 
-RICH = "<title>Test</title>" + "<p>Content here.</p>" * 20
-SHELL = "<html><body><div id='app'></div></body></html>"
+RICH = "<title>Ferries</title><ul>" + "<li>every hour on the hour</li>" * 12 + "</ul>"
+SHELL = "<main data-page=ferries></main><script src=app.js></script>"
 FULL = "<title>Rendered</title><p>" + "Filled in. " * 30 + "</p><a href='/n'>n</a>"
 
 
@@ -159,7 +159,7 @@ def test_scrape_batch(spark):
     got = {r.request_id: r for r in scrape_batch(requests, fetches).collect()}
     facts = {i: (r.url[-1:], r.status_code, r.title, r.success, r.error, r.used_browser) for i, r in got.items()}
     assert facts == {
-        1: ("a", 200, "Test", True, None, False),
+        1: ("a", 200, "Ferries", True, None, False),
         2: ("b", 404, "Rendered", True, None, True),
         3: ("c", 500, "Rendered", True, None, True),
         4: ("d", 200, "", True, None, False),
@@ -171,10 +171,29 @@ def test_scrape_batch(spark):
         10: ("j", 200, "", False, S.ERROR_NO_HTML, False),
         11: ("k", -1, "", None, None, False),
     }
-    assert got[1].content.count("Content here.") == 20
+    assert got[1].content.count("every hour") == 12
     assert got[2].links == ["https://e.com/n"] and got[8].links == []
     assert got[7].scraped_at == noon and got[5].scraped_at is None
     static_only = scrape_batch(requests, fetches, auto_browser=False).filter("request_id = 2").first()
     assert (static_only.status_code, static_only.used_browser) == (200, False)
 
 
+
+
+def fetch_rows(spark, url, key=1, html="<p>x</p><a href=b>b</a><a href=/c>c</a>"):
+    row = [(key, url, False, 1, "ok", 200, html, None, datetime(2024, 5, 1))]
+    return spark.createDataFrame(row, "request_id int, url string, use_browser boolean, attempt int, kind string, "
+                                      "status_code int, html string, error string, fetched_at timestamp")
+
+
+def test_links_are_relative_to_the_request_not_to_the_redirect(spark):
+    requests = spark.createDataFrame([(1, "http://a.org/x/")], "request_id int, url string")
+    row = scrape_batch(requests, fetch_rows(spark, "https://www.b.org/moved/")).first()
+    assert (row.url, row.links) == ("http://a.org/x/", ["http://a.org/x/b", "http://a.org/c"])
+
+
+def test_jobs_keyed_by_url(spark):
+    requests = spark.createDataFrame([("http://a.org/x/#top ",), ("http://z.org",)], "url string")
+    rows = {r.url: r for r in scrape_batch(requests, fetch_rows(spark, "http://a.org/x/"), key="url").collect()}
+    assert rows["http://a.org/x/"].links == ["http://a.org/x/b", "http://a.org/c"]
+    assert rows["http://z.org"].success is None and rows["http://z.org"].links == []

@@ -22,7 +22,7 @@ def texts(html, tag):
     [
         ("<p>one<p>two", "p", [["one"], ["two"]]),
         ("<p><b>one<br><p>two", "p", [["one"], ["two"]]),
-        ("<p>Unclosed<div>Mixed</p></div>", "p", [["Unclosed"]]),
+        ("<p>before<blockquote>within</p>after</blockquote>", "p", [["before"]]),
         ("<p>a<section>b</section>", "p", [["a"]]),
         ("<ul><li>1<li>2<ul><li>3</ul><li>4</ul>", "li", [["1"], ["2", "3"], ["3"], ["4"]]),
         ("<dl><dt>a<dd>b<dt>c</dl>", "dd", [["b"]]),
@@ -80,7 +80,7 @@ def test_href(tag, expected):
 
 
 def test_scopes_hold_the_open_tags():
-    page = PageReader("<nav><ul><li>a</ul></nav><div><nav>b</nav></div>")
+    page = PageReader("<nav><ul><li>a</ul></nav><div><nav>b</nav></div>", ["body", "nav", "ul", "li", "div"])
     for text, around in (("a", {"body", "nav", "ul", "li"}), ("b", {"body", "div", "nav"})):
         assert set(page.scopes[page.text_scopes[page.texts.index(text)]]) == around
     assert len(page.scopes) == len({tuple(s) for s in page.scopes})
@@ -92,6 +92,27 @@ def test_text_kinds_follow_the_nearest_container():
     assert kinds == {"a": "template", "b": "template", "c": "rt", "d": "template", "e": None}
 
 
+def test_scopes_know_the_tags_asked_for():
+    page = PageReader("<nav><ul><li>a</ul></nav><div>b</div>", ["nav", "li"])
+    around = {t: page.scopes[s] for t, s in zip(page.texts, page.text_scopes)}
+    assert around == {"a": ["nav", "li"], "b": []}
+
+
+def test_end_tags_find_deep_elements_and_barriers():
+    deep = "<i>" * 200
+    assert texts(f"<p>x<b>{deep}y</b>z</p>", "b") == [["x", "y", "z"][1:2]]
+    assert texts(f"<a><div>{deep}</a>y", "a") == [["y"]]  # the div stops the end tag
+
+
+def test_hostile_nesting_takes_linear_time_and_memory():
+    started = time.time()
+    n = 200_000 // 7
+    PageReader("<a><div>" + "<i>" * n + "</a>" * n)
+    page = PageReader("".join(f"<t{k}>" for k in range(200_000 // 7)) + "x")
+    assert time.time() - started < 5
+    assert sum(map(len, page.scopes)) < 100
+
+
 @pytest.mark.parametrize(
     "piece", ["<", "<a ", "</b>x", "<p><div>", "<!--", "<a href=\"", "<li>", "&amp", "<b><i>", "<a x='"]
 )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from pagequarry.operators import reports as P
 from pagequarry.operators import store
-from pagequarry.operators.skew import even_join, hot_keys
 from pagequarry.schemas import RESULT_COLUMNS, RESULTS
 from pagequarry.session import work_folder
 from pagequarry.sources import results as files
@@ -80,31 +79,26 @@ def test_lookup_exists_delete(spark):
     assert sorted((r.id, r.deleted) for r in flags) == [(0, True), (1, False), (2, False), (3, False)]
 
 
-@pytest.mark.parametrize("how", ["left", "left_semi", "left_anti"])
-def test_even_join_is_a_join(spark, how):
-    """A third of the rows share one key; the salted join gives what the plain one gives."""
-    left = spark.range(3000).select(
-        "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 1500)).alias("k"))
-    left = left.union(spark.createDataFrame([(9000, None), (9001, "absent")], "id long, k string"))
-    right = spark.createDataFrame([("hot", 1), ("k7", 2), ("k8", 3), ("unused", 4), (None, 5)], "k string, v int")
-    assert [r.k for r in hot_keys(left, "k", min_rows=10).collect()] == ["hot"]
-    salted = even_join(left, right, "k", how, ["id"], min_rows=10)
-    plain = left.join(right, "k", how)
-    assert sorted(map(repr, salted.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+def test_requests_without_url_match_nothing_and_stay(spark):
+    stored = store.latest(results(spark, [("http://a/x", "A", 1)]))
+    asked = urls(spark, "http://a/x", None, None, "http://z")
+    assert sorted(r.id for r in store.to_scrape(asked, stored, "id").collect()) == [1, 2, 3]
+    assert [r.id for r in store.already_scraped(asked, stored, "id").collect()] == [0]
+    found = {r.id: r.result for r in store.lookup(asked, stored, "id").collect()}
+    assert found[0].title == "A" and [found[k] for k in (1, 2, 3)] == [None] * 3
 
 
-def test_hot_rows_are_dealt_over_many_groups(spark):
-    left = spark.range(4000).select("id", F.lit("hot").alias("k"))
-    right = spark.createDataFrame([("hot", 1)], "k string, v int")
+def test_requests_without_url_do_not_meet_in_one_partition(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = even_join(left, right, "k", "left", ["id"], min_rows=10)
-        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+        asked = spark.range(4000).select("id", F.lit(None).cast("string").alias("url"))
+        stored = store.latest(results(spark, [("http://a/x", "A", 1)]))
+        sizes = store.to_scrape(asked, stored, "id").groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 2000
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 2000
 
 
 def test_save_summary(spark):
@@ -158,6 +152,41 @@ def test_one_document_per_file_and_unreadable_ones(spark, tmp_path):
     assert f.scraped_at > datetime(2025, 1, 1)
 
 
+def test_no_stored_document_vanishes(spark, tmp_path):
+    big = "y" * (20 * 1024 * 1024)
+    (tmp_path / "a.json").write_text(json.dumps({"url": "big", "content": big}))
+    (tmp_path / "b.json").write_text('{"url": "first", "url": "last", "extra": NaN, "status_code": 7}')
+    (tmp_path / "c.json").write_text('{"url": "cut')
+    (tmp_path / "d.json").write_bytes(b'{"title": "\xff"}')
+    read = {r.url: r for r in files.read_json(spark, str(tmp_path), one_per_file=True).collect()}
+    assert set(read) == {"big", "last"}
+    assert len(read["big"].content) == len(big) and read["last"].status_code == 7
+    refused = files.refused_documents(spark, str(tmp_path), one_per_file=True).collect()
+    assert {r.path.rsplit("/", 1)[1]: bool(r.refused) for r in refused} == {"c.json": True, "d.json": True}
+
+
+TIMES = ["2024", "2024-01", "2024-1-2", "2024-01-02 03:04:05 UTC", "12:30", "T12:30", "20240102", "20240102T030405",
+         "2024-W01-1", "2024-01-02T03:04:05Z", "2024-01-02 03:04", "2024-01-02T03:04:05.25+02:00", "tomorrow"]
+
+
+def test_times_are_read_as_python_reads_them(spark):
+    from datetime import timezone
+
+    def expected(text):
+        try:
+            time = datetime.fromisoformat(text)
+        except ValueError:
+            return None
+        return time.astimezone(timezone.utc).replace(tzinfo=None) if time.tzinfo else time
+
+    rows = [(k, json.dumps({"scraped_at": t})) for k, t in enumerate(TIMES)]
+    read = files.read_documents(spark.createDataFrame(rows, "k int, value string"))
+    got = {r.k: r.at for r in read.select("k", F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).collect()}
+    for k, text in enumerate(TIMES):
+        time = expected(text)
+        assert got[k] == (time and time.strftime("%Y-%m-%d %H:%M:%S.%f")), text
+
+
 def test_reports(spark):
     frame = full_result(spark)
     lines = [r[0] for r in frame.select(P.summary(frame)).collect()]
