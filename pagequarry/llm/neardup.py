@@ -39,9 +39,10 @@ BANDS, ROWS = 40, 7
 COORDINATES = BANDS * ROWS
 #: Similarity by signature beyond which the signature decides.
 SURE, SURELY_NOT = 0.9, 0.7
-#: Buckets of more members get a second round of leaders before pairs are listed.
-LARGE = 48
-LEADERS = 3
+#: Buckets of so few members have all their pairs listed at once; larger ones get leaders first,
+#: and those of more than LARGE members a second round of leaders, before pairs are listed.
+SMALL, LARGE = 6, 48
+LEADERS = 4
 #: The first rank interval is [0, 2**FIRST); each further one doubles the end.
 FIRST = -4
 #: Shingles handled at once.
@@ -322,33 +323,35 @@ def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD
         mixed = rows.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi")
         return rows.drop("v").join(mixed.select("key"), "key", "left_semi")
 
-    for round_ in range(3):
-        if round_ == 0:
-            pairs = led(shared, range(LEADERS))
-        elif round_ == 1:
-            pairs = led(apart(shared.filter(F.col("m") > LARGE)), range(LEADERS, 2 * LEADERS))
-        else:
-            rest = apart(shared).select("key", "node", "class")
-            other = rest.select("key", F.col("node").alias("b"), F.col("class").alias("other"))
-            pairs = (
-                rest.withColumnRenamed("node", "a")
-                .join(other, "key")
-                .filter((F.col("a") < F.col("b")) & (F.col("class") != F.col("other")))
-                .select("a", "b")
-                .distinct()
-            )
+    def every(table: DataFrame) -> DataFrame:
+        """All pairs of members of one bucket, but those of one class."""
+        left = table.select("key", F.col("node").alias("a"), F.col("class").alias("class"))
+        right = table.select("key", F.col("node").alias("b"), F.col("class").alias("other"))
+        crossing = (F.col("a") < F.col("b")) & (F.col("class") != F.col("other"))
+        return left.join(right, "key").filter(crossing).select("a", "b").distinct()
+
+    def settle(pairs: DataFrame) -> None:
+        """Compare pairs that were not compared before, and bring the classes up to date."""
+        nonlocal tested, links, known
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = space.keep(pairs, "pairs")
-        if pairs.isEmpty():
-            if round_ == 0:
-                links = pairs
-                known = components(pairs, space)
-            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
+        if known is not None and pairs.isEmpty():
+            return
         found = space.keep(compared(pairs), "links")
         links = found if links is None else links.unionByName(found)
-        known = components(links, space)
+        before = found if known is None else found.unionByName(known.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        known = components(before, space)
+
+    alone = shared.withColumn("class", F.col("node"))
+    small, large = F.col("m") <= SMALL, F.col("m") > SMALL
+    settle(every(alone.filter(small)).unionByName(led(shared.filter(large), range(LEADERS))).distinct())
+    huge = shared.filter(F.col("m") > LARGE)
+    if not huge.isEmpty():
+        settle(led(apart(huge), range(LEADERS, 2 * LEADERS)))
+    if not shared.filter(large).isEmpty():
+        settle(every(apart(shared.filter(large))))
     degree = (
         links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     )
