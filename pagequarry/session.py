@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +31,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _own_folder() -> str:
+    """Folder of this process for a local session, removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="pagequarry-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "4g") -> SparkSession:
     """Session for tests and single-machine runs."""
     builder = (
@@ -35,6 +47,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "4g
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", _own_folder())
         # recording the Python line of every column operation costs several calls to the JVM
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -44,11 +57,12 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "4g
 def work_folder(spark: SparkSession) -> str:
     """New folder below ``spark.checkpoint.dir``, the one all executors share.
 
-    Only a local session without that setting gets a folder of its own machine.
+    Only a session whose executors are this process may do without that setting: it gets a
+    folder that goes when the process ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="pagequarry-")
+        shared = _own_folder()
     return f"{shared.rstrip('/')}/pagequarry-{uuid.uuid4().hex}"

@@ -16,11 +16,10 @@ def spread(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """``pages`` in at least as many partitions as the cluster has cores.
 
     A file with one row group is read by one task, and reading markup would then run on one
-    core. Tables with enough splits of their own pass unchanged: their markup is not shuffled.
-    ``pages`` should be a scan (the partitions of a shuffle are only known once it has run),
-    and ``key`` (nearly) unique.
+    core. Tables with as many files as cores pass unchanged: their markup is not shuffled.
+    ``pages`` should be a scan, and ``key`` (nearly) unique.
     """
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() >= cores:
+    if len(pages.inputFiles()) >= cores:
         return pages
     return pages.repartition(cores, F.col(key))
