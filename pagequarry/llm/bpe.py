@@ -7,7 +7,7 @@ result. The fold keeps a word's token ids and the ranks of its neighbouring pair
 merges the leftmost pair of least rank and looks up the two pairs that this makes. Ranks come
 from a literal map: all pairs of tokens whose bytes together are a token, in hash buckets.
 
-Words of more than ``LONG`` bytes would make the fold quadratic, so rows with such runs are
+Words of more than ``LONG`` bytes would make the fold quadratic, so rows with such words are
 encoded by a heap of pairs in Python instead, with the same ids. Decoding looks up the bytes of
 every id and joins them.
 
@@ -19,25 +19,24 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import map_rows
-
 #: Rank of a pair that does not merge.
 NO_MERGE = 1 << 30
 PAIR_BUCKETS = 1 << 16
 WORD_BUCKETS = 1 << 17
 #: Share of rows the table of frequent words is fitted on, its size, and least count there.
-SAMPLE_SHARE, FREQUENT, LEAST_SEEN = 1 / 16, 1 << 17, 4
-#: Runs of so many characters (of one kind) take the path for long words.
+SAMPLE_SHARE, FREQUENT, LEAST_SEEN = 1 / 4, 1 << 19, 2
+#: Longer words (in bytes) take the path for long words.
 LONG = 256
 
 
@@ -84,6 +83,11 @@ def _literal(spark: SparkSession, **columns: pa.Array) -> Column:
     return spark.createDataFrame(one).select(F.struct(*columns).alias("x")).scalar()
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    made = column.combine_chunks()
+    return made.combine_chunks() if isinstance(made, pa.ChunkedArray) else made
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -188,42 +192,46 @@ class Encoder:
                 _let(F.col("__pairs"), lambda t: self.fold(t, F.col("word"))).alias("ids"),
             )
             .toArrow()
+            .sort_by("bucket")
         )
-        words_of = [[] for _ in range(WORD_BUCKETS)]
-        ids_of: list[list] = [[None] for _ in range(WORD_BUCKETS)]
-        for bucket, word, ids in zip(*(c.to_pylist() for c in chosen.columns)):
-            words_of[bucket].append(word)
-            ids_of[bucket].append(ids)
+        starts = np.searchsorted(chosen["bucket"].to_numpy(), np.arange(WORD_BUCKETS + 1))
+        starts = pa.array(starts, pa.int32())
         return _literal(
             self.spark,
-            words=pa.array(words_of, pa.list_(pa.string())),
-            ids=pa.array(ids_of, pa.list_(pa.list_(pa.int64()))),
+            **{n: pa.ListArray.from_arrays(starts, _whole(chosen[n])) for n in ("word", "ids")},
         )
 
     def encode(self, docs: DataFrame, text: str, frequent: Column, keep: list[str]) -> DataFrame:
-        """The ``keep`` columns and ``ids``."""
+        """The ``keep`` columns, ``ids``, and ``__long``: texts with long words, whose ids are null."""
 
         def ids(t: Column, f: Column, word: Column) -> Column:
             bucket = F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("int")
-            at = F.array_position(F.get(f["words"], bucket), word).cast("int")
-            return F.coalesce(F.get(F.get(f["ids"], bucket), at), self.fold(t, word))
+            at = F.array_position(F.get(f["word"], bucket), word).cast("int")
+            return F.coalesce(F.get(F.get(f["ids"], bucket), at - 1), self.fold(t, word))
 
-        words = self.words(F.col(text))
         made = _let(
-            F.struct(F.col("__pairs").alias("t"), F.col("__frequent").alias("f")),
-            lambda x: F.flatten(F.transform(words, lambda w: ids(x["t"], x["f"], w))),
-        )
+            F.struct(
+                F.col("__pairs").alias("t"), F.col("__frequent").alias("f"),
+                self.words(F.col(text)).alias("words"),
+            ),
+            lambda x: F.when(
+                ~F.exists(x["words"], lambda w: F.octet_length(w) > LONG),
+                F.flatten(F.transform(x["words"], lambda w: ids(x["t"], x["f"], w))),
+            ),
+        ).cast("array<int>")
         tables = docs.select(
             *dict.fromkeys([*keep, text]), self.tables.alias("__pairs"), frequent.alias("__frequent")
         )
-        return tables.select(*keep, made.alias("ids"))
+        encoded = tables.select(*dict.fromkeys([*keep, text]), made.alias("ids"))
+        long = F.when(F.col("ids").isNull(), F.coalesce(F.col(text), F.lit("")))
+        return encoded.select(*keep, "ids", long.alias("__long"))
 
     def decode(self, encoded: DataFrame, ids: str = "ids", out: str = "bytes") -> DataFrame:
         """``encoded`` with the bytes of its ids: their binary pieces joined."""
         made = _let(
             F.col("__pieces"),
             lambda p: F.array_join(
-                F.transform(F.col(ids), lambda i: F.get(p["pieces"], i.cast("int")).cast("string")), ""
+                F.transform(F.col(ids), lambda i: F.get(p["pieces"], i).cast("string")), ""
             ),
         )
         tables = encoded.select("*", self.pieces.alias("__pieces"))
@@ -233,18 +241,12 @@ class Encoder:
         """``encoded`` with its ids as little-endian unsigned 32-bit integers."""
         made = _let(
             F.col("__digits"),
-            lambda d: F.array_join(F.transform(F.col(ids), lambda i: F.get(d["digits"], i.cast("int"))), ""),
+            lambda d: F.array_join(F.transform(F.col(ids), lambda i: F.get(d["digits"], i)), ""),
         )
         tables = encoded.select("*", self.little_endian.alias("__digits"))
         return tables.select(*encoded.columns, F.unhex(made).alias(out))
 
 
-def has_long_run(text: Column) -> Column:
-    """Whether a text may have a word of more than ``LONG`` bytes."""
-    run = LONG // 4  # a character has four bytes at most
-    return F.coalesce(text, F.lit("")).rlike(rf"\S{{{run}}}|\s{{{run}}}")
-
-
 def encode_word(word: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
     """Ids of a word of any length: pairs in a heap, tokens in a linked list."""
     ids = [ranks[bytes([b])] for b in word]
@@ -269,32 +271,42 @@ def encode_word(word: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int
     return [i for i in ids if i >= 0]
 
 
-def _encode_long(docs: DataFrame, text: str, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
-    def make():
-        pairs = vocabulary.pairs()
-        # \s of the regex library also knows the separators 1C to 1F, the tokenizer's does not
-        space = r"\p{White_Space}"
-        pattern = vocabulary.pattern.replace(r"\s", space).replace(r"\S", r"\P{White_Space}")
-        split = regex.compile(pattern).findall
+def _encode_long(encoded: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
+    """Fills in the ids of the texts in ``__long``."""
+    names = [*keep, "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = None
+        for batch in batches:
+            ids, texts = batch.column("ids"), batch.column("__long")
+            if texts.null_count < len(texts):
+                encode = encode or _text_encoder(vocabulary)
+                long = texts.to_pylist()
+                parts = [
+                    pa.array([encode(t)], ids.type) if t is not None else ids.slice(k, 1)
+                    for k, t in enumerate(long)
+                ]
+                ids = pa.concat_arrays(parts)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], names)
 
-        def step(value: str | None) -> tuple[list[int]]:
-            words = (w.encode("utf-8") for w in split(value or ""))
-            return ([i for w in words for i in encode_word(w, vocabulary.ranks, pairs)],)
+    schema = T.StructType([encoded.schema[n] for n in names])
+    return encoded.mapInArrow(run, schema)
 
-        return step
 
-    ids = T.StructField("ids", T.ArrayType(T.LongType()))
-    return map_rows(docs, [text], make, [ids], keep)
+def _text_encoder(vocabulary: Vocabulary) -> Callable[[str], list[int]]:
+    pairs = vocabulary.pairs()
+    # \s of the regex library also knows the separators 1C to 1F, the tokenizer's does not
+    pattern = vocabulary.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+    split = regex.compile(pattern).findall
+    return lambda text: [i for w in split(text) for i in encode_word(w.encode("utf-8"), vocabulary.ranks, pairs)]
 
 
 def encoded(
     docs: DataFrame, encoder: Encoder, keep: list[str], text: str = "text"
 ) -> DataFrame:
     """The ``keep`` columns and ``ids`` of every row; a null or empty text has no ids."""
-    long = has_long_run(F.col(text))
-    frequent = encoder.frequent(docs, text)
-    usual = encoder.encode(docs.filter(~long), text, frequent, keep)
-    return usual.unionByName(_encode_long(docs.filter(long), text, encoder.vocabulary, keep))
+    usual = encoder.encode(docs, text, encoder.frequent(docs, text), keep)
+    return _encode_long(usual, encoder.vocabulary, keep)
 
 
 def token_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
