@@ -8,8 +8,8 @@ context. Blocks labelled as main text are joined in page order.
 
 There are no labelled pages, so the model learns from rules: blocks in navigation, notices,
 adverts, forms, comments and the like are no main text, blocks in an article are, and where
-markup says neither, long blocks with few links are. Each training page is also used in a
-varied form: containers renamed to others of their kind, paragraphs repeated inside containers
+markup says neither, long blocks with few links are. Each training page is also used in
+varied forms: containers renamed to others of their kind, paragraphs repeated inside containers
 of other kinds. In a part of the training pages the tag paths are hidden, so that words,
 figures and context are learned as well. The model is trained on a bounded sample of pages (``SAMPLE``, the first ``TRAIN_BLOCKS`` blocks of each);
 every page is read whole.
@@ -54,8 +54,8 @@ ENDS_PARAGRAPH = frozenset(
 PATH_SIZE, WORD_SIZE, FIGURES = 26, 12, 6
 INPUT, HIDDEN = PATH_SIZE + WORD_SIZE + FIGURES, 16
 PATH_BUCKETS, WORD_BUCKETS = 1024, 4096
-SAMPLE, TRAIN_BLOCKS = 1_200, 150
-STEPS, BATCH, HIDE = 500, 48, 0.2
+SAMPLE, TRAIN_BLOCKS, VARIANTS = 1_000, 150, 4
+STEPS, BATCH, HIDE = 500, 48, 0.15
 SEED = 7
 
 _NAME = re.compile(r"[a-z]+")
@@ -217,7 +217,7 @@ class Vectors:
             hashed = self.paths[at].sum(axis=0) / max(1, len(at)) ** 0.5 / 2
             other = any(t in OTHER_TAGS or not OTHER_NAMES.isdisjoint(n) for t, n in path)
             main = any(t in MAIN_TAGS or not MAIN_NAMES.isdisjoint(n) for t, n in path)
-            made = self.path_of[path] = np.append(hashed, [2.0 * other, 2.0 * main])
+            made = self.path_of[path] = np.append(hashed, [3.0 * other, 3.0 * main])
         return made
 
     def __call__(self, blocks: list[tuple[tuple, str, int]]) -> np.ndarray:
@@ -351,7 +351,7 @@ def learn(pages: DataFrame, limit: int = SAMPLE) -> Labeller | None:
             for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
                 blocks = read_blocks(html)[:TRAIN_BLOCKS]
                 r = np.random.default_rng([SEED, (page_id or 0) & 0x7FFFFFFF])
-                for blocks in [blocks, varied(blocks, r)] if blocks else []:
+                for blocks in [blocks, *(varied(blocks, r) for _ in range(VARIANTS))] if blocks else []:
                     x = vectors(blocks).astype(np.float32).ravel()
                     y = np.array([rule(*b) for b in blocks], np.float32)
                     yield pa.RecordBatch.from_arrays(
