@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import WORD, flat_map_rows, map_rows
+from pagequarry.llm.common import WORD, flat_map_rows, map_rows, unused
 
 WINDOW, STRIDE = 128, 64
 K1, B = 1.2, 0.75
@@ -294,14 +294,15 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def without_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with their own columns."""
     sc, columns = docs.sparkSession.sparkContext, docs.columns
+    found = unused(docs, "found")
     for parts in index_parts(items):
         shared = sc.broadcast(parts)
         rows = map_rows(
             docs,
             ["text"],
             partial(_tester, shared),
-            [T.StructField("__found", T.BooleanType())],
+            [T.StructField(found, T.BooleanType())],
             columns,
         )
-        docs = rows.filter(~F.col("__found")).select(*columns)
+        docs = rows.filter(~F.col(found)).select(*columns)
     return docs

@@ -42,7 +42,7 @@ SURE, SURELY_NOT = 0.9, 0.7
 #: Buckets of so few members have all their pairs listed at once; larger ones get leaders first,
 #: and those of more than LARGE members a second round of leaders, before pairs are listed.
 SMALL, LARGE = 6, 48
-LEADERS = 4
+LEADERS = 3
 #: The first rank interval is [0, 2**FIRST); each further one doubles the end.
 FIRST = -4
 #: Shingles handled at once.
@@ -266,17 +266,22 @@ def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD
     copies = space.keep(
         all_.select("doc_id", "digest").join(nodes, "digest").select("doc_id", "node").distinct(), "copies"
     )
-    # one row of bands for each distinct text
-    own = all_.join(
-        nodes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi"
-    ).dropDuplicates(["doc_id"])
-    rows = own.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    # one row of bands for each distinct text: equal texts have equal bands
+    own = space.keep(
+        all_.groupBy("digest")
+        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .drop("digest"),
+        "texts",
+    )
+    rows = own.select("node", F.explode("bands").alias("key"))
+    # most buckets have one member, so leaders are only sought in the others
+    several = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    members = space.keep(rows.join(several, "key"), "members")
     hashed = [F.min(F.struct(F.xxhash64("node", F.lit(s)), "node"))["node"].alias(f"l{s}") for s in range(2 * LEADERS)]
-    buckets = rows.groupBy("key").agg(F.count("*").alias("m"), *hashed).filter("m > 1")
-    shared = space.keep(rows.join(buckets, "key"), "buckets")
-    members = shared.select("node").distinct()
+    leaders = members.groupBy("key").agg(*hashed)
+    shared = space.keep(members.join(leaders, "key"), "buckets")
     sketches = space.keep(
-        own.select(F.col("doc_id").alias("node"), "sketch").join(members, "node"), "sketches"
+        own.select("node", "sketch").join(members.select("node").distinct(), "node"), "sketches"
     )
     sets = None
     links, tested, known = None, None, None
@@ -308,8 +313,10 @@ def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD
         )
 
     def led(table: DataFrame, seeds: range) -> DataFrame:
-        """Members of buckets with each of the buckets' leaders."""
-        each = table.select("node", F.explode(F.array(*(f"l{s}" for s in seeds))).alias("leader"))
+        """Members of buckets with each of the buckets' leaders, of which a node has a few a band."""
+        own_leaders = F.array_distinct(F.flatten(F.collect_set(F.array(*(f"l{s}" for s in seeds)))))
+        each = table.groupBy("node").agg(own_leaders.alias("leaders"))
+        each = each.select("node", F.explode("leaders").alias("leader"))
         return (
             each.filter("node != leader")
             .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
@@ -371,7 +378,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """One row of each class, that of the smallest doc_id; rows without doc_id all stay."""
-    dropped = classes(docs).filter("doc_id != class_id").select(F.col("doc_id").alias("__dropped"))
-    kept = docs.join(dropped, docs["doc_id"] == F.col("__dropped"), "left_anti")
+    dropped = classes(docs).filter("doc_id != class_id").select("doc_id")
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     first = F.col("doc_id").isNotNull()
     return kept.filter(first).dropDuplicates(["doc_id"]).unionByName(kept.filter(~first))

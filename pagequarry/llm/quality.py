@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import label_sample, map_rows, sampled_texts
+from pagequarry.llm.common import label_sample, map_rows, sampled_texts, unused
 
 #: Buckets of hashed words and of hashed shapes; a few dense features follow them.
 WORDS, SHAPES, DENSE = 4096, 1024, 3
@@ -32,6 +32,7 @@ LABELLED = 8_000
 GRADES = 3
 #: A document is selected if it reaches grade ``SELECT_GRADE`` with this probability.
 SELECT_GRADE, SELECT_PROBABILITY = 1, 0.5
+NAMES = ("expected_grade", "p_select")
 
 _MARKS = ".,;:!?"
 _REPEAT = re.compile(r"(.)\1+")
@@ -180,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
     return fit([(np.array(r.at), np.array(r["values"])) for r in rows], grades)
 
 
-def graded(docs: DataFrame, model: Model, keep: list[str], prefix: str = "") -> DataFrame:
+def graded(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = NAMES) -> DataFrame:
     """The ``keep`` columns, ``expected_grade`` and ``p_select`` of every row.
 
     A null text counts as empty; rows repeat as they do in ``docs``.
@@ -196,7 +197,6 @@ def graded(docs: DataFrame, model: Model, keep: list[str], prefix: str = "") ->
 
         return step
 
-    names = [f"{prefix}expected_grade", f"{prefix}p_select"]
     return map_rows(docs, ["text"], make, [T.StructField(n, T.DoubleType()) for n in names], keep)
 
 
@@ -208,6 +208,6 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are selected, with their own columns."""
-    rows = graded(docs, learn(docs, labels), docs.columns, "__")
-    kept = rows.filter(F.col("__p_select") >= SELECT_PROBABILITY)
-    return kept.drop("__p_select", "__expected_grade")
+    names = unused(docs, "expected_grade"), unused(docs, "p_select")
+    rows = graded(docs, learn(docs, labels), docs.columns, names)
+    return rows.filter(F.col(names[1]) >= SELECT_PROBABILITY).drop(*names)

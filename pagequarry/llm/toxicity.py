@@ -25,7 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import flat_map_rows, label_sample, map_rows, remainder, sampled_texts
+from pagequarry.llm.common import (
+    flat_map_rows,
+    label_sample,
+    map_rows,
+    remainder,
+    sampled_texts,
+    unused,
+)
 
 #: Abusive terms, words that report speech, words that address someone.
 TERMS = (
@@ -372,7 +379,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, with their own columns."""
-    private = "__toxicity"
+    private = unused(docs, "toxicity")
     model = learn(docs, labels)
 
     def make():
