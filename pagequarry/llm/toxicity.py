@@ -52,8 +52,9 @@ _LEET = frozenset("013457@$")
 
 #: Most labelled rows learned from; they are the smallest ids by a fixed hash.
 LABELLED = 16_000
-#: Most learned terms, least number of toxic texts that hold one, least log odds.
-LEARNED, LEAST_TEXTS, LEAST_ODDS = 400, 3, 1.5
+#: Most learned terms; least number of toxic texts that hold one, least log odds, and least
+#: surplus of toxic texts over those expected, in standard deviations.
+LEARNED, LEAST_TEXTS, LEAST_ODDS, LEAST_SURPLUS = 1_000, 3, 1.0, 4.0
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 WINDOW = 6
@@ -308,21 +309,18 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
     summed = counted.groupBy("kind", "term").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     )
-    toxic = (F.col("kind") != "near") & (F.col("toxic") >= LEAST_TEXTS) & (odds >= LEAST_ODDS)
-    harmless = (F.col("kind") == "near") & (F.col("clean") > 0) & (odds < LEAST_ODDS)
-    chosen = (
-        summed.filter(toxic | harmless)
-        .withColumn("odds", odds)
-        .orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("toxic") + F.col("clean"))), "kind", "term")
-        .limit(LEARNED)
-        .collect()
-    )
-    for r in chosen:
-        if r.kind == "near":
-            model.harmless.append(r.term)
-        else:
-            terms = model.words if r.kind == "word" else model.stems
-            terms[r.term] = round(min(r.odds / 3, 1.5), 4)
+    # how far a term's toxic texts exceed what their share would make of all its texts
+    expected = (F.col("toxic") + F.col("clean")) * (n_toxic / max(1, n_toxic + n_clean))
+    surplus = (F.col("toxic") - expected) / F.sqrt(expected + 0.5)
+    weighed = summed.withColumns({"odds": odds, "surplus": surplus})
+    toxic = (F.col("toxic") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS)
+    toxic &= F.col("surplus") >= LEAST_SURPLUS
+    terms = weighed.filter((F.col("kind") != "near") & toxic)
+    harmless = weighed.filter((F.col("kind") == "near") & (F.col("clean") > 0) & ~toxic)
+    for r in terms.orderBy(F.desc("surplus"), "kind", "term").limit(LEARNED).collect():
+        weights = model.words if r.kind == "word" else model.stems
+        weights[r.term] = round(min(r.odds / 3, 1.5), 4)
+    model.harmless = [r.term for r in harmless.orderBy(F.desc("clean"), "term").limit(LEARNED).collect()]
     rows = map_rows(
         texts.filter("half = 1"),
         ["text"],
