@@ -248,7 +248,7 @@ def _agreement(a: bytes, b: bytes) -> float:
 def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     left = table.select(F.col("node").alias("a"), F.col(column).alias("x"))
     right = table.select(F.col("node").alias("b"), F.col(column).alias("y"))
-    return pairs.join(left, "a").join(right, "b")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
 
 def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD) -> DataFrame:
@@ -299,7 +299,8 @@ def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD
         unsure = estimate.filter(F.col("similarity") < sure).select("a", "b")
         if sets is None:
             wanted = sketches.select(F.col("node").alias("doc_id"))
-            texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+            # a merge join at every size, so that a small run says what a large one costs
+            texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
             sets = space.keep(_sets(texts.withColumnRenamed("doc_id", "node"), counted), "sets")
         exact = map_rows(
             _with_both(unsure, sets, "shingles"), ["x", "y"],
