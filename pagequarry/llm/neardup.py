@@ -40,9 +40,12 @@ COORDINATES = BANDS * ROWS
 #: Similarity by signature beyond which the signature decides.
 SURE, SURELY_NOT = 0.9, 0.7
 #: Buckets of so few members have all their pairs listed at once; larger ones get leaders first,
-#: and those of more than LARGE members a second round of leaders, before pairs are listed.
+#: and those of more than LARGE members a second round of leaders and a look at signatures, before
+#: pairs are listed.
 SMALL, LARGE = 6, 48
 LEADERS = 3
+#: Members of a bucket that are compared with each other in one group.
+BLOCK = 2048
 #: The first rank interval is [0, 2**FIRST); each further one doubles the end.
 FIRST = -4
 #: Shingles handled at once.
@@ -245,6 +248,29 @@ def _agreement(a: bytes, b: bytes) -> float:
     return float((same - 1 / 256) / (1 - 1 / 256))
 
 
+def _close_pairs(least: float, group: pa.Table) -> pa.Table:
+    """Pairs of different classes whose signatures agree, in the bucket of their first shared band."""
+    i, j, key = (group[n][0].as_py() for n in ("i", "j", "key"))
+    node, cls, mine = (group[n].to_numpy() for n in ("node", "class", "mine"))
+    bands = np.array(group["bands"].to_pylist(), np.int64)
+    sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+    found = []
+    for start in range(0, len(node), 32):
+        rows = slice(start, start + 32)
+        same = (sketch[rows, None, :] == sketch[None, :, :]).mean(axis=2)
+        close = (same - 1 / 256) / (1 - 1 / 256) >= least
+        close &= (node[rows, None] < node[None, :]) & (cls[rows, None] != cls[None, :])
+        if i != j:
+            close &= mine[rows, None] != mine[None, :]
+        a, b = np.nonzero(close)
+        a += start
+        shared = bands[a] == bands[b]
+        first = bands[a, shared.argmax(axis=1)] == key
+        found.append(np.stack([node[a[first]], node[b[first]]]))
+    a, b = np.concatenate(found, axis=1)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     left = table.select(F.col("node").alias("a"), F.col(column).alias("x"))
     right = table.select(F.col("node").alias("b"), F.col(column).alias("y"))
@@ -338,6 +364,26 @@ def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD
         crossing = (F.col("a") < F.col("b")) & (F.col("class") != F.col("other"))
         return left.join(right, "key").filter(crossing).select("a", "b").distinct()
 
+    def blocks(table: DataFrame) -> DataFrame:
+        """The same for buckets of any size, less the pairs that signatures surely tell apart.
+
+        A bucket is dealt over blocks, and every two blocks meet in a group of bounded size.
+        A pair is given by the first band it shares; if that bucket is smaller, the pair
+        is listed there.
+        """
+        sized = table.select("key", "node", "class", F.ceil(F.col("m") / BLOCK).cast("int").alias("n"))
+        rows = sized.join(own.select("node", "bands", "sketch").hint("merge"), "node")
+        mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+        each = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        each = each.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+        least = threshold - (THRESHOLD - SURELY_NOT)
+        grouped = each.drop("other", "n").groupBy("key", "i", "j")
+
+        def close(group: pa.Table) -> pa.Table:
+            return _close_pairs(least, group)
+
+        return grouped.applyInArrow(close, "a long, b long")
+
     def settle(pairs: DataFrame) -> None:
         """Compare pairs that were not compared before, and bring the classes up to date."""
         nonlocal tested, links, known
@@ -358,8 +404,10 @@ def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD
     huge = shared.filter(F.col("m") > LARGE)
     if not huge.isEmpty():
         settle(led(apart(huge), range(LEADERS, 2 * LEADERS)))
-    if not shared.filter(large).isEmpty():
-        settle(every(apart(shared.filter(large))))
+        settle(blocks(apart(huge)))
+    middle = shared.filter(large & (F.col("m") <= LARGE))
+    if not middle.isEmpty():
+        settle(every(apart(middle)))
     degree = (
         links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     )

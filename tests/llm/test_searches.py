@@ -184,6 +184,7 @@ def test_classes_against_all_pairs(spark, data):
 def test_large_groups_of_near_copies(spark, monkeypatch):
     """More members than leaders can settle, in buckets over the limit for listing pairs at once."""
     monkeypatch.setattr(neardup, "LARGE", 6)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
     r = np.random.default_rng(8)
     words = [f"w{k}" for k in range(400)]
     texts = {}
