@@ -2,13 +2,17 @@
 
 Test items are indexed; every passage of every document (``WINDOW`` words, a new one each
 ``STRIDE``) is a query. Scores are BM25 with the item's score against itself as 1, so one
-threshold serves items of every length, and all items at or above it are retrieved. A block
-bound decides which passages run the search at all: what the rare terms of passage and item
+threshold serves items of every length, and all items at or above it are retrieved. As no
+passage can hold an item much longer than itself, items of over ``SEGMENT`` words are also
+indexed by overlapping segments of so many words, each scored against itself: a segment that
+a document holds lies within one of its passages. A block bound decides which passages run the search at all: what the rare terms of passage and item
 add up to, and the most that the passage's frequent terms can add in the item's block. It is
 never below the score, so it loses nothing. An item that is retrieved counts as found if the text around the passage
-holds enough of the word sequences of its question and of its answer (its last sentence).
+holds enough of the word sequences of its question and of its answer (its last sentence),
+both of the whole item.
 
-The index holds at most ``SHARD_ITEMS`` items and ``SHARD_CHARS`` characters. Larger
+The index holds at most ``SHARD_ITEMS`` items and ``SHARD_CHARS`` characters, those of
+segments included. Larger
 benchmarks are searched in several such shards, with word statistics of the whole benchmark.
 """
 
@@ -30,6 +34,9 @@ from pyspark.sql import types as T
 from pagequarry.llm.common import WORD, flat_map_rows, map_rows, unused
 
 WINDOW, STRIDE = 128, 64
+#: Words of a segment of a longer item, and from one segment's start to the next one's. Wherever
+#: SEGMENT words stand, a passage holds them all, as SEGMENT + STRIDE is at most WINDOW.
+SEGMENT, SEGMENT_STRIDE = 64, 32
 K1, B = 1.2, 0.75
 #: Least share of an item's own score, and least overlap of its question and its answer.
 LEAST_SCORE, LEAST_OVERLAP = 0.6, 0.6
@@ -56,6 +63,14 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if n else set()
 
 
+def stretches(words: list[str]) -> list[list[str]]:
+    """What an item is indexed by: all its words and, if they are many, its segments."""
+    if len(words) <= SEGMENT:
+        return [words]
+    starts = [*range(0, len(words) - SEGMENT, SEGMENT_STRIDE), len(words) - SEGMENT]
+    return [words, *(words[k : k + SEGMENT] for k in starts)]
+
+
 @dataclass
 class Item:
     item_id: int | None
@@ -84,43 +99,49 @@ class Item:
 
 
 class Index:
-    """Inverted index of items: by term, postings in blocks with their largest impact."""
+    """Inverted index of items: by term, postings in blocks with their largest impact.
+
+    An item has an entry, or several, for its stretches; ``items`` has the item of each entry.
+    """
 
     def __init__(self, items: list[tuple], frequency: dict[str, int], n: int, length: float) -> None:
-        self.items = [Item.read(i, t) for i, t in items]
+        self.items: list[Item] = []
         self.terms = {w: k for k, w in enumerate(sorted(frequency))}
         idf = [math.log(1 + (n - frequency[w] + 0.5) / (frequency[w] + 0.5)) for w in sorted(frequency)]
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for at, (_, text) in enumerate(items):
-            counts = Counter(words_of(text))
-            size = sum(counts.values())
-            norm = K1 * (1 - B + B * size / length)
-            impact = {w: idf[self.terms[w]] * c * (K1 + 1) / (c + norm) for w, c in counts.items()}
-            own = sum(impact.values())
-            for w, x in impact.items():
-                postings[self.terms[w]].append((at, x / own))
+        for item_id, text in items:
+            item = Item.read(item_id, text)
+            for stretch in stretches(words_of(text)):
+                at, counts = len(self.items), Counter(stretch)
+                self.items.append(item)
+                norm = K1 * (1 - B + B * len(stretch) / length)
+                impact = {w: idf[self.terms[w]] * c * (K1 + 1) / (c + norm) for w, c in counts.items()}
+                own = sum(impact.values())
+                for w, x in impact.items():
+                    postings[self.terms[w]].append((at, x / own))
+        entries = len(self.items)
         self.at = [[a for a, _ in p] for p in postings]
         self.impact = [[x for _, x in p] for p in postings]
         self.top = np.array([max(x, default=0.0) for x in self.impact])
         self.block_top = [[max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for x in self.impact]
         # for the bound: rare terms' postings as flat arrays, frequent terms' maxima by block
-        limit = max(2, FREQUENT * len(items))
+        limit = max(2, FREQUENT * entries)
         rare = [len(a) <= limit for a in self.at]
         self.rare = np.array([*rare, False], bool)  # term -1 is none
         self.starts = np.cumsum([0, *(len(a) for a in self.at)])
         self.flat_at = np.array([a for p in self.at for a in p], np.int64)
         self.flat_impact = np.array([x for p in self.impact for x in p])
         self.frequent = {t: k for k, t in enumerate(k for k, r in enumerate(rare) if not r)}
-        self.block_bound = np.zeros((len(self.frequent), len(items) // BOUND_BLOCK + 1))
+        self.block_bound = np.zeros((len(self.frequent), entries // BOUND_BLOCK + 1))
         for t, k in self.frequent.items():
             np.maximum.at(self.block_bound[k], np.array(self.at[t]) // BOUND_BLOCK, self.impact[t])
         self.most = self.block_bound.sum(axis=0)
         self.counts = np.diff(self.starts)
-        # what rare terms must add up to, by item
-        self.rest = LEAST_SCORE - 1e-9 - self.most[np.arange(len(items)) // BOUND_BLOCK]
+        # what rare terms must add up to, by entry
+        self.rest = LEAST_SCORE - 1e-9 - self.most[np.arange(entries) // BOUND_BLOCK]
 
     def retrieve(self, terms: list[int], least: float) -> Iterator[tuple[int, float]]:
-        """Items (by place in ``items``) that reach ``least``, by block-max WAND."""
+        """Entries (by place in ``items``) that reach ``least``, by block-max WAND."""
         cursors = [[self.at[t][0], 0, t] for t in terms]
 
         def advance(cursor: list[int], to: int) -> None:
@@ -169,7 +190,7 @@ class Index:
                         advance(c, item)
 
     def passages(self, words: list[str], least: float = LEAST_SCORE - 1e-9) -> Iterator[tuple[int, list[int]]]:
-        """Passages that some item may reach: first word, distinct indexed terms."""
+        """Passages that some entry may reach: first word, distinct indexed terms."""
         get = self.terms.get
         term = np.array([get(w, -1) for w in words], np.int64)
         cells = (len(words) - 1) // STRIDE + 1 if words else 0
@@ -202,13 +223,21 @@ class Index:
                     yield k * STRIDE, distinct
 
     def search(self, text: str | None) -> list[tuple]:
-        """(item_id, score, question overlap, answer overlap, first word), the best per item."""
+        """(item_id, score, question overlap, answer overlap, first word), the best per item.
+
+        The score is that of the item or of its best segment.
+        """
         words = words_of(text)
         best: dict[int, tuple] = {}
         for start, terms in self.passages(words):
+            reached: dict[int, tuple[Item, float]] = {}
             for k, score in self.retrieve(terms, LEAST_SCORE - 1e-9):
                 item = self.items[k]
-                if k in best and best[k][1] >= score:
+                if id(item) not in reached or reached[id(item)][1] < score:
+                    reached[id(item)] = (item, score)
+            for k, (item, score) in reached.items():
+                # sums of a segment's shares that differ in the last digits are equal
+                if k in best and best[k][1] >= score - (1e-9 if item.words > SEGMENT else 0):
                     continue
                 around = words[max(0, start - item.words) : start + WINDOW + item.words]
                 asked, answered = item.overlaps(around)
@@ -229,8 +258,10 @@ def index_parts(items: DataFrame) -> Iterator[tuple]:
         .withColumn("words", _spark_words())
         .filter(F.size("words") > 0)
     )
+    # segments overlap by half, so a long item is indexed about three times
+    times = F.when(F.size("words") > SEGMENT, 1 + SEGMENT // SEGMENT_STRIDE).otherwise(1)
     total = items.agg(
-        F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.avg(F.size("words")).alias("length")
+        F.count("*").alias("n"), F.sum(F.length("text") * times).alias("chars"), F.avg(F.size("words")).alias("length")
     ).first()
     if not total.n:
         return

@@ -77,6 +77,24 @@ def test_benchmark_edge_cases(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 4
 
 
+def test_long_items_are_found_wherever_they_stand(spark):
+    """Items of 65 to 1,000 words held verbatim at any place; half an item is not the item."""
+    r = np.random.default_rng(4)
+
+    def text(n):
+        return " ".join(f"w{k}" + "." * (i % 12 == 11) for i, k in enumerate(r.integers(0, 3000, n)))
+
+    sizes = [30, 65, 128, 180, 220, 260, 300, 400, 600, 1000]
+    items = [(k, text(n)) for k, n in enumerate(sizes)]
+    docs = [(k * 10 + j, " ".join([text(500 + 13 * j), t, text(400)])) for k, t in items for j in range(5)]
+    docs += [(1000 + k, " ".join([text(70), t[: len(t) // 2], text(400)])) for k, t in items]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = Counter((x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, items).collect())
+    assert found == {(k * 10 + j, k): 1 for k in range(len(sizes)) for j in range(5)}
+    assert {x.doc_id for x in decontaminate.without_benchmark(docs, items).collect()} == {1000 + k for k in range(len(sizes))}
+
+
 def test_nearest_neighbours_recall(spark, data):
     rows = QUERIES["op2_hash_forest"](spark, data).collect()
     table = read(spark, data, "embeddings").toPandas()
