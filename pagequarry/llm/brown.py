@@ -2,10 +2,17 @@
 
 Words belong to classes; a token's probability is that of its class after the class before
 it, times that of the word within its class. Classes are found by exchange clustering: units
-move one at a time to the class that raises the likelihood of the unit bigrams most, until
-none moves. The units are the ``UNITS`` commonest words; each of the other words stands with
-the unit of its ending, so that every word has a class. Unit bigrams and word counts come
-from all training documents.
+move to the class that raises the likelihood of the unit bigrams most. Every training word
+that occurs ``LEAST`` times is a unit; each of the other words stands with the unit of its
+ending, so that every word has a class. Bigrams and word counts come from all training
+documents.
+
+The driver clusters the ``UNITS`` commonest words and the endings of all others one at a time
+until none moves. That gives each word a first class. Then all units are moved in ``STEPS``
+steps, half of them in each: a unit's counts by the class before and after it are summed on
+Spark, and a task chooses its best class by the table of class bigrams. As units move at once,
+the moves of a step count only as far as they raise the likelihood. Texts are kept as numbers of
+units for that. Tasks know units by a hash of the word: 8 bytes and a class for each.
 
 Word counts of frequent words (at most ``FREQUENT``) travel to the tasks; counts of other
 words are joined by word. Both the base score and the class model need the sum of
@@ -16,8 +23,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +41,10 @@ END = b" "
 UNITS, ENDINGS, CLASSES = 640, 383, 48
 FREQUENT = 1 << 18
 PASSES = 12
+#: Least count of a word that is a unit of its own; steps that move all units.
+LEAST, STEPS = 5, 6
+#: Counts held by a task before equal ones are added up.
+HELD = 4_000_000
 #: Words counted before a task hands its counts on.
 COUNTED = 400_000
 
@@ -96,7 +108,7 @@ class Units:
 class _Memo(dict):
     """Units of words, remembered up to a bounded number."""
 
-    def __init__(self, units: Units) -> None:
+    def __init__(self, units: Callable[[bytes], int]) -> None:
         self.units = units
 
     def __missing__(self, word: bytes) -> int:
@@ -137,6 +149,32 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
+def gains(table: np.ndarray, o: np.ndarray, i: np.ndarray, loop: float, old: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class bigrams without a unit of class ``old``, and the gain of its joining each class.
+
+    ``o`` and ``i`` are its counts to and from each class without ``loop``, those to itself.
+    """
+    base = table.copy()
+    base[old, :] -= o
+    base[:, old] -= i
+    base[old, old] -= loop
+    # its class's row gets o, its column i, and where they cross all three
+    after, before = np.flatnonzero(o), np.flatnonzero(i)
+    rows = _xlogx(base[:, after] + o[after]) - _xlogx(base[:, after])
+    columns = _xlogx(base[before, :] + i[before][:, None]) - _xlogx(base[before, :])
+    gain = rows.sum(axis=1) + columns.sum(axis=0)
+    gain[after] -= rows[after, np.arange(len(after))]
+    gain[before] -= columns[np.arange(len(before)), before]
+    d = np.diag(base)
+    gain += _xlogx(d + o + i + loop) - _xlogx(d)
+    left, right = base.sum(axis=1), base.sum(axis=0)
+    gain -= _xlogx(left + o.sum() + loop) - _xlogx(left)
+    gain -= _xlogx(right + i.sum() + loop) - _xlogx(right)
+    # tokens that precede or follow the unit keep their classes, so only its own move
+    gain[0] = -np.inf
+    return base, gain
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
     """Class of each unit by exchange clustering on a unit bigram table.
 
@@ -161,20 +199,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
             o, i, loop = out_of[u].copy(), into[u].copy(), bigrams[u, u]
             o[old] -= loop
             i[old] -= loop
-            base = table.copy()  # without the unit
-            base[old, :] -= o
-            base[:, old] -= i
-            base[old, old] -= loop
-            # gain of joining each class: its row gets o, its column i, its loop all three
-            rows, columns = _xlogx(base + o[None, :]) - _xlogx(base), _xlogx(base + i[:, None]) - _xlogx(base)
-            d = np.diag(base)
-            gain = rows.sum(axis=1) - np.diag(rows) + columns.sum(axis=0) - np.diag(columns)
-            gain += _xlogx(d + o + i + loop) - _xlogx(d)
-            left, right = base.sum(axis=1), base.sum(axis=0)
-            gain -= _xlogx(left + o.sum() + loop + i * 0) - _xlogx(left)
-            gain -= _xlogx(right + i.sum() + loop) - _xlogx(right)
-            # tokens that precede or follow the unit keep their classes, so only its own move
-            gain[0] = -np.inf
+            base, gain = gains(table, o, i, loop, old)
             new = int(np.argmax(gain))
             if new != old and gain[new] > gain[old] + 1e-9:
                 cls[u] = new
@@ -192,6 +217,159 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
     return cls
 
 
+def likelihood(table: np.ndarray) -> float:
+    """Of the class bigrams, up to what depends on the words alone."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def _key(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+
+
+class Numbers:
+    """Number of a word's unit: 0 is the end, then words by hash, endings, all other endings."""
+
+    def __init__(self, keys: np.ndarray, endings: list[bytes]) -> None:
+        self.keys, self.size = keys, len(keys) + len(endings) + 2
+        self.endings = {e: len(keys) + 1 + k for k, e in enumerate(endings)}
+
+    def __call__(self, word: bytes) -> int:
+        if word == END:
+            return 0
+        key = _key(word)
+        k = int(self.keys.searchsorted(key))
+        if k < len(self.keys) and self.keys[k] == key:
+            return k + 1
+        return self.endings.get(ending(word), self.size - 1)
+
+
+def encoded(texts: DataFrame, shared) -> DataFrame:
+    """The numbers of the units of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Memo(Numbers(*shared.value))
+        for values in _batches(batches, "text"):
+            rows = [np.fromiter(map(memo.__getitem__, w), np.int32, len(w)) for w in map(tokens_of, values)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["ids"])
+
+    return texts.select("text").mapInArrow(run, "ids array<int>")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Units and the ones before them. Texts end with unit 0, which also precedes the first."""
+    for batch in batches:
+        ids = batch.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(ids):
+            yield np.concatenate([[0], ids[:-1]]), ids
+
+
+def class_table(numbered: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
+    """How often a class follows another."""
+    shared = numbered.sparkSession.sparkContext.broadcast(cls)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, table = shared.value, np.zeros(k * k, np.int64)
+        for a, b in _pairs(batches):
+            table += np.bincount(of[a].astype(np.int64) * k + of[b], minlength=k * k)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], ["at", "n"])
+
+    cells = numbered.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    out = np.zeros(k * k)
+    out[cells["at"].to_numpy()] = cells["n"].to_numpy()
+    return out.reshape(k, k)
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    key, n = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*counts, np.zeros(0, np.int64)])
+    if not len(key):
+        return key, n
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[starts], np.add.reduceat(n, starts)
+
+
+def moves(numbered: DataFrame, cls: np.ndarray, table: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units of one half that gain by another class: numbers, classes, gains."""
+    k, shared = len(table), numbered.sparkSession.sparkContext.broadcast((cls, table))
+    width = 2 * k + 1  # by unit: counts to each class, from each class, to itself
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, keys, counts, held = shared.value[0].astype(np.int64), [], [], 0
+        for a, b in _pairs(batches):
+            mine, yours, same = (a % 2 == half) & (a > 0), (b % 2 == half) & (b > 0), a == b
+            parts = [a[mine] * width + of[b[mine]], b[yours] * width + k + of[a[yours]], b[yours & same] * width + 2 * k]
+            key, n = np.unique(np.concatenate(parts), return_counts=True)
+            keys.append(key)
+            counts.append(n)
+            held += len(key)
+            if held > HELD:
+                key, n = _added(keys, counts)
+                keys, counts, held = [key], [n], len(key) // 2  # many distinct ones may be held
+        key, n = _added(keys, counts)
+        for at in range(0, len(key), 100_000):
+            part = key[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part // width, pa.int32()), pa.array(part % width, pa.int32()), pa.array(n[at : at + 100_000], pa.int64())],
+                ["unit", "slot", "n"],
+            )
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, classes = shared.value
+        keys, counts = [], []
+        for batch in batches:
+            unit, slot, n = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            keys.append(unit * width + slot)
+            counts.append(n)
+        key, n = _added(keys, counts)
+        units, starts = np.unique(key // width, return_index=True)
+        moved = []
+        for u, start, end in zip(units.tolist(), starts.tolist(), [*starts[1:].tolist(), len(key)]):
+            row, old = np.zeros(width), int(of[u])
+            row[key[start:end] % width] = n[start:end]
+            o, i, loop = row[:k], row[k:-1], row[-1]
+            o[old] -= loop
+            i[old] -= loop
+            _, gain = gains(classes, o, i, loop, old)
+            new = int(np.argmax(gain))
+            if new != old and gain[new] > gain[old] + 1e-9:
+                moved.append((u, new, gain[new] - gain[old]))
+        made = list(zip(*moved)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(made, (pa.int32(), pa.int32(), pa.float64()))], ["unit", "cls", "gain"]
+        )
+
+    counted = numbered.mapInArrow(count, "unit int, slot int, n long").repartition("unit")
+    rows = counted.mapInArrow(choose, "unit int, cls int, gain double").toArrow()
+    shared.unpersist()
+    return tuple(rows[c].to_numpy() for c in ("unit", "cls", "gain"))
+
+
+def refined(numbered: DataFrame, cls: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all units after so many steps, and the class bigrams."""
+    k = int(cls.max()) + 1
+    table = class_table(numbered, cls, k)
+    idle = 0
+    for step in range(steps if k > 2 else 0):
+        unit, new, gain = moves(numbered, cls, table, step % 2)
+        order = np.lexsort((unit, -gain))
+        idle += 1
+        while len(order):  # all moves, or the half of them that gain most, and so on
+            tried = cls.copy()
+            tried[unit[order]] = new[order]
+            made = class_table(numbered, tried, k)
+            if likelihood(made) > likelihood(table):
+                cls, table, idle = tried, made, 0
+                break
+            order = order[: len(order) // 2]
+        if idle > 1:  # neither half moves
+            break
+    return cls, table
+
+
 def transitions(table: np.ndarray) -> np.ndarray:
     """log10 P(class | class before): class bigrams backed off to class frequencies."""
     k = len(table)
@@ -203,10 +381,10 @@ def transitions(table: np.ndarray) -> np.ndarray:
 
 def _scorer(shared):
     """Per text: tokens, known tokens and log counts of frequent words, class part, the rest."""
-    words, counts, names, endings, cls, trans, within = shared.value
+    words, counts, keys, endings, cls, trans, within = shared.value
     logs = dict(zip(words, np.log10(np.array(counts, float) + 0.5).tolist()))
-    memo = _Memo(Units(names, endings))
-    cls, trans, within = np.array(cls), np.array(trans), np.array(within)
+    memo = _Memo(Numbers(keys, endings))
+    trans, within = np.array(trans), np.array(within)
 
     def step(text: str | None) -> tuple:
         tokens = tokens_of(text)
@@ -248,12 +426,23 @@ def scores(docs: DataFrame, learn: F.Column | None = None) -> DataFrame:
     bigrams = np.zeros((units.size, units.size))
     cells = unit_bigrams(train, units).toArrow()
     bigrams[cells["a"].to_numpy(), cells["b"].to_numpy()] = cells["n"].to_numpy()
-    cls = exchange(bigrams)
-    one = np.eye(cls.max() + 1)[cls]
+    first = exchange(bigrams)
+    # every word of LEAST occurrences by hash, with the class of its first unit
+    words = flat_map_rows(
+        vocabulary.filter((F.col("c") >= LEAST) & (F.col("word") != F.lit(END))), ["word"],
+        partial(_first_classes, names, endings, first.tolist()),
+        [T.StructField("key", T.LongType()), T.StructField("cls", T.ByteType())],
+    ).toArrow()
+    keys, at = np.unique(words["key"].to_numpy(), return_index=True)
+    ends_at = first[units.size - 1 - len(endings) :]
+    cls = np.concatenate([[0], words["cls"].to_numpy()[at], ends_at]).astype(np.int8)
+    numbers = sc.broadcast((keys, endings))
+    cls, table = refined(space.keep(encoded(train, numbers), "ids"), cls)
+    known = sc.broadcast(cls)
     # words and tokens of each class
     of_class = flat_map_rows(
         vocabulary, ["word", "c"],
-        partial(_class_counter, names, endings, cls.tolist()),
+        partial(_class_counter, numbers, known),
         [T.StructField("class", T.IntegerType()), T.StructField("c", T.LongType())],
     ).groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     inside = np.full(cls.max() + 1, 0.5)
@@ -271,8 +460,8 @@ def scores(docs: DataFrame, learn: F.Column | None = None) -> DataFrame:
         least = r.c
     frequent = vocabulary.filter(F.col("c") >= least).toArrow()
     shared = sc.broadcast(
-        (frequent["word"].to_pylist(), frequent["c"].to_pylist(), names, endings, cls.tolist(),
-         transitions(one.T @ bigrams @ one).tolist(), np.log10(inside).tolist())
+        (frequent["word"].to_pylist(), frequent["c"].to_pylist(), keys, endings, cls,
+         transitions(table).tolist(), np.log10(inside).tolist())
     )
     fields = [
         T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),
@@ -304,8 +493,13 @@ def scores(docs: DataFrame, learn: F.Column | None = None) -> DataFrame:
     )
 
 
-def _class_counter(names: list[bytes], endings: list[bytes], cls: list[int]):
+def _first_classes(names: list[bytes], endings: list[bytes], cls: list[int]):
     units = Units(names, endings)
+    return lambda word: [(_key(bytes(word)), cls[units(bytes(word))])]
+
+
+def _class_counter(numbers, known):
+    units, cls = Numbers(*numbers.value), known.value.tolist()
     return lambda word, c: [(cls[units(bytes(word))], c)]
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from pagequarry.llm import brown, licenses, quality, toxicity
 from pagequarry.llm.queries import QUERIES
@@ -221,6 +222,27 @@ def test_exchange_finds_alternating_classes():
     assert len({cls[k] for k in range(1, n, 2)}) == 1 and len({cls[k] for k in range(2, n, 2)}) == 1
 
 
+def test_words_beyond_the_commonest_get_classes_by_their_neighbours(spark, monkeypatch):
+    """Words of one kind follow words of the other; nearly all of them share their ending."""
+    monkeypatch.setattr(brown, "UNITS", 60)
+    r = np.random.default_rng(3)
+    p = 1 / np.arange(3, 303)
+    kinds = [r.permutation([f"{k}{i:03}xx" for i in range(300)]) for k in "ab"]
+    texts = []
+    for _ in range(600):
+        words = [kinds[i % 2][r.choice(300, p=p / p.sum())] for i in range(30)]
+        texts.append(" ".join(words))
+    pairs = [r.choice(300, 4, replace=False) for _ in range(100)]
+    tests = [[kinds[0][q[0]], kinds[1][q[1]], kinds[0][q[2]], kinds[1][q[3]]] for q in pairs]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    rows += [(1000 + k, " ".join(t)) for k, t in enumerate(tests)]
+    rows += [(2000 + k, " ".join([t[0], t[2], t[1], t[3]])) for k, t in enumerate(tests)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {x.doc_id: x.score for x in brown.scores(docs, F.col("doc_id") < 1000).collect()}
+    better = [score[1000 + k] > score[2000 + k] + 1 for k in range(len(tests))]
+    assert np.mean(better) > 0.95
+
+
 def test_scores_of_odd_rows(odd_docs, no_docs):
     rows = brown.lm_scores(odd_docs).collect()
     assert len(rows) == odd_docs.count()
