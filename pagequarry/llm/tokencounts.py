@@ -103,8 +103,17 @@ def document_changes(docs: DataFrame) -> DataFrame:
     whose id is divisible by 10. Batch 3 recounts the others by the second tokenizer if
     their id is divisible by 3: a delete under the first, an insert under the second version. Each
     is read off the document itself, so the history grows with the table.
+
+    Rows that agree in id, source, language and text are one document; rows that share only the id
+    are different ones. Every row without an id is a document of its own. It is inserted, and
+    never deleted or recounted, as no divisor applies. (``ORACLE`` leaves such rows out, and takes
+    rows of one id for one document if all their counts agree.)
     """
-    ids = F.coalesce(F.col("doc_id"), F.lit(-1))
+    ids = F.col("doc_id")
+    # nulls are marked, as the hash skips them; an empty text counts as a null one does
+    parts = [x for c in ("source", "lang") for x in (F.col(c).isNull(), F.col(c))]
+    digest = F.xxhash64(*parts, F.coalesce("text", F.lit("")))
+    occurrence = F.when(ids.isNull(), F.monotonically_increasing_id())
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     first, second = TOKENIZERS
 
@@ -115,7 +124,7 @@ def document_changes(docs: DataFrame) -> DataFrame:
 
     recounted = (ids % 3 == 0) & (ids % 10 != 0)
     rows = docs.select(
-        ids.alias("id"), "source", "lang", size.alias("chars"),
+        ids.alias("id"), digest.alias("digest"), occurrence.alias("occurrence"), "source", "lang", size.alias("chars"),
         count_tokens(F.col("text"), first).alias("one"),
         F.when(recounted, count_tokens(F.col("text"), second)).alias("two"),
     )
@@ -137,8 +146,9 @@ def document_changes(docs: DataFrame) -> DataFrame:
             F.when(again, change(3, second, none, two)),
         )
     )
-    each = rows.select("id", F.explode(listed).alias("c"))
-    key = F.concat_ws("/", F.col("c.batch").cast("string"), F.col("c.tokenizer"), F.col("id").cast("string"))
+    each = rows.select("id", "digest", "occurrence", F.explode(listed).alias("c"))
+    document = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("row "), F.col("occurrence").cast("string")))
+    key = F.concat_ws("/", F.col("c.batch").cast("string"), F.col("c.tokenizer"), document, F.col("digest").cast("string"))
     return each.select(key.alias("change_id"), "c.batch", "c.tokenizer", "c.before", "c.after")
 
 

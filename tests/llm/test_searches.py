@@ -285,5 +285,27 @@ def test_token_counts_of_odd_rows(spark, odd_docs, no_docs):
     assert tokencounts.amounts(tokencounts.document_changes(no_docs)).count() == 0
 
 
+def committed(spark, docs):
+    store = tokencounts.Store(spark, Workspace(spark, "test").folder)
+    history = tokencounts.document_changes(docs)
+    for batch in (1, 2, 2, 3):
+        store.commit(str(batch), history.filter(F.col("batch") == batch))
+    return {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens, r.chars) for r in store.totals().collect()}
+
+
+def test_rows_without_id_and_of_one_id_all_count(spark, odd_docs):
+    got = committed(spark, odd_docs)
+    assert sum(n for n, _, _ in got.values()) == 11  # nine with an id, two without
+    assert got["b", "de", "words-1"][0] == 1 and got[None, None, "words-1"] == (2, 0, 0)
+    rows = [(None, "a b", "s", "en"), (None, "a b", "s", "en"), (None, "c", None, "en"), (-1, "d", "s", "en"),
+            (5, "e f", "s", "en"), (5, "e f", "s", "en"), (5, "g h i", "s", "en"), (5, "e f", "t", "en"), (5, "e f", "en", "t"),
+            (10, "k", "s", "en"), (10, "k l m", "s", "en"), (3, "x-y", "s", "en"), (3, "x", "s", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    assert committed(spark, docs) == {
+        ("s", "en", "words-1"): (5, 10, 15), (None, "en", "words-1"): (1, 1, 1), ("t", "en", "words-1"): (1, 2, 3),
+        ("en", "t", "words-1"): (1, 2, 3), ("s", "en", "words-2"): (2, 4, 4),
+    }
+
+
 def test_shared_folder(spark):
     assert shared_folder(spark) == shared_folder(spark)
