@@ -10,6 +10,7 @@ consecutively.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import ahocorasick
 import regex
@@ -100,26 +101,32 @@ class Scanner:
     def notices_in(self, lower: str) -> list[tuple[str, int, int, int]]:
         """(label, start, end, edits) of every notice, in order of place.
 
-        Where notices overlap, those with more edits than another are left out.
+        A notice that overlaps a kept one with fewer edits is left out.
         """
-        out = []
+        out = set()
         for k, spans in self.windows(lower).items():
-            label = self.notices[k][0]
-            for start, end in spans:
-                at = start
-                while at < end and (m := self.patterns[k].search(lower, at, end)):
-                    out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    at = max(m.end(), at + 1)
-        out = sorted(set(out), key=lambda x: (x[1], x[2], x[0], x[3]))
-        kept, group, reach = [], [], -1
-        for x in [*out, (None, float("inf"), 0, 0)]:  # the last one closes the last group
-            if x[1] >= reach and group:
-                least = min(g[3] for g in group)
-                kept += [g for g in group if g[3] == least]
-                group = []
-            group.append(x)
-            reach = max(reach, x[2])
-        return kept
+            label, notice = self.notices[k]
+            shortest, todo = len(notice) - edits(notice), list(spans)
+            while todo:  # the pattern gives the best match of a stretch; others are on both sides of it
+                start, end = todo.pop()
+                if end - start >= shortest and (m := self.patterns[k].search(lower, start, end)):
+                    out.add((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    todo += [(start, m.start()), (m.end(), end)]
+        kept: list[tuple[str, int, int, int]] = []
+        for least in sorted({x[3] for x in out}):
+            # what is kept so far as disjoint stretches
+            starts, ends = [], []
+            for _, start, end, _ in sorted(kept, key=lambda x: x[1]):
+                if ends and start < ends[-1]:
+                    ends[-1] = max(ends[-1], end)
+                else:
+                    starts.append(start)
+                    ends.append(end)
+            for x in (x for x in out if x[3] == least):
+                before = bisect_left(starts, x[2]) - 1  # the last one that begins before the end of x
+                if before < 0 or ends[before] <= x[1]:
+                    kept.append(x)
+        return sorted(kept, key=lambda x: (x[1], x[2], x[0], x[3]))
 
     def base(self, words: list[str]) -> list[tuple[int, str]]:
         """Place and label of every base phrase."""

@@ -167,6 +167,25 @@ def test_pieces_make_up_the_notice():
         assert all(notice.startswith(p, k) for k, p in parts)
 
 
+def test_every_copy_of_a_notice_is_found():
+    scan = licenses.Scanner()
+    one, none = "released under the mit licence", "released under the mit license"
+    for text in (f"{one} {one} {none}", f"{none} {one} {one}", f"{one} {none} {one}", f"{one}{one}{none}{one}"):
+        at = [m.start() for m in re.finditer("released", text)]
+        want = [("mit", k, k + 30, int(text[k : k + 30] == one)) for k in at]
+        assert scan.notices_in(text) == want
+    many = " ".join([one, none] * 200)
+    assert len(scan.notices_in(many)) == 400
+
+
+def test_only_what_overlaps_a_better_notice_is_left_out():
+    """The third overlaps the second alone, which the first one puts out."""
+    scan = licenses.Scanner([("a", "abcdefghijklmnopqrstuvwxyz"), ("b", "stuvwxyz0123456789abcdefgh"), ("c", "abcdefgh!?.,;:-_()[]{}&%$#")])
+    text = "abcdefghijklmnopqrstuvwxyz0123456xx9abcdefgh!?.,;:_-()[]{}&%$#"
+    found = scan.notices_in(text)
+    assert [n[0] for n in found] == ["a", "c"], found
+
+
 def test_licenses_of_odd_rows(odd_docs, no_docs):
     rows = licenses.licenses(odd_docs).collect()
     assert len(rows) == odd_docs.count() and licenses.licenses(no_docs).count() == 0
