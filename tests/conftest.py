@@ -22,7 +22,3 @@ def spark():
 @pytest.fixture(scope="session")
 def data():
     return DATA
-
-
-def shown_plan(frame) -> str:
-    return frame._jdf.queryExecution().executedPlan().toString()

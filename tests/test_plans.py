@@ -2,7 +2,7 @@
 
 import re
 
-from conftest import shown_plan
+from plantext import shown_plan
 from pyspark.sql import functions as F
 
 from pagequarry.operators import extract as X
