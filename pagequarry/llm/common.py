@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
@@ -122,6 +124,17 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def worker_state(key: object, make: Callable[[], object]):
+    """What a Python worker keeps from one task to the next; the last key only.
+
+    Functions travel by value, so variables of their modules last for one task.
+    """
+    kept = sys.modules.setdefault("pagequarry_worker_state", types.ModuleType("pagequarry_worker_state"))
+    if getattr(kept, "key", None) != key:
+        kept.key, kept.value = key, make()
+    return kept.value
+
+
 def label_sample(
     labels: DataFrame, label: Column, limit: int, learn: Column | None = None
 ) -> DataFrame:

@@ -17,6 +17,7 @@ from pagequarry.llm import (
     neardup,
     quality,
     tokencounts,
+    tokenfiles,
     toxicity,
 )
 from pagequarry.llm.common import table
@@ -103,3 +104,12 @@ ORACLES["op3_token_counts"] = tokencounts.ORACLE
 def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return blocks.extracted(table(spark, folder, "pages"))
+
+
+@query
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document written as Simple-8b blocks, and what is read back of them."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return tokenfiles.token_files(table(spark, folder, "documents"), f.read())
