@@ -2,14 +2,15 @@
 
 A word of 64 bits holds a selector in its top four bits and, in the other sixty, as many ids of
 one width as fit: 60 of one bit, 30 of two, down to one of 60. Selector 0 is the escape: its
-word holds a position in the block's list of values that need more than sixty bits. Each
-document begins with a new word; its last word may be part full.
+word holds a position in the block's list of values that need more than sixty bits. Documents
+are coded in runs of ``RUN`` ids, the last one shorter; each run begins with a new word, and its
+last word may be part full.
 
 A block holds whole documents, at least one, and is closed at ``BLOCK_IDS`` ids or ``BLOCK_DOCUMENTS``. Its bytes are,
-little-endian: ``MAGIC``, then as uint32 the numbers of documents, words and escaped values and
-a zero; the number of ids of each document (uint64); the first word of each document and the
-number of words (uint32, padded to whole 64 bits); the escaped values (uint64); the words
-(uint64). With these offsets a block, or one document of it, is decoded without loops over ids.
+little-endian: ``MAGIC``, then as uint32 the numbers of documents, words, escaped values and
+runs; the number of ids of each document (uint64); the first word of each run and the number of
+words (uint32, padded to whole 64 bits); the escaped values (uint64); the words (uint64). With
+these offsets a block, or one document of it, is decoded without loops over ids.
 
 A file set is a Parquet table of blocks, so it can lie in any store Spark writes to and a lost
 task is written again: ``shard`` and ``block`` give the order, ``first`` the ids of the shard
@@ -38,20 +39,32 @@ MAGIC = b"S8B1"
 SLOTS = [(1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7),
          (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 MOST = 60
+RUN = 2048
 COUNTS = np.array([c for c, _ in SLOTS])
 PAYLOAD = np.uint64((1 << 60) - 1)
 #: A block is closed at so many ids or documents.
 BLOCK_IDS, BLOCK_DOCUMENTS = 1 << 20, 1 << 16
 #: Distinct chunks whose ids a Python worker remembers.
 REMEMBERED = 1 << 20
+#: Marks that this kind of tokenizer keeps apart from a letter before them.
+END_MARKS = ".,;:!?#$%&*()"
 #: Cut before plain white space that follows no white space: there every tokenizer of this kind cuts.
 CHUNKS = re.compile(r"\s*\S+(?:[^\S \t\n\r]\s*\S*)*|\s+")
 
 
+#: Length in bits of each number of 16 bits.
+SHORT = np.frexp(np.arange(1 << 16))[1].astype(np.int8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """Length in bits of each value."""
-    high, low = (values >> np.uint64(32)).astype(np.float64), (values & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.int8)
+    if values.max(initial=0) < len(SHORT):
+        return SHORT[values]
+    long = np.zeros(len(values), np.int8)
+    for shift in (0, 16, 32, 48):
+        part = (values >> np.uint64(shift)) & np.uint64(len(SHORT) - 1)
+        long = np.where(part > 0, SHORT[part] + shift, long)
+    return long.astype(np.int8)
 
 
 def _selectors(bits: np.ndarray) -> np.ndarray:
@@ -73,23 +86,40 @@ def _selectors(bits: np.ndarray) -> np.ndarray:
     return chosen
 
 
+def _runs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the runs that documents of these sizes are cut into, and the runs before each document."""
+    count = -(-sizes // RUN)
+    before = np.cumsum(count) - count
+    runs = np.full(int(count.sum()), RUN, np.int64)
+    full = count > 0
+    runs[(before + count - 1)[full]] = (sizes - (count - 1) * RUN)[full]
+    return runs, before
+
+
+def _word_starts(starts: np.ndarray, ends: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Where words begin: from each start on by ``step``, all runs at once."""
+    found = np.zeros(len(step), bool)
+    at = starts
+    while len(at):
+        found[at] = True
+        at = at + step[at]
+        inside = at < ends
+        if not inside.all():
+            at, ends = at[inside], ends[inside]
+    return np.flatnonzero(found)
+
+
 def pack(documents: Sequence[np.ndarray]) -> bytes:
     """A block of the given documents' ids (non-negative integers)."""
     sizes = np.array([len(d) for d in documents], np.int64)
-    # zeros between documents, so that a last word may be part full
-    starts = np.cumsum(sizes + MOST) - sizes - MOST
-    values = np.zeros(int((sizes + MOST).sum()), np.uint64)
-    for at, d in zip(starts.tolist(), documents):
-        values[at : at + len(d)] = d
+    runs, _ = _runs(sizes)
+    ids = np.concatenate([np.zeros(0, np.uint64), *documents], dtype=np.uint64, casting="unsafe")
+    # zeros between runs, so that a last word may be part full
+    starts = np.cumsum(runs + MOST) - runs - MOST
+    values = np.zeros(len(ids) + MOST * len(runs), np.uint64)
+    values[np.arange(len(ids)) + np.repeat(MOST * np.arange(len(runs)), runs)] = ids
     selector = _selectors(_bits(values))
-    step, words_at, firsts = COUNTS[selector].astype(np.uint8).tobytes(), [], []
-    for k, size in zip(starts.tolist(), sizes.tolist()):
-        firsts.append(len(words_at))
-        end = k + size
-        while k < end:
-            words_at.append(k)
-            k += step[k]
-    words_at = np.array(words_at, np.int64)
+    words_at = _word_starts(starts, starts + runs, COUNTS[selector])
     chosen = selector[words_at]
     words = chosen.astype(np.uint64) << np.uint64(60)
     escaped = values[words_at[chosen == 0]]
@@ -102,9 +132,10 @@ def pack(documents: Sequence[np.ndarray]) -> bytes:
             for j in range(count):
                 payload |= values[first + j] << np.uint64(bits * j)
             words[at] = payload
-    offsets = np.array([*firsts, len(words)] + [0] * ((len(firsts) + 1) % 2), "<u4")
-    head = np.array([len(sizes), len(words), len(escaped), 0], "<u4")
-    parts = [head, sizes.astype("<u8"), offsets, escaped.astype("<u8"), words.astype("<u8")]
+    offsets = np.append(np.searchsorted(words_at, starts), len(words))
+    offsets = np.append(offsets, np.zeros(len(offsets) % 2, np.int64))
+    head = np.array([len(sizes), len(words), len(escaped), len(runs)], "<u4")
+    parts = [head, sizes.astype("<u8"), offsets.astype("<u4"), escaped.astype("<u8"), words.astype("<u8")]
     return MAGIC + b"".join(p.tobytes() for p in parts)
 
 
@@ -112,21 +143,20 @@ def unpack(block: bytes) -> list[np.ndarray]:
     """The documents' ids of a block."""
     if block[:4] != MAGIC:
         raise ValueError("not a block of token ids")
-    documents, n, n_escaped, _ = (int(x) for x in np.frombuffer(block, "<u4", 4, 4))
+    documents, n, n_escaped, n_runs = (int(x) for x in np.frombuffer(block, "<u4", 4, 4))
     at = 20
     sizes = np.frombuffer(block, "<u8", documents, at).astype(np.int64)
+    runs, _ = _runs(sizes)
     at += 8 * documents
-    offsets = np.frombuffer(block, "<u4", documents + 1, at).astype(np.int64)
-    at += 4 * (documents + 1 + (documents + 1) % 2)
+    offsets = np.frombuffer(block, "<u4", n_runs + 1, at).astype(np.int64)
+    at += 4 * (n_runs + 1 + (n_runs + 1) % 2)
     escaped = np.frombuffer(block, "<u8", n_escaped, at)
     words = np.frombuffer(block, "<u8", n, at + 8 * n_escaped)
     selector = (words >> np.uint64(60)).astype(np.int64)
     held = COUNTS[selector]
     before = np.concatenate([[0], np.cumsum(held)])
-    # the last word of a document holds what the words before it have left
-    full = sizes > 0
-    last = offsets[1:][full] - 1
-    held[last] -= before[offsets[1:][full]] - before[offsets[:-1][full]] - sizes[full]
+    # the last word of a run holds what the words before it have left
+    held[offsets[1:] - 1] -= before[offsets[1:]] - before[offsets[:-1]] - runs
     starts = np.concatenate([[0], np.cumsum(held)])
     values = np.zeros(starts[-1], np.uint64)
     at = np.flatnonzero(selector == 0)
@@ -145,8 +175,8 @@ class Encoder:
     """Ids of whole texts by a tokenizer file, remembering the pieces between spaces.
 
     This kind of tokenizer cuts a text before plain white space that follows none, so the ids of
-    the pieces are the text's. Pieces are taken at single spaces; where a text has other white
-    space beside a space, by ``CHUNKS``. ``end`` is appended to each text. Strings of special
+    the pieces are the text's. Pieces are taken at single spaces and line ends; where a text has
+    white space beside these, by ``CHUNKS``. ``end`` is appended to each text. Strings of special
     tokens are ordinary text.
     """
 
@@ -165,31 +195,43 @@ class Encoder:
 
     def forget(self) -> None:
         """Keeps only what was learned or used since the last call."""
-        #: ids of a chunk as it stands, and of a space with what follows up to the next one;
-        #: the latter None where no cut is allowed
+        #: ids of a chunk as it stands, and of what follows a space (with it) or begins with a line
+        #: end; the latter None where no cut is allowed
         self.alone: dict[str, bytes] = {}
         self.older, self.spaced = getattr(self, "spaced", {}), {}
 
     def _learn_spaced(self, new: set[str]) -> None:
         """Joins new pieces to long texts, as a call for each would cost more than its encoding."""
-        whole = []
+        whole, cut = set(), []
         for w in new:
             if w in self.older:
                 self.spaced[w] = self.older[w]
             elif not w or w[-1].isspace():
                 self.spaced[w] = None
             else:
-                whole.append(w)
-        groups = [whole[k : k + 512] for k in range(0, len(whole), 512)]
-        texts = [" " + " ".join(g) for g in groups]
-        for group, coded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(coded.ids, np.uint32)
-            ends = np.cumsum([len(w.encode()) + 1 for w in group])
+                base = w.rstrip(END_MARKS)
+                if base and len(base) < len(w) and base[-1] < "\u0250" and base[-1].isalpha():
+                    cut.append((w, base))
+                    if base in self.older:
+                        self.spaced[base] = self.older[base]
+                    w = base
+                if w not in self.spaced:
+                    whole.add(w)
+        whole = list(whole)
+        groups = [whole[k : k + 64] for k in range(0, len(whole), 64)]
+        marked = [[w if w[0] == "\n" else " " + w for w in g] for g in groups]
+        texts = ["".join(g) for g in marked]
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for group, pieces, one in zip(groups, marked, coded):
+            ids = np.array(one.ids, np.uint32)
+            ends = np.cumsum([len(w.encode()) for w in pieces])
             cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
             raw, start = ids.tobytes(), 0
-            for w, cut in zip(group, (4 * cuts).tolist()):
-                self.spaced[w] = raw[start:cut]
-                start = cut
+            for w, end in zip(group, (4 * cuts).tolist()):
+                self.spaced[w] = raw[start:end]
+                start = end
+        for w, base in cut:
+            self.spaced[w] = self.spaced[base] + self._chunked(w[len(base) :])
 
     def _chunked(self, text: str) -> bytes:
         chunks = CHUNKS.findall(text)
@@ -201,18 +243,19 @@ class Encoder:
     def __call__(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         if len(self.alone) + len(self.spaced) > REMEMBERED // 2:
             self.forget()
-        split = [(t or "").split(" ") for t in texts]
+        texts = [t or "" for t in texts]
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
         self._learn_spaced(set().union(*(s[1:] for s in split)).difference(self.spaced))
         ids = self.spaced.__getitem__
         made = []
-        for pieces in split:
+        for text, pieces in zip(texts, split):
             first = pieces[0]
             try:
                 if len(pieces) > 1 and (not first or first[-1].isspace()):
                     raise TypeError
                 coded = b"".join([self._chunked(first), *map(ids, pieces[1:]), self.end])
             except TypeError:  # a piece without ids: white space beside a space
-                coded = self._chunked(" ".join(pieces)) + self.end
+                coded = self._chunked(text) + self.end
             made.append(np.frombuffer(coded, np.uint32))
         return made
 
