@@ -45,7 +45,9 @@ PAYLOAD = np.uint64((1 << 60) - 1)
 #: A block is closed at so many ids or documents.
 BLOCK_IDS, BLOCK_DOCUMENTS = 1 << 20, 1 << 16
 #: Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 3 << 18
+#: Stands for the ids of what cannot be encoded by itself.
+NO_CUT = False
 #: Marks that this kind of tokenizer keeps apart from a letter before them.
 END_MARKS = ".,;:!?#$%&*()"
 #: Cut before plain white space that follows no white space: there every tokenizer of this kind cuts.
@@ -186,52 +188,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True
         self.end = np.uint32(end).tobytes()
-        # bytes of each token: in this kind of vocabulary each character stands for one byte
+        # which tokens begin with a space or line end, as this kind of vocabulary writes these bytes
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.lengths[i] = len(token)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
         self.forget()
 
     def forget(self) -> None:
-        """Keeps only what was learned or used since the last call."""
         #: ids of a chunk as it stands, and of what follows a space (with it) or begins with a line
-        #: end; the latter None where no cut is allowed
+        #: end; the latter ``NO_CUT`` where no cut is allowed
         self.alone: dict[str, bytes] = {}
-        self.older, self.spaced = getattr(self, "spaced", {}), {}
+        self.spaced: dict[str, bytes | bool] = {}
 
     def _learn_spaced(self, new: set[str]) -> None:
         """Joins new pieces to long texts, as a call for each would cost more than its encoding."""
-        whole, cut = set(), []
+        words, lines, cut = set(), [], []
+        spaced = self.spaced
         for w in new:
-            if w in self.older:
-                self.spaced[w] = self.older[w]
-            elif not w or w[-1].isspace():
-                self.spaced[w] = None
+            if not w or w[-1].isspace():
+                spaced[w] = NO_CUT
+            elif w[0] == "\n":
+                lines.append(w)
+            elif w[-1] in END_MARKS and (base := w.rstrip(END_MARKS)) and base[-1] < "\u0250" and base[-1].isalpha():
+                cut.append((w, base))
+                if base not in spaced:
+                    words.add(base)
             else:
-                base = w.rstrip(END_MARKS)
-                if base and len(base) < len(w) and base[-1] < "\u0250" and base[-1].isalpha():
-                    cut.append((w, base))
-                    if base in self.older:
-                        self.spaced[base] = self.older[base]
-                    w = base
-                if w not in self.spaced:
-                    whole.add(w)
-        whole = list(whole)
-        groups = [whole[k : k + 64] for k in range(0, len(whole), 64)]
-        marked = [[w if w[0] == "\n" else " " + w for w in g] for g in groups]
-        texts = ["".join(g) for g in marked]
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        for group, pieces, one in zip(groups, marked, coded):
-            ids = np.array(one.ids, np.uint32)
-            ends = np.cumsum([len(w.encode()) for w in pieces])
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(group, (4 * cuts).tolist()):
-                self.spaced[w] = raw[start:end]
-                start = end
+                words.add(w)
+        words = list(words)
+        for pieces, mark in ((words, " "), (lines, "")):
+            groups = [pieces[k : k + 64] for k in range(0, len(pieces), 64)]
+            texts = [mark + mark.join(g) for g in groups]
+            for group, coded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(coded.ids, np.uint32)
+                starts = (4 * np.flatnonzero(self.begins[ids])).tolist()
+                raw = ids.tobytes()
+                spaced.update(zip(group, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)]))))
         for w, base in cut:
-            self.spaced[w] = self.spaced[base] + self._chunked(w[len(base) :])
+            marks = w[len(base) :]
+            spaced[w] = spaced[base] + (self.alone.get(marks) or self._chunked(marks))
 
     def _chunked(self, text: str) -> bytes:
         chunks = CHUNKS.findall(text)
@@ -241,20 +236,28 @@ class Encoder:
         return b"".join(map(self.alone.__getitem__, chunks))
 
     def __call__(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        if len(self.alone) + len(self.spaced) > REMEMBERED // 2:
+        if len(self.alone) + len(self.spaced) > REMEMBERED:
             self.forget()
-        texts = [t or "" for t in texts]
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        self._learn_spaced(set().union(*(s[1:] for s in split)).difference(self.spaced))
-        ids = self.spaced.__getitem__
-        made = []
-        for text, pieces in zip(texts, split):
-            first = pieces[0]
+        get, waiting, new = self.spaced.get, [], set()
+        for text in (t or "" for t in texts):
+            first, *pieces = text.replace("\n", " \n").split(" ")
+            found = list(map(get, pieces))
+            gaps = []
+            if None in found:
+                gaps = [k for k, x in enumerate(found) if x is None]
+                pieces = [pieces[k] for k in gaps]
+                new.update(pieces)
+            waiting.append((text, first, found, gaps, pieces))
+        self._learn_spaced(new)
+        made, ids = [], self.spaced.__getitem__
+        for text, first, found, gaps, pieces in waiting:
+            for k, x in zip(gaps, map(ids, pieces)):
+                found[k] = x
+            if found and (not first or first[-1].isspace()):
+                found.append(NO_CUT)
             try:
-                if len(pieces) > 1 and (not first or first[-1].isspace()):
-                    raise TypeError
-                coded = b"".join([self._chunked(first), *map(ids, pieces[1:]), self.end])
-            except TypeError:  # a piece without ids: white space beside a space
+                coded = b"".join([self._chunked(first), *found, self.end])
+            except TypeError:  # white space beside a space
                 coded = self._chunked(text) + self.end
             made.append(np.frombuffer(coded, np.uint32))
         return made

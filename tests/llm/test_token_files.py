@@ -63,7 +63,7 @@ def test_memory_is_bounded(monkeypatch):
     for k in range(20):
         texts = [f"a{k} b{k} c{k} common d", "common d"]
         assert [x.tolist() for x in encode(texts)] == library_ids(texts)
-    assert len(encode.spaced) + len(encode.older) < 20
+    assert len(encode.spaced) < 20
 
 
 def test_query_gives_every_documents_ids(spark, data):
