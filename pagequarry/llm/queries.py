@@ -11,6 +11,7 @@ from pagequarry.llm import (
     blocks,
     bpe,
     brown,
+    collocations,
     decontaminate,
     forest,
     licenses,
@@ -19,6 +20,7 @@ from pagequarry.llm import (
     tokencounts,
     tokenfiles,
     toxicity,
+    variants,
 )
 from pagequarry.llm.common import table
 from pagequarry.llm.components import Workspace
@@ -113,3 +115,18 @@ def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         return tokenfiles.token_files(table(spark, folder, "documents"), f.read())
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the texts with its near words, commonest near form and root."""
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 best collocations of each language."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op11_collocations"] = collocations.ORACLE
