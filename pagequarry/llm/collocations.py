@@ -34,7 +34,7 @@ CLEAN = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" "
 )
 SUPPORT, LONGEST, KEPT = 100, 5, 2000
-SHARD_BYTES, AT_ONCE = 48 << 20, 2_000_000
+SHARD_BYTES, AT_ONCE = 32 << 20, 2_000_000
 #: Ids of the end of a piece and of nothing between two blanks.
 END, NOTHING = 0, 1
 
@@ -60,24 +60,33 @@ def word_ids(text: str, ids: Ids) -> np.ndarray:
 def mined(words: np.ndarray, least: int, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, first places, counts) of all phrases with at least ``least`` places in a shard.
 
-    ``words`` has ``END`` after each piece. Places are tracked with the number of the frequent
-    phrase that begins there, or -1.
+    ``words`` has ``END`` after each piece. Only the places of frequent phrases are held, with the
+    numbers of these phrases; two at adjoining places make a longer one.
     """
-    here = np.where(words == END, -1, words).astype(np.int64)
+    counts = np.bincount(words, minlength=END + 1)
+    counts[END] = 0
+    frequent = counts >= least
+    at = np.flatnonzero(frequent[words])
+    here = (np.cumsum(frequent, dtype=np.int32) - 1)[words[at]]
     for length in range(1, longest + 1):
-        if length == 1:
-            at = np.flatnonzero(here >= 0)
-            keys = here[at]
-        else:
-            following = np.append(here[1:], -1)
-            at = np.flatnonzero((here >= 0) & (following >= 0))
-            keys = here[at] * (int(here.max(initial=0)) + 1) + following[at]
-        _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        frequent = counts >= least
-        number = np.where(frequent, np.cumsum(frequent) - 1, -1)
-        here = np.full(len(words), -1, np.int64)
-        here[at] = number[inverse]
-        yield length, at[first[frequent]], counts[frequent]
+        if length > 1:
+            pairs = np.flatnonzero(at[1:] == at[:-1] + 1)
+            keys = here[pairs] * np.int64(len(counts)) + here[pairs + 1]
+            at = at[pairs]
+            order = np.argsort(keys)
+            keys = keys[order]
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+            counts = np.diff(np.append(starts, len(keys)))
+            del keys
+            frequent = counts >= least
+            here = np.empty(len(order), np.int32)
+            here[order] = np.repeat(np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32), counts)
+            del order
+            at, here = at[here >= 0], here[here >= 0]
+        counts = counts[frequent]
+        places = np.empty(len(counts), np.int64)
+        places[here[::-1]] = at[::-1]
+        yield length, places, counts
 
 
 def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
@@ -101,6 +110,7 @@ def local_phrases(docs: DataFrame, support: int, shard_bytes: int, longest: int
 
     def mine(lang: str, all_bytes: int, size: int, ids: Ids, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         words = np.concatenate(parts)
+        parts.clear()
         names = list(ids)
         back = (support - 1) * size // max(all_bytes, 1)
         yield _batch([lang], [None], [int((words != END).sum())], [back])
