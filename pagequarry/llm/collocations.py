@@ -1,7 +1,9 @@
 """Collocations: frequent phrases by partitions (SON), scored by their weakest cut.
 
-Texts of a language are dealt at random into shards of some ``SHARD_BYTES``. A task mines one
-shard completely, phrase length by phrase length: a phrase is looked for only where both phrases
+Words are counted first; those without the support begin, end or lie in no frequent phrase, so
+texts are cut there (while the others fit a broadcast of ``AT_ONCE`` words; else shards go by their
+own counts). Texts of a language are dealt at random into shards of some ``SHARD_BYTES``. A task
+mines one shard completely, phrase length by phrase length: a phrase is looked for only where both phrases
 within it that are one word shorter are frequent in the shard. A shard's support is the global
 one lowered to its share of the language's bytes, s = floor((support - 1) * share) + 1. What is
 frequent nowhere has at most the sum of all s - 1 places, which is less than the support, so the
@@ -20,10 +22,13 @@ moves about as many rows as there are words; larger shards (``shard_bytes``) def
 
 from __future__ import annotations
 
+from collections import Counter as Tally
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,31 +39,65 @@ CLEAN = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" "
 )
 SUPPORT, LONGEST, KEPT = 100, 5, 2000
-SHARD_BYTES, AT_ONCE = 32 << 20, 2_000_000
+SHARD_BYTES, AT_ONCE = 96 << 20, 2_000_000
+#: Distinct words of a language that a counting task holds before it passes them on.
+HELD = 1 << 18
 #: Ids of the end of a piece and of nothing between two blanks.
-END, NOTHING = 0, 1
+END, NOTHING, NO_WORD = 0, 1, -2
 
 
-class Ids(dict):
-    """Numbers words as they come."""
+def split_words(text: str) -> list[bytes]:
+    """Words, line ends between pieces, and nothing between two blanks."""
+    return text.encode().translate(CLEAN).replace(b"\n", b" \n ").split(b" ")
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, word, f: all words and their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Tally] = {}
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for lang, tally in held.items():
+                del tally[b"\n"], tally[b""]
+                columns = [
+                    pa.array([lang] * len(tally), pa.string()),
+                    pa.array([w.decode() for w in tally], pa.string()),
+                    pa.array(list(tally.values()), pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "f"])
+            held.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                held.setdefault(lang, Tally()).update(split_words(text))
+                if len(held[lang]) >= HELD:
+                    yield from emit()
+        yield from emit()
+
+    return _texts(docs).mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
-    def __init__(self) -> None:
-        super().__init__({b"\n": END, b"": NOTHING})
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = len(self)
-        return len(self) - 1
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def word_ids(text: str, ids: Ids) -> np.ndarray:
-    """Ids of a text's words, with ``END`` after each piece."""
-    words = text.encode().translate(CLEAN).replace(b"\n", b" \n ").split(b" ")
-    found = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+def word_ids(text: str, ids: dict[bytes, int]) -> np.ndarray:
+    """Ids of a text's words, with ``END`` after each piece and for words that have none."""
+    words = split_words(text)
+    found = np.fromiter(map(ids.get, words, repeat(END)), np.int32, len(words))
     return np.append(found[found != NOTHING], np.int32(END))
 
 
+class Ids(dict):
+    """Numbers all words as they come."""
+
+    def get(self, word: bytes, _: int) -> int:
+        return self.setdefault(word, len(self))
+
+
 def mined(words: np.ndarray, least: int, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, first places, counts) of all phrases with at least ``least`` places in a shard.
+    """(length, first places, counts) of phrases of two words or more with ``least`` places in a shard.
 
     ``words`` has ``END`` after each piece. Only the places of frequent phrases are held, with the
     numbers of these phrases; two at adjoining places make a longer one.
@@ -66,7 +105,7 @@ def mined(words: np.ndarray, least: int, longest: int = LONGEST) -> Iterator[tup
     counts = np.bincount(words, minlength=END + 1)
     counts[END] = 0
     frequent = counts >= least
-    at = np.flatnonzero(frequent[words])
+    at = np.flatnonzero(frequent[words]).astype(np.int32)
     here = (np.cumsum(frequent, dtype=np.int32) - 1)[words[at]]
     for length in range(1, longest + 1):
         if length > 1:
@@ -84,9 +123,10 @@ def mined(words: np.ndarray, least: int, longest: int = LONGEST) -> Iterator[tup
             del order
             at, here = at[here >= 0], here[here >= 0]
         counts = counts[frequent]
-        places = np.empty(len(counts), np.int64)
-        places[here[::-1]] = at[::-1]
-        yield length, places, counts
+        if length > 1:
+            places = np.empty(len(counts), np.int64)
+            places[here[::-1]] = at[::-1]
+            yield length, places, counts
 
 
 def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
@@ -102,43 +142,55 @@ def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
     return dealt.drop("h").repartition("lang", "shard").sortWithinPartitions("lang", "shard")
 
 
-def local_phrases(docs: DataFrame, support: int, shard_bytes: int, longest: int = LONGEST) -> DataFrame:
+def local_phrases(
+    docs: DataFrame, support: int, shard_bytes: int, known: Broadcast | None = None, longest: int = LONGEST
+) -> DataFrame:
     """lang, phrase, over: places beyond those that a shard would not have told of.
 
-    Rows without a phrase tell of a shard: its words (``n``) and what it may keep back (``over``).
+    A row without a phrase tells what a shard may keep back. ``known`` has the words of each
+    language that are frequent everywhere together, as phrases have no others; without it a
+    shard goes by its own words.
     """
 
-    def mine(lang: str, all_bytes: int, size: int, ids: Ids, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def _batch(lang, phrase, over) -> pa.RecordBatch:
+        columns = [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(over, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "over"])
+
+    def numbers(lang: str) -> dict[bytes, int]:
+        ids = Ids({b"\n": END, b"": NOTHING})
+        if known is None:
+            return ids
+        for word in known.value.get(lang, ()):
+            ids.get(word, END)
+        return dict(ids)
+
+    def mine(lang: str, all_bytes: int, size: int, ids: dict, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         words = np.concatenate(parts)
         parts.clear()
         names = list(ids)
         back = (support - 1) * size // max(all_bytes, 1)
-        yield _batch([lang], [None], [int((words != END).sum())], [back])
+        yield _batch([lang], [None], [back])
         for length, places, counts in mined(words, back + 1, longest):
             for k in range(0, len(places), 50_000):
                 block = words[places[k : k + 50_000, None] + np.arange(length)].tolist()
                 phrases = [b" ".join([names[w] for w in row]).decode() for row in block]
-                over = counts[k : k + 50_000] - back
-                yield _batch([lang] * len(phrases), phrases, [0] * len(phrases), over)
-
-    def _batch(lang, phrase, n, over) -> pa.RecordBatch:
-        columns = [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(n, pa.int64()), pa.array(over, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n", "over"])
+                yield _batch([lang] * len(phrases), phrases, counts[k : k + 50_000] - back)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, parts, size = None, Ids(), [], 0
+        now, ids, parts, size = None, {}, [], 0
         for batch in batches:
-            for lang, text, all_bytes, shard in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "bytes", "shard"))):
-                if now is not None and (lang, all_bytes, shard) != now:
-                    yield from mine(now[0], now[1], size, ids, parts)
-                    ids, parts, size = Ids(), [], 0
-                now = lang, all_bytes, shard
+            for shard in zip(*(batch.column(c).to_pylist() for c in ("lang", "bytes", "shard", "text"))):
+                text, shard = shard[-1], shard[:-1]
+                if shard != now:
+                    if now is not None:
+                        yield from mine(now[0], now[1], size, ids, parts)
+                    now, ids, parts, size = shard, numbers(shard[0]), [], 0
                 parts.append(word_ids(text, ids))
                 size += len(text.encode())
         if now is not None:
             yield from mine(now[0], now[1], size, ids, parts)
 
-    return _shards(docs, shard_bytes).mapInArrow(run, "lang string, phrase string, n long, over long")
+    return _shards(docs, shard_bytes).mapInArrow(run, "lang string, phrase string, over long")
 
 
 def steps(phrases: dict[str, int]) -> tuple:
@@ -164,19 +216,18 @@ class Counter:
     """Counts given phrases in texts of one language by their steps."""
 
     def __init__(self, words: dict[bytes, int], ids: list[np.ndarray], levels: list[np.ndarray]) -> None:
-        self.words, self.ids, self.levels = words, ids, levels
+        self.words, self.ids, self.levels = {**words, b"": NO_WORD}, ids, levels
+        self.size = len(words)
         self.counts = [np.zeros(len(i), np.int64) for i in ids]
 
-    def add(self, text: bytes) -> None:
-        pieces = text.translate(CLEAN).replace(b"\n", b" \n ").split(b" ")
-        known = self.words.get
-        word = np.fromiter((known(w, -1) for w in pieces if w), np.int64)
-        here = word
-        self.counts[0] += np.bincount(here[here >= 0], minlength=len(self.counts[0]))
+    def add(self, text: str) -> None:
+        pieces = split_words(text)
+        word = np.fromiter(map(self.words.get, pieces, repeat(-1)), np.int64, len(pieces))
+        here = word = word[word != NO_WORD]
         for k, keys in enumerate(self.levels):
             here, following = here[:-1], word[k + 1 :]
             at = np.flatnonzero((here >= 0) & (following >= 0))
-            wanted = here[at] * len(self.words) + following[at]
+            wanted = here[at] * self.size + following[at]
             place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1) if len(keys) else np.zeros(0, np.int64)
             hit = keys[place] == wanted if len(keys) else np.zeros(0, bool)
             here = np.full(len(here), -1, np.int64)
@@ -185,9 +236,9 @@ class Counter:
 
 
 def exact_counts(docs: DataFrame, candidates: DataFrame, space: Workspace, at_once: int) -> DataFrame:
-    """lang, phrase, f: all places of the candidates (id, lang, phrase) in the texts."""
+    """lang, phrase, f: all places of the candidates (id, lang, phrase), of two words or more, in the texts."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = _texts(docs)
     passes = -(-candidates.count() // at_once)
     part = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 1)), F.lit(max(passes, 1)))
     counted = None
@@ -196,8 +247,7 @@ def exact_counts(docs: DataFrame, candidates: DataFrame, space: Workspace, at_on
         by_lang: dict[str, dict[str, int]] = {}
         for lang, phrase, i in zip(*(table[c].to_pylist() for c in ("lang", "phrase", "id"))):
             by_lang.setdefault(lang, {})[phrase] = i
-        # last words need not be first words of this pass
-        for lang, phrases in by_lang.items():
+        for phrases in by_lang.values():
             for w in {w for p in phrases for w in p.split(" ")} - phrases.keys():
                 phrases[w] = -1
         sent = spark.sparkContext.broadcast({lang: steps(p) for lang, p in by_lang.items()})
@@ -206,12 +256,12 @@ def exact_counts(docs: DataFrame, candidates: DataFrame, space: Workspace, at_on
             counters = {lang: Counter(*x) for lang, x in sent.value.items()}
             for batch in batches:
                 # texts of a language are counted together, as arrays pay off when long
-                held: dict[str, list[bytes]] = {}
+                held: dict[str, list[str]] = {}
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                     if lang in counters:
-                        held.setdefault(lang, []).append(text.encode())
+                        held.setdefault(lang, []).append(text)
                 for lang, texts in held.items():
-                    counters[lang].add(b"\n".join(texts))
+                    counters[lang].add("\n".join(texts))
             for c in counters.values():
                 for ids, counts in zip(c.ids, c.counts):
                     some = (counts > 0) & (ids >= 0)
@@ -232,13 +282,23 @@ def frequent_phrases(
     at_once: int = AT_ONCE,
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of up to ``LONGEST`` words with the support, and (lang, n)."""
-    local = space.keep(local_phrases(docs, support, shard_bytes), "local")
-    shards = local.filter("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"), F.sum("over").alias("back"))
+    words = space.keep(word_counts(docs), "words")
+    totals = space.keep(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+    frequent = words.filter(F.col("f") >= support)
+    known = None
+    if frequent.count() <= at_once:
+        by_lang: dict[str, list[bytes]] = {}
+        table = frequent.select("lang", "word").toArrow()
+        for lang, word in zip(table["lang"].to_pylist(), table["word"].to_pylist()):
+            by_lang.setdefault(lang, []).append(word.encode())
+        known = docs.sparkSession.sparkContext.broadcast(by_lang)
+    local = space.keep(local_phrases(docs, support, shard_bytes, known), "local")
+    back = local.filter("phrase IS NULL").groupBy("lang").agg(F.sum("over").alias("back"))
     told = local.filter("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("over").alias("over"))
-    possible = told.join(F.broadcast(shards), "lang").filter(F.col("back") + F.col("over") >= support)
+    possible = told.join(F.broadcast(back), "lang").filter(F.col("back") + F.col("over") >= support)
     candidates = space.keep(possible.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase"), "candidates")
     counted = exact_counts(docs, candidates, space, at_once).filter(F.col("f") >= support)
-    return space.keep(counted, "frequent"), shards.select("lang", "n")
+    return space.keep(frequent.withColumnRenamed("word", "phrase").unionByName(counted), "frequent"), totals
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, kept: int = KEPT, **sizes: int) -> DataFrame:

@@ -75,6 +75,7 @@ def test_local_support_keeps_no_phrase_back(spark, made_rows):
     back = local.filter("phrase IS NULL").groupBy("lang").agg(F.sum("over").alias("s")).collect()
     assert max(r.s for r in back) < 20 and min(r.s for r in back) > 0
     assert local.filter("phrase IS NOT NULL").select("lang", "phrase").distinct().count() < 2000
+    assert local.filter("phrase LIKE '% %'").count() == local.filter("phrase IS NOT NULL").count() > 0
 
 
 def test_large_products(spark):
