@@ -1,18 +1,21 @@
 """Byte-level BPE in Spark expressions: ranked merges folded over the bytes of distinct words.
 
-A text is split by the tokenizer's pattern. Frequent words are encoded once, each distinct
-word by itself, and kept in a bounded literal table; every other word is encoded where it
-stands by the same fold, so the table (fitted on a sample of rows) changes the time but no
-result. The fold keeps a word's token ids and the ranks of its neighbouring pairs. Each step
-merges the leftmost pair of least rank and looks up the two pairs that this makes. Ranks come
-from a literal map: all pairs of tokens whose bytes together are a token, in hash buckets.
-
-Words of more than ``LONG`` bytes would make the fold quadratic, so rows with such words are
-encoded by a heap of pairs in Python instead, with the same ids. Decoding looks up the bytes of
+Three steps in one pass over the texts, without an exchange. First a task splits its texts by the
+tokenizer's pattern, numbers the words, and puts each distinct word it meets once into a row of
+its own ahead of the texts that use it. Then the merges are folded over these words in Spark's
+higher-order functions: the fold keeps a word's token ids and the ranks of its neighbouring pairs;
+each step merges the leftmost pair of least rank and looks up the two pairs that this makes.
+Ranks come from a literal map: all pairs of tokens whose bytes together are a token, in hash
+buckets. Last, the task that has the words' ids puts them in the place of the numbers. Words that
+are tokens as they stand have their ids as numbers and need no fold. A task holds its distinct
+words, ``REMEMBERED`` of them at most, and begins anew beyond that.
+
+All texts are split by the same regular expressions, so a word's ids do not depend on its
+neighbours. Words of more than ``LONG`` bytes would make the fold quadratic; such a word, and no
+other, is merged by a heap of pairs in Python, with the same ids. Decoding looks up the bytes of
 every id and joins them.
 
-Spark's and the tokenizer's regular expressions may know different Unicode versions; letters
-assigned after Unicode 13 may split differently.
+A null or empty text has no ids. Repeated rows count each, and clashing columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,15 +32,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rank of a pair that does not merge.
 NO_MERGE = 1 << 30
 PAIR_BUCKETS = 1 << 16
-WORD_BUCKETS = 1 << 17
-#: Share of rows the table of frequent words is fitted on, its size, and least count there.
-SAMPLE_SHARE, FREQUENT, LEAST_SEEN = 1 / 4, 1 << 19, 2
-#: Longer words (in bytes) take the path for long words.
-LONG = 256
+#: Longer words (in bytes) are merged by a heap.
+LONG = 1024
+#: Distinct words and pieces a task holds, and words it puts in one row.
+REMEMBERED, WORDS_IN_ROW = 1 << 20, 2048
 
 
 @dataclass(frozen=True)
@@ -61,9 +64,10 @@ class Vocabulary:
                     found[left, right] = rank
         return found
 
-    def java_pattern(self) -> str:
-        """White space by its Unicode property, as Java's \\s is ASCII only."""
-        return self.pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
+    def splitter(self) -> Callable[[str], list[str]]:
+        """Splits a text into words. The library's \\s also knows the separators 1C to 1F, the tokenizer's does not."""
+        pattern = self.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        return regex.compile(pattern).findall
 
 
 def read_vocabulary(path: str, pattern: str) -> Vocabulary:
@@ -83,11 +87,6 @@ def _literal(spark: SparkSession, **columns: pa.Array) -> Column:
     return spark.createDataFrame(one).select(F.struct(*columns).alias("x")).scalar()
 
 
-def _whole(column: pa.ChunkedArray) -> pa.Array:
-    made = column.combine_chunks()
-    return made.combine_chunks() if isinstance(made, pa.ChunkedArray) else made
-
-
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -117,9 +116,6 @@ class Encoder:
         for token, rank in vocabulary.ranks.items():
             pieces[rank] = token
         self.pieces = _literal(spark, pieces=pa.array(pieces, pa.binary()))
-        self.little_endian = _literal(
-            spark, digits=pa.array([i.to_bytes(4, "little").hex() for i in range(size)])
-        )
 
     def _rank(self, t: Column, left: Column, right: Column) -> Column:
         """Rank of a pair: the entry after its key in its bucket; the first entry if absent."""
@@ -173,59 +169,6 @@ class Encoder:
 
         return _let(ids, folded)
 
-    def words(self, text: Column) -> Column:
-        pattern = F.lit(self.vocabulary.java_pattern())
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), pattern, F.lit(0))
-
-    def frequent(self, docs: DataFrame, text: str) -> Column:
-        """Buckets of the sample's frequent words and their ids, at most ``FREQUENT`` words."""
-        words = docs.sample(SAMPLE_SHARE, 7).select(F.explode(self.words(F.col(text))).alias("word"))
-        counted = words.groupBy("word").count().filter(F.col("count") >= LEAST_SEEN)
-        chosen = (
-            counted.filter(F.octet_length("word") <= LONG)
-            .orderBy(F.desc("count"), "word")
-            .limit(FREQUENT)
-            .select("word", self.tables.alias("__pairs"))
-            .select(
-                F.pmod(F.xxhash64("word"), F.lit(WORD_BUCKETS)).cast("int").alias("bucket"),
-                "word",
-                _let(F.col("__pairs"), lambda t: self.fold(t, F.col("word"))).alias("ids"),
-            )
-            .toArrow()
-            .sort_by("bucket")
-        )
-        starts = np.searchsorted(chosen["bucket"].to_numpy(), np.arange(WORD_BUCKETS + 1))
-        starts = pa.array(starts, pa.int32())
-        return _literal(
-            self.spark,
-            **{n: pa.ListArray.from_arrays(starts, _whole(chosen[n])) for n in ("word", "ids")},
-        )
-
-    def encode(self, docs: DataFrame, text: str, frequent: Column, keep: list[str]) -> DataFrame:
-        """The ``keep`` columns, ``ids``, and ``__long``: texts with long words, whose ids are null."""
-
-        def ids(t: Column, f: Column, word: Column) -> Column:
-            bucket = F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("int")
-            at = F.array_position(F.get(f["word"], bucket), word).cast("int")
-            return F.coalesce(F.get(F.get(f["ids"], bucket), at - 1), self.fold(t, word))
-
-        made = _let(
-            F.struct(
-                F.col("__pairs").alias("t"), F.col("__frequent").alias("f"),
-                self.words(F.col(text)).alias("words"),
-            ),
-            lambda x: F.when(
-                ~F.exists(x["words"], lambda w: F.octet_length(w) > LONG),
-                F.flatten(F.transform(x["words"], lambda w: ids(x["t"], x["f"], w))),
-            ),
-        ).cast("array<int>")
-        tables = docs.select(
-            *dict.fromkeys([*keep, text]), self.tables.alias("__pairs"), frequent.alias("__frequent")
-        )
-        encoded = tables.select(*dict.fromkeys([*keep, text]), made.alias("ids"))
-        long = F.when(F.col("ids").isNull(), F.coalesce(F.col(text), F.lit("")))
-        return encoded.select(*keep, "ids", long.alias("__long"))
-
     def decode(self, encoded: DataFrame, ids: str = "ids", out: str = "bytes") -> DataFrame:
         """``encoded`` with the bytes of its ids: their binary pieces joined."""
         made = _let(
@@ -237,15 +180,6 @@ class Encoder:
         tables = encoded.select("*", self.pieces.alias("__pieces"))
         return tables.select(*encoded.columns, made.cast("binary").alias(out))
 
-    def with_ids_binary(self, encoded: DataFrame, ids: str = "ids", out: str = "ids_binary") -> DataFrame:
-        """``encoded`` with its ids as little-endian unsigned 32-bit integers."""
-        made = _let(
-            F.col("__digits"),
-            lambda d: F.array_join(F.transform(F.col(ids), lambda i: F.get(d["digits"], i)), ""),
-        )
-        tables = encoded.select("*", self.little_endian.alias("__digits"))
-        return tables.select(*encoded.columns, F.unhex(made).alias(out))
-
 
 def encode_word(word: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
     """Ids of a word of any length: pairs in a heap, tokens in a linked list."""
@@ -271,49 +205,168 @@ def encode_word(word: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int
     return [i for i in ids if i >= 0]
 
 
-def _encode_long(encoded: DataFrame, vocabulary: Vocabulary, keep: list[str]) -> DataFrame:
-    """Fills in the ids of the texts in ``__long``."""
-    names = [*keep, "ids"]
+#: Stands for the words of a piece that cannot be split by itself.
+NO_CUT = False
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
-        for batch in batches:
-            ids, texts = batch.column("ids"), batch.column("__long")
-            if texts.null_count < len(texts):
-                encode = encode or _text_encoder(vocabulary)
-                long = texts.to_pylist()
-                parts = [
-                    pa.array([encode(t)], ids.type) if t is not None else ids.slice(k, 1)
-                    for k, t in enumerate(long)
-                ]
-                ids = pa.concat_arrays(parts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], names)
 
-    schema = T.StructType([encoded.schema[n] for n in names])
-    return encoded.mapInArrow(run, schema)
+class Numberer:
+    """Texts as numbers of words, and the new words among them.
 
+    Patterns of this kind cut a text before a plain space or line end that follows no white space,
+    so pieces between these are split once and remembered; where white space stands beside them
+    the whole text is split. A word that is a token has its id as number, a long one those of its
+    tokens; others are numbered from ``first`` on.
+    """
 
-def _text_encoder(vocabulary: Vocabulary) -> Callable[[str], list[int]]:
-    pairs = vocabulary.pairs()
-    # \s of the regex library also knows the separators 1C to 1F, the tokenizer's does not
-    pattern = vocabulary.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-    split = regex.compile(pattern).findall
-    return lambda text: [i for w in split(text) for i in encode_word(w.encode("utf-8"), vocabulary.ranks, pairs)]
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary, self.pairs = vocabulary, None
+        self.split, self.ranks = vocabulary.splitter(), vocabulary.ranks
+        self.first = max(vocabulary.ranks.values()) + 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes | bool] = {}
+        self.next, self.new = self.first, []
+
+    def number(self, word: str) -> bytes:
+        made = self.numbers.get(word)
+        if made is None:
+            of = word.encode()
+            at = self.ranks.get(of)
+            if at is not None:
+                made = at.to_bytes(4, "little")
+            elif len(of) > LONG:
+                self.pairs = self.pairs or self.vocabulary.pairs()
+                return np.array(encode_word(of, self.ranks, self.pairs), "<u4").tobytes()
+            else:
+                made = self.next.to_bytes(4, "little")
+                self.next += 1
+                self.new.append(word)
+            self.numbers[word] = made
+        return made
+
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.number, self.split(text)))
+
+    def piece(self, piece: str) -> bytes | bool:
+        """Of what follows a space, or begins with a line end."""
+        if not piece or piece[-1].isspace():
+            made = NO_CUT
+        else:
+            made = self.whole(piece if piece[0] == "\n" else " " + piece)
+        self.pieces[piece] = made
+        return made
+
+    def __call__(self, text: str) -> bytes:
+        first, *pieces = text.replace("\n", " \n").split(" ")
+        if pieces and (not first or first[-1].isspace()):
+            return self.whole(text)
+        found = list(map(self.pieces.get, pieces))
+        if None in found:
+            known, piece = self.pieces.get, self.piece
+            for k, x in enumerate(found):
+                if x is None:
+                    x = known(pieces[k])  # it may have come up a moment ago
+                    found[k] = piece(pieces[k]) if x is None else x
+        if NO_CUT in found:
+            return self.whole(text)
+        return self.whole(first) + b"".join(found)
+
+
+_NUMBERED = [
+    T.StructField("numbers", T.BinaryType()),
+    T.StructField("words", T.ArrayType(T.StringType())),
+    T.StructField("begin", T.BooleanType()),
+]
+
+
+def _numbered(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str) -> DataFrame:
+    """The ``keep`` columns and the ``numbers`` of every text's words; ahead of them rows of new ``words``.
+
+    ``begin`` marks a row of words from which on numbers are given anew.
+    """
+    slim = docs.select(*keep, F.coalesce(text, F.lit("")).alias("__text"))
+    kept = [slim.schema[c] for c in keep]
+    schema = T.StructType([*kept, *_NUMBERED])
+    arrow = to_arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numberer, begin = Numberer(vocabulary), True
+        for batch in batches:
+            texts, start = batch.column("__text").to_pylist(), 0
+            while start < len(texts):
+                if len(numberer.numbers) + len(numberer.pieces) > REMEMBERED:
+                    numberer.forget()
+                    begin = True
+                coded, end = [], start
+                while end < len(texts) and len(numberer.new) < WORDS_IN_ROW * 16:
+                    coded.append(numberer(texts[end]))
+                    end += 1
+                new, numberer.new = numberer.new, []
+                rows = [new[k : k + WORDS_IN_ROW] for k in range(0, len(new), WORDS_IN_ROW)] or [[]]
+                first = [begin and k == 0 for k in range(len(rows))]
+                begin = False
+                nothing = [pa.nulls(len(rows), f.type) for f in arrow][: len(keep)]
+                made = [pa.nulls(len(rows), pa.binary()), pa.array(rows, pa.list_(pa.string())), pa.array(first)]
+                yield pa.RecordBatch.from_arrays([*nothing, *made], schema=arrow)
+                part = batch.slice(start, end - start)
+                made = [pa.array(coded, pa.binary()), pa.nulls(len(coded), pa.list_(pa.string())), pa.nulls(len(coded), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], schema=arrow)
+                start = end
+
+    return slim.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+
+
+def _with_ids(folded: DataFrame, keep: list[str], first: int) -> DataFrame:
+    """Ids in the place of the numbers, from the rows of words that came ahead in the same partition."""
+    names = [*keep, "ids", "ids_binary"]
+    schema = T.StructType(
+        [*(folded.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_binary", T.BinaryType())]
+    )
 
-def encoded(
-    docs: DataFrame, encoder: Encoder, keep: list[str], text: str = "text"
-) -> DataFrame:
-    """The ``keep`` columns and ``ids`` of every row; a null or empty text has no ids."""
-    usual = encoder.encode(docs, text, encoder.frequent(docs, text), keep)
-    return _encode_long(usual, encoder.vocabulary, keep)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = [i.to_bytes(4, "little") for i in range(first)]
+        table = tokens
+        for batch in batches:
+            numbers, begin, words = (batch.column(c) for c in ("numbers", "begin", "word_ids"))
+            at, made = [], []
+            for k, (text, new) in enumerate(zip(numbers, begin.to_pylist())):
+                if new is None:
+                    at.append(k)
+                    made.append(b"".join(map(table.__getitem__, np.frombuffer(text.as_buffer(), "<u4").tolist())))
+                    continue
+                if new:
+                    table = tokens.copy()
+                of = words[k].values
+                raw = of.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                cuts = np.concatenate([[0], np.cumsum(4 * of.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+                table.extend(raw[a:b] for a, b in zip(cuts, cuts[1:]))
+            if at:
+                sizes = np.cumsum([0, *(len(x) // 4 for x in made)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(made), "<i4")))
+                taken = [batch.column(c).take(pa.array(at)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*taken, ids, pa.array(made, pa.binary())], names)
+
+    return folded.mapInArrow(run, schema)
+
+
+def encoded(docs: DataFrame, encoder: Encoder, keep: list[str], text: str = "text") -> DataFrame:
+    """The ``keep`` columns, ``ids``, and these as little-endian 32-bit integers, of every row."""
+    names = {c: f"__kept{k}" for k, c in enumerate(keep)}
+    rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(text).alias("__given"))
+    numbered = _numbered(rows, encoder.vocabulary, list(names.values()), "__given").withColumn("__pairs", encoder.tables)
+    folds = _let(F.col("__pairs"), lambda t: F.transform("words", lambda w: encoder.fold(t, w)))
+    folded = numbered.select(*names.values(), "numbers", "begin", folds.alias("word_ids"))
+    made = _with_ids(folded, list(names.values()), max(encoder.vocabulary.ranks.values()) + 1)
+    return made.select(*(F.col(n).alias(c) for c, n in names.items()), "ids", "ids_binary")
 
 
 def token_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     encoder = Encoder(docs.sparkSession, vocabulary)
     ids = encoded(docs, encoder, ["doc_id"])
-    return encoder.with_ids_binary(encoder.decode(ids)).select(
+    return encoder.decode(ids).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2("ids_binary", 256).alias("ids_sha256"),
