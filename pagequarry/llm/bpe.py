@@ -1,19 +1,21 @@
-"""Byte-level BPE in Spark expressions: ranked merges folded over the bytes of distinct words.
-
-Three steps in one pass over the texts, without an exchange. First a task splits its texts by the
-tokenizer's pattern, numbers the words, and puts each distinct word it meets once into a row of
-its own ahead of the texts that use it. Then the merges are folded over these words in Spark's
-higher-order functions: the fold keeps a word's token ids and the ranks of its neighbouring pairs;
-each step merges the leftmost pair of least rank and looks up the two pairs that this makes.
-Ranks come from a literal map: all pairs of tokens whose bytes together are a token, in hash
-buckets. Last, the task that has the words' ids puts them in the place of the numbers. Words that
-are tokens as they stand have their ids as numbers and need no fold. A task holds its distinct
-words, ``REMEMBERED`` of them at most, and begins anew beyond that.
-
-All texts are split by the same regular expressions, so a word's ids do not depend on its
-neighbours. Words of more than ``LONG`` bytes would make the fold quadratic; such a word, and no
-other, is merged by a heap of pairs in Python, with the same ids. Decoding looks up the bytes of
-every id and joins them.
+"""Byte-level BPE: ranked merges over the bytes of distinct words, decoding by joined pieces.
+
+Texts are split by the tokenizer's pattern in one pass without an exchange; a task merges each
+distinct word it meets once and remembers its ids (``REMEMBERED`` words and pieces at most, then it
+begins anew). Words that are tokens as they stand have their rank as id. There are two forms of
+the merges, with the same ids, both over a literal map of ranks:
+
+* in the task, by a heap of pairs (``native=False``, the default), and
+* folded in Spark's higher-order functions (``native=True``): the task numbers its words and puts
+  each new one into a row ahead of the texts that use it; the fold keeps a word's ids and the
+  ranks of its neighbouring pairs, and each step merges the leftmost pair of least rank and looks up
+  the two pairs that this makes; then the ids are put in the place of the numbers. The fold is
+  quadratic in a word's length, so words of more than ``LONG`` bytes take the heap.
+
+Spark interprets expressions inside higher-order functions, some 100 microseconds for a word
+against 16 in the heap; the README has the figures. All texts are split by the same regular
+expressions, so a word's ids do not depend on its neighbours. Decoding looks up the bytes of every
+id and joins them, in Spark expressions.
 
 A null or empty text has no ids. Repeated rows count each, and clashing columns do not matter.
 """
@@ -214,12 +216,13 @@ class Numberer:
 
     Patterns of this kind cut a text before a plain space or line end that follows no white space,
     so pieces between these are split once and remembered; where white space stands beside them
-    the whole text is split. A word that is a token has its id as number, a long one those of its
-    tokens; others are numbered from ``first`` on.
+    the whole text is split. A word that is a token has its id as number, one of more than
+    ``longest`` bytes those of its tokens; others are numbered from ``first`` on.
     """
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.pairs = vocabulary, None
+    def __init__(self, vocabulary: Vocabulary, longest: int) -> None:
+        self.vocabulary, self.longest = vocabulary, longest
+        self.pairs = vocabulary.pairs()
         self.split, self.ranks = vocabulary.splitter(), vocabulary.ranks
         self.first = max(vocabulary.ranks.values()) + 1
         self.forget()
@@ -236,9 +239,10 @@ class Numberer:
             at = self.ranks.get(of)
             if at is not None:
                 made = at.to_bytes(4, "little")
-            elif len(of) > LONG:
-                self.pairs = self.pairs or self.vocabulary.pairs()
-                return np.array(encode_word(of, self.ranks, self.pairs), "<u4").tobytes()
+            elif len(of) > self.longest:
+                made = np.array(encode_word(of, self.ranks, self.pairs), "<u4").tobytes()
+                if len(of) > LONG:
+                    return made
             else:
                 made = self.next.to_bytes(4, "little")
                 self.next += 1
@@ -292,7 +296,7 @@ def _numbered(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: st
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numberer, begin = Numberer(vocabulary), True
+        numberer, begin = Numberer(vocabulary, LONG), True
         for batch in batches:
             texts, start = batch.column("__text").to_pylist(), 0
             while start < len(texts):
@@ -320,11 +324,6 @@ def _numbered(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: st
 
 def _with_ids(folded: DataFrame, keep: list[str], first: int) -> DataFrame:
     """Ids in the place of the numbers, from the rows of words that came ahead in the same partition."""
-    names = [*keep, "ids", "ids_binary"]
-    schema = T.StructType(
-        [*(folded.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_binary", T.BinaryType())]
-    )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = [i.to_bytes(4, "little") for i in range(first)]
         table = tokens
@@ -343,29 +342,60 @@ def _with_ids(folded: DataFrame, keep: list[str], first: int) -> DataFrame:
                 cuts = np.concatenate([[0], np.cumsum(4 * of.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
                 table.extend(raw[a:b] for a, b in zip(cuts, cuts[1:]))
             if at:
-                sizes = np.cumsum([0, *(len(x) // 4 for x in made)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(made), "<i4")))
-                taken = [batch.column(c).take(pa.array(at)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*taken, ids, pa.array(made, pa.binary())], names)
+                yield _ids_batch([batch.column(c).take(pa.array(at)) for c in keep], keep, made)
+
+    return folded.mapInArrow(run, _ids_schema(folded, keep))
+
+
+def _merged(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str) -> DataFrame:
+    """Ids of every text, all words merged in the task."""
+    slim = docs.select(*keep, F.coalesce(text, F.lit("")).alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numberer = Numberer(vocabulary, 0)
+        for batch in batches:
+            made = []
+            for text in batch.column("__text").to_pylist():
+                if len(numberer.numbers) + len(numberer.pieces) > REMEMBERED:
+                    numberer.forget()
+                made.append(numberer(text))
+            yield _ids_batch([batch.column(c) for c in keep], keep, made)
+
+    return slim.mapInArrow(run, _ids_schema(slim, keep))
+
+
+def _ids_schema(rows: DataFrame, keep: list[str]) -> T.StructType:
+    kinds = {"ids": T.ArrayType(T.IntegerType()), "ids_binary": T.BinaryType()}
+    return T.StructType([*(rows.schema[c] for c in keep), *(T.StructField(n, k) for n, k in kinds.items())])
+
 
-    return folded.mapInArrow(run, schema)
+def _ids_batch(kept: list[pa.Array], keep: list[str], made: list[bytes]) -> pa.RecordBatch:
+    sizes = np.cumsum([0, *(len(x) // 4 for x in made)], dtype=np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(made), "<i4")))
+    return pa.RecordBatch.from_arrays([*kept, ids, pa.array(made, pa.binary())], [*keep, "ids", "ids_binary"])
 
 
-def encoded(docs: DataFrame, encoder: Encoder, keep: list[str], text: str = "text") -> DataFrame:
+def encoded(
+    docs: DataFrame, encoder: Encoder, keep: list[str], text: str = "text", native: bool = False
+) -> DataFrame:
     """The ``keep`` columns, ``ids``, and these as little-endian 32-bit integers, of every row."""
     names = {c: f"__kept{k}" for k, c in enumerate(keep)}
     rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(text).alias("__given"))
-    numbered = _numbered(rows, encoder.vocabulary, list(names.values()), "__given").withColumn("__pairs", encoder.tables)
+    inner = list(names.values())
+    if not native:
+        made = _merged(rows, encoder.vocabulary, inner, "__given")
+        return made.select(*(F.col(n).alias(c) for c, n in names.items()), "ids", "ids_binary")
+    numbered = _numbered(rows, encoder.vocabulary, inner, "__given").withColumn("__pairs", encoder.tables)
     folds = _let(F.col("__pairs"), lambda t: F.transform("words", lambda w: encoder.fold(t, w)))
-    folded = numbered.select(*names.values(), "numbers", "begin", folds.alias("word_ids"))
-    made = _with_ids(folded, list(names.values()), max(encoder.vocabulary.ranks.values()) + 1)
+    folded = numbered.select(*inner, "numbers", "begin", folds.alias("word_ids"))
+    made = _with_ids(folded, inner, max(encoder.vocabulary.ranks.values()) + 1)
     return made.select(*(F.col(n).alias(c) for c, n in names.items()), "ids", "ids_binary")
 
 
-def token_digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def token_digests(docs: DataFrame, vocabulary: Vocabulary, native: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     encoder = Encoder(docs.sparkSession, vocabulary)
-    ids = encoded(docs, encoder, ["doc_id"])
+    ids = encoded(docs, encoder, ["doc_id"], native=native)
     return encoder.decode(ids).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

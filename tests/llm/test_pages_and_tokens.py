@@ -116,14 +116,17 @@ def digests(text, encoding):
     return len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
 
 
-def test_tokens_against_the_library(spark, reference):
+@pytest.mark.parametrize("native", [False, True])
+def test_tokens_against_the_library(spark, reference, native, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)  # tasks begin anew many times
     r = np.random.default_rng(4)
     odd = ["", None, " ", "\x00b\x1c\x1dc", "don't I'll we've  \n\n x", "a" * 3000, "ab" * 900, " " * 900 + "x",
            "日本語 混ぜ 🎉🎉", "  x\u0085y z", "<|endoftext|>", "x\r\n\ty  ", "е́ё 123456 ½ Ⅷ ²",
            "".join(r.choice(list("abcdefgh"), 2500))]
+    odd += ["\U0001c89d\U0001c8a0a \u0c5c", "漢" * 500 + " \ua7cb"]  # letters of late Unicode versions
     odd += ["".join(r.choice(list("abc  .,\n'sé漢🎉0 1Z\t"), int(r.integers(0, 120)))) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
-    rows = bpe.token_digests(docs, public_vocabulary()).collect()
+    rows = bpe.token_digests(docs, public_vocabulary(), native).collect()
     assert len(rows) == len(odd)
     for x in rows:
         assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == digests(odd[x.doc_id], reference), odd[x.doc_id]
@@ -139,6 +142,7 @@ def test_tokens_of_documents(spark, data, reference, tmp_path):
 
 def test_tokens_of_no_rows(no_docs):
     assert bpe.token_digests(no_docs, public_vocabulary()).count() == 0
+    assert bpe.token_digests(no_docs, public_vocabulary(), native=True).count() == 0
 
 
 def test_long_words_by_heap(reference):
