@@ -235,6 +235,12 @@ def url_domain(url: Column) -> Column:
     return _apply(_domain("x"), url)
 
 
+def url_place(url: Column) -> Column:
+    """Scheme in lower case and host as written (with user and port); null if the URL cannot be taken apart."""
+    parts = "CASE WHEN NOT g.bad THEN named_struct('scheme', g.scheme, 'host', g.host) END"
+    return _apply(sql_let(_split("x"), "g", parts), url)
+
+
 def url_same_domain(left: Column, right: Column) -> Column:
     """Do both URLs have the same host? False if either has none."""
     same = sql_let(_domain("x.l"), "l", f"l != '' AND l = {_domain('x.r')}")

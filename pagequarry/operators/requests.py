@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagequarry import settings as S
 from pagequarry.functions.text import strip
+from pagequarry.functions.urls import url_place
 
 
 def with_defaults(
@@ -34,6 +35,33 @@ def with_defaults(
     )
 
 
+def merged_headers(base: Column, custom: Column) -> Column:
+    """Both maps; where they share a name, as written, the value of ``custom``. Null counts as empty."""
+    none = F.create_map().cast("map<string,string>")
+    base, custom = F.coalesce(base, none), F.coalesce(custom, none)
+    return F.map_concat(F.map_filter(base, lambda name, _: ~F.map_contains_key(custom, name)), custom)
+
+
+def url_headers(url: Column) -> Column:
+    """Origin, Referer and Host of a URL as a map; empty for a URL that cannot be taken apart."""
+    place = url_place(url)
+    origin = F.concat(place["scheme"], F.lit("://"), place["host"])
+    return F.when(
+        place.isNotNull(),
+        F.create_map(
+            F.lit("Origin"), origin, F.lit("Referer"), F.concat(origin, F.lit("/")), F.lit("Host"), place["host"]
+        ),
+    ).otherwise(F.create_map().cast("map<string,string>"))
+
+
+def with_headers(requests: DataFrame, base: Mapping[str, str] | None = None) -> DataFrame:
+    """``headers`` as they are sent: ``base``, over it the URL's own, over these the request's."""
+    pairs = [F.lit(x) for pair in {**S.REQUEST_HEADERS, **(base or {})}.items() for x in pair]
+    custom = F.col("headers") if "headers" in requests.columns else F.lit(None).cast("map<string,string>")
+    sent = merged_headers(merged_headers(F.create_map(*pairs), url_headers(F.col("url"))), custom)
+    return requests.withColumn("headers", sent)
+
+
 def request_error(url: Column, timeout: Column) -> Column:
     """Why a request is refused, null if it is not. The first failing check counts.
 

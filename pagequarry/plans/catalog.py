@@ -16,11 +16,13 @@ from pagequarry.operators import fetchlog as L
 from pagequarry.operators import reports as P
 from pagequarry.operators import requests as R
 from pagequarry.operators import store
+from pagequarry.operators import timeline as T
 from pagequarry.plans import derived as D
 from pagequarry.plans.scrape import scrape_batch, scrape_pages
 from pagequarry.session import tune, work_folder
 from pagequarry.sources import pages as pages_source
 from pagequarry.sources import results as results_source
+from pagequarry.sources.committed import ResultStore
 
 # All anchors of the given pages are inside nav, which the default noise tags remove.
 LINK_NOISE = ["script", "style"]
@@ -125,11 +127,9 @@ def results_write(spark, folder):
     )
 
 
-@query
-def results_upsert(spark, folder):
-    stored = _stored(spark, folder)
-    recrawl = _recrawl(spark, folder)
-    new = recrawl.select(
+def _again(spark: SparkSession, folder: str) -> DataFrame:
+    """Results of the second crawl."""
+    return _recrawl(spark, folder).select(
         "write_seq",
         "url",
         F.lit(200).alias("status_code"),
@@ -141,6 +141,11 @@ def results_upsert(spark, folder):
         F.timestamp_seconds(F.col("write_seq")).alias("scraped_at"),
         F.lit(False).alias("used_browser"),
     )
+
+
+@query
+def results_upsert(spark, folder):
+    stored, new = _stored(spark, folder), _again(spark, folder)
     return store.upsert(stored, new).select("storage_key", "url", "title", "write_seq")
 
 
@@ -208,6 +213,81 @@ def results_delete(spark, folder):
     return left.unionByName(removed)
 
 
+def _first_crawl(spark: SparkSession, folder: str) -> ResultStore:
+    """A store with the first crawl as its version 1."""
+    made = ResultStore(spark, work_folder(spark))
+    made.commit(_from_pages(D.RESULTS, spark, folder).filter(F.col("url").startswith("https://")))
+    return made
+
+
+@query
+def store_commit(spark, folder):
+    """What the store holds after a second commit, which is sent twice."""
+    made = _first_crawl(spark, folder)
+    for _ in range(2):
+        made.commit(_again(spark, folder), batch=("recrawl", 1))
+    return made.read().select("storage_key", "url", "title", "write_seq")
+
+
+@query
+def store_version(spark, folder):
+    """What the store still gives as its first version after a commit and a delete."""
+    made = _first_crawl(spark, folder)
+    made.commit(_again(spark, folder))
+    made.delete(_recrawl(spark, folder).filter(F.col("url").like("%/en/%")))
+    return made.read(version=1).select("storage_key", "url", "title", "write_seq")
+
+
+@query
+def store_lookup_pruned(spark, folder):
+    """Stored results of some URLs, from the buckets of their keys."""
+    some = _recrawl(spark, folder).filter(F.col("write_seq") % 10 == 3)
+    return _first_crawl(spark, folder).lookup(some, "write_seq").select(
+        "write_seq", "url", F.col("result.url").alias("stored_url"), F.col("result.title").alias("title")
+    )
+
+
+@query
+def store_delete(spark, folder):
+    """What is left after a committed delete."""
+    made = _first_crawl(spark, folder)
+    made.delete(_recrawl(spark, folder).filter(F.col("url").like("%/en/%")))
+    return made.read().select("storage_key", "url", "write_seq")
+
+
+def _sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a fetch that took some hours."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    begun = F.col("ts").cast("timestamp")
+    hours = F.make_dt_interval(hours=(1 + F.col("event_id") % 24).cast("int"))
+    return events.select("event_id", "user_id", begun.alias("begun"), (begun + hours).alias("ended"))
+
+
+@query
+def results_as_of(spark, folder):
+    """Each click with the user's last view by then."""
+    events = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "user_id", "ts", "event_type", "value")
+    views = events.filter("event_type = 'view'").drop("event_type")
+    clicks = events.filter("event_type = 'click'").drop("event_type", "value")
+    found = T.as_of(clicks, views, ["user_id"], "ts", "event_id", 7 * 86400)
+    return found.select(
+        F.col("event_id").alias("request_id"), "user_id",
+        F.col("as_of.event_id").alias("result_id"), F.col("as_of.value").alias("result_value"),
+    )
+
+
+@query
+def fetches_overlapping(spark, folder):
+    """Pairs of a user's fetches that ran at the same time."""
+    return T.overlapping_pairs(_sessions(spark, folder), ["user_id"], "begun", "ended", "event_id", 86400)
+
+
+@query
+def fetches_at_once(spark, folder):
+    """How many fetches of a user ran at once, and how many pairs overlapped."""
+    return T.concurrency(_sessions(spark, folder), ["user_id"], "begun", "ended", 86400)
+
+
 @query
 def save_summary(spark, folder):
     results = _from_pages(D.RESULTS, spark, folder)
@@ -235,6 +315,22 @@ def requests_defaults(spark, folder):
     )
 
 
+@query
+def requests_headers(spark, folder):
+    """Headers as they are sent: the defaults, the URL's own, the request's own."""
+    rows = _from_pages(D.REQUESTS, spark, folder)
+    custom = F.when(F.col("request_id") % 3 == 0, F.create_map(
+        F.lit("Authorization"), F.format_string("Bearer %d", "request_id"), F.lit("Host"), F.lit("own.example.org"),
+        F.lit("accept"), F.lit("*/*"),
+    ))
+    made = R.with_headers(rows.withColumn("headers", custom))
+    names = ["Accept-Language", "Accept", "accept", "Origin", "Referer", "Host", "Authorization"]
+    return made.select(
+        "request_id", F.size("headers").cast("bigint").alias("n_headers"),
+        *(F.col("headers")[n].alias(f"{'lower_' if n == 'accept' else ''}{n.lower().replace('-', '_')}") for n in names),
+    )
+
+
 @query
 def requests_validate(spark, folder):
     checked = R.validate(R.with_defaults(_from_pages(D.REQUESTS, spark, folder)))

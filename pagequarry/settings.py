@@ -40,6 +40,20 @@ PREVIEW_LINKS = 5
 # Status of a fetch that never got an answer.
 NO_STATUS = -1
 
+# Headers that every request is sent with (fixed values), besides its agent's name.
+REQUEST_HEADERS = {
+    "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,image/avif,image/webp,image/apng,*/*;q=0.8",
+    "Accept-Language": "en-US,en;q=0.9",
+    "Accept-Encoding": "gzip, deflate, br",
+    "Connection": "keep-alive",
+    "Upgrade-Insecure-Requests": "1",
+    "Sec-Fetch-Dest": "document",
+    "Sec-Fetch-Mode": "navigate",
+    "Sec-Fetch-Site": "none",
+    "Sec-Fetch-User": "?1",
+    "Cache-Control": "max-age=0",
+}
+
 # Messages.
 ERROR_NO_URL = "ScrapeRequest requires a non-empty URL."
 ERROR_BAD_SCHEME = "Invalid URL '%s'. Must start with http:// or https://"

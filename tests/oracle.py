@@ -11,7 +11,7 @@ TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
-DUCK_TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "BOOLEAN": "boolean", "INTEGER": "int"}
+DUCK_TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "BOOLEAN": "boolean", "INTEGER": "int", "DOUBLE": "double"}
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
