@@ -42,6 +42,8 @@ SUPPORT, LONGEST, KEPT = 100, 5, 2000
 SHARD_BYTES, AT_ONCE = 96 << 20, 2_000_000
 #: Distinct words of a language that a counting task holds before it passes them on.
 HELD = 1 << 18
+#: Words that a task counts candidates in, at least, where there are more tasks than cores.
+WORDS_IN_TASK = 1 << 26
 #: Ids of the end of a piece and of nothing between two blanks.
 END, NOTHING, NO_WORD = 0, 1, -2
 
@@ -235,10 +237,14 @@ class Counter:
             self.counts[k + 1] += np.bincount(place[hit], minlength=len(keys))
 
 
-def exact_counts(docs: DataFrame, candidates: DataFrame, space: Workspace, at_once: int) -> DataFrame:
+def exact_counts(
+    docs: DataFrame, candidates: DataFrame, space: Workspace, at_once: int, n_words: int
+) -> DataFrame:
     """lang, phrase, f: all places of the candidates (id, lang, phrase), of two words or more, in the texts."""
     spark = docs.sparkSession
     rows = _texts(docs)
+    # a task passes on up to all candidates, so it should count in much text
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n_words // WORDS_IN_TASK))
     passes = -(-candidates.count() // at_once)
     part = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 1)), F.lit(max(passes, 1)))
     counted = None
@@ -267,7 +273,7 @@ def exact_counts(docs: DataFrame, candidates: DataFrame, space: Workspace, at_on
                     some = (counts > 0) & (ids >= 0)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(counts[some])], ["id", "f"])
 
-        one = space.keep(rows.mapInArrow(run, "id long, f long").groupBy("id").agg(F.sum("f").alias("f")), "counts")
+        one = space.keep(rows.coalesce(tasks).mapInArrow(run, "id long, f long").groupBy("id").agg(F.sum("f").alias("f")), "counts")
         counted = one if counted is None else counted.unionByName(one)
     if counted is None:
         return candidates.select("lang", "phrase", F.lit(0).cast("long").alias("f"))
@@ -297,7 +303,8 @@ def frequent_phrases(
     told = local.filter("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("over").alias("over"))
     possible = told.join(F.broadcast(back), "lang").filter(F.col("back") + F.col("over") >= support)
     candidates = space.keep(possible.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase"), "candidates")
-    counted = exact_counts(docs, candidates, space, at_once).filter(F.col("f") >= support)
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    counted = exact_counts(docs, candidates, space, at_once, n_words).filter(F.col("f") >= support)
     return space.keep(frequent.withColumnRenamed("word", "phrase").unionByName(counted), "frequent"), totals
 
 
