@@ -91,9 +91,18 @@ class Store:
         return sums.filter("documents != 0 OR tokens != 0 OR chars != 0")
 
     def compact(self, other: str) -> Store:
-        """A store in another folder with the totals as its one batch."""
-        self.totals().write.mode("overwrite").parquet(f"{other.rstrip('/')}/batch-snapshot")
-        return Store(self.spark, other)
+        """A store in another folder with the totals in one table, which knows the batches they are from.
+
+        Each batch leaves an empty folder with its name, so that one sent again counts no second time.
+        """
+        made = Store(self.spark, other)
+        for folder in self._folders():
+            name = folder.rsplit("/", 1)[1]
+            if name.startswith("batch-"):
+                mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{made.folder}/{name}/_SUCCESS")
+                mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark, True).close()
+        self.totals().write.mode("overwrite").parquet(f"{made.folder}/totals")
+        return made
 
 
 def document_changes(docs: DataFrame) -> DataFrame:

@@ -261,6 +261,11 @@ def test_batches_count_once(spark):
     assert totals(store) == {("book", "en", "t"): (1, 12, 50)}
     compact = store.compact(Workspace(spark, "test").folder)
     assert totals(compact) == totals(store)
+    assert not compact.commit("2", moved) and totals(compact) == totals(store)
+    again = compact.compact(Workspace(spark, "test").folder)
+    assert not again.commit("2", moved) and totals(again) == totals(store)
+    extra = changes(spark, [("6", "t", None, ("book", "en", 1, 2))])
+    assert again.commit("3", extra) and totals(again) == {("book", "en", "t"): (2, 13, 52)}
 
 
 def test_a_batch_that_failed_half_way_is_done_again(spark):
@@ -309,3 +314,15 @@ def test_rows_without_id_and_of_one_id_all_count(spark, odd_docs):
 
 def test_shared_folder(spark):
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    """Rows of one id that differ are different documents: none is lost for another's copy."""
+    a = "the quick brown fox jumps over the lazy dog near the river bank today " * 4
+    b = "completely other words stand here and nobody wrote them anywhere before this test " * 4
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, b), (7, "short text"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash"))
+    found = sorted(tuple(r) for r in neardup.near_duplicates(docs).select("doc_id", "class_id", "is_kept").collect())
+    assert found == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (7, 7, True)]
+    left = sorted(((r.doc_id or 0), r.text) for r in neardup.without_copies(docs).collect())
+    assert left == sorted([(0, a), (3, a), (5, b), (7, "short text")])
