@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import map_rows
+from pagequarry.llm.common import map_rows, unused
 from pagequarry.llm.components import Workspace, components
 from pagequarry.llm.decontaminate import words_of
 
@@ -178,7 +178,7 @@ def features(docs: DataFrame, counted: bool = False) -> DataFrame:
     """doc_id, digest of the text, band keys (none without words), signature in bytes."""
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"),
+        text_digest().alias("digest"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
 
@@ -278,32 +278,32 @@ def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, class_id, n_links) for documents that are near or exact copies of others.
+    """(doc_id, digest, class_id, is_kept, n_links) of every document.
 
-    Documents absent from the result are their own class. A class is a connected component of
-    documents of similarity ``threshold`` or more; its id is its smallest doc_id. Equal texts
-    are one document for the links; empty texts are equal. Rows that share a doc_id are one
-    document; rows without doc_id are left out here.
+    A document is a doc_id and a text, given by its digest: rows that agree in both are one, rows
+    that share only the id are different ones. Rows without doc_id are left out here. A class is a
+    connected component of texts of similarity ``threshold`` or more; empty texts are equal. Its
+    first document, by id and digest, is kept and gives the class its id. (Two classes have one
+    id only where rows share a doc_id and differ; each still keeps a document.)
     """
     space = Workspace(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     all_ = space.keep(features(docs, counted), "features")
-    nodes = all_.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    copies = space.keep(
-        all_.select("doc_id", "digest").join(nodes, "digest").select("doc_id", "node").distinct(), "copies"
-    )
-    # one row of bands for each distinct text: equal texts have equal bands
+    # one row for each distinct text, numbered: equal texts have equal bands
     own = space.keep(
         all_.groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-        .drop("digest"),
+        .agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "texts",
     )
-    rows = own.select("node", F.explode("bands").alias("key"))
+    numbers = own.select("digest", "node")
+    copies = space.keep(all_.select("doc_id", "digest").distinct().join(numbers, "digest"), "copies")
+    # what leaders are drawn by does not depend on the numbering
+    rows = own.select("node", F.xxhash64("digest").alias("drawn"), F.explode("bands").alias("key"))
     # most buckets have one member, so leaders are only sought in the others
     several = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = space.keep(rows.join(several, "key"), "members")
-    hashed = [F.min(F.struct(F.xxhash64("node", F.lit(s)), "node"))["node"].alias(f"l{s}") for s in range(2 * LEADERS)]
+    hashed = [F.min(F.struct(F.xxhash64("drawn", F.lit(s)), "node"))["node"].alias(f"l{s}") for s in range(2 * LEADERS)]
     leaders = members.groupBy("key").agg(*hashed)
     shared = space.keep(members.join(leaders, "key"), "buckets")
     sketches = space.keep(
@@ -324,10 +324,13 @@ def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD
         estimate = space.keep(estimate.filter(F.col("similarity") >= not_), "estimates")
         unsure = estimate.filter(F.col("similarity") < sure).select("a", "b")
         if sets is None:
-            wanted = sketches.select(F.col("node").alias("doc_id"))
-            # a merge join at every size, so that a small run says what a large one costs
-            texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            sets = space.keep(_sets(texts.withColumnRenamed("doc_id", "node"), counted), "sets")
+            # one document of each text that is wanted, then its text; a merge join at every size, so
+            # that a small run says what a large one costs
+            wanted = copies.join(sketches.select("node"), "node", "left_semi")
+            wanted = wanted.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("one"))
+            wanted = wanted.select("node", "one.doc_id", "one.digest")
+            texts = docs.withColumn("digest", text_digest()).join(wanted.hint("merge"), ["doc_id", "digest"])
+            sets = space.keep(_sets(texts.dropDuplicates(["node"]), counted), "sets")
         exact = map_rows(
             _with_both(unsure, sets, "shingles"), ["x", "y"],
             lambda: lambda x, y: (_jaccard(x, y),),
@@ -411,23 +414,37 @@ def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD
     degree = (
         links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     )
-    found = copies.join(known.withColumnRenamed("u", "node"), "node", "left").join(degree, "node", "left")
-    return found.select(
-        "doc_id", F.coalesce("v", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    found = copies.join(known.withColumnRenamed("u", "node"), "node", "left").withColumn("of", F.coalesce("v", "node"))
+    kept = found.groupBy("of").agg(F.min(F.struct("doc_id", "digest")).alias("kept"))
+    return (
+        found.join(kept, "of")
+        .join(degree, "node", "left")
+        .select(
+            "doc_id", "digest", F.col("kept.doc_id").alias("class_id"),
+            (F.struct("doc_id", "digest") == F.col("kept")).alias("is_kept"),
+            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        )
+    )
+
+
+def text_digest(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, is_kept, n_links of every document that has an id.
+    """doc_id, class_id, is_kept, n_links: one row for each doc_id and text; rows without doc_id are left out.
 
     ``n_links`` counts the links its text was given when classes were formed.
     """
-    return classes(docs).withColumn("is_kept", F.col("doc_id") == F.col("class_id"))
+    return classes(docs).select("doc_id", "class_id", "is_kept", "n_links")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """One row of each class, that of the smallest doc_id; rows without doc_id all stay."""
-    dropped = classes(docs).filter("doc_id != class_id").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    mark = unused(docs, "__digest")
+    dropped = classes(docs).filter(~F.col("is_kept")).select("doc_id", F.col("digest").alias(mark))
+    kept = docs.withColumn(mark, text_digest()).join(dropped, ["doc_id", mark], "left_anti")
     first = F.col("doc_id").isNotNull()
-    return kept.filter(first).dropDuplicates(["doc_id"]).unionByName(kept.filter(~first))
+    return (
+        kept.filter(first).dropDuplicates(["doc_id", mark]).unionByName(kept.filter(~first)).select(*docs.columns)
+    )
