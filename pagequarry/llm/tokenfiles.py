@@ -45,7 +45,7 @@ PAYLOAD = np.uint64((1 << 60) - 1)
 #: A block is closed at so many ids or documents.
 BLOCK_IDS, BLOCK_DOCUMENTS = 1 << 20, 1 << 16
 #: Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 5 << 17
 #: Stands for the ids of what cannot be encoded by itself.
 NO_CUT = False
 #: Marks that this kind of tokenizer keeps apart from a letter before them.
