@@ -8,12 +8,14 @@ least rank in a coordinate is its hash. Two documents agree in a coordinate with
 probability of their weighted Jaccard similarity. Cells are opened in order of rank until
 every coordinate has a dart, so a document costs its size plus k log k darts.
 
-Documents that agree in all rows of a band share a bucket. Buckets are never expanded into
-all pairs at first: members are compared with a few leaders, classes are formed, and only
-members of one bucket that are still in different classes are compared pair by pair. So
-each two documents that share a bucket are compared or already in one class. Signatures
-decide clear pairs (over four standard deviations from the threshold); the others are decided
-by their whole shingle sets (32-bit hashes).
+Documents that agree in all rows of a band share a bucket. Only small buckets are expanded
+into pairs: members of larger ones are compared with a leader and classes are formed. Buckets
+that then still hold several classes are worked through by themselves, in blocks of bounded
+size with the shingle sets at hand: classes are joined as links between them are found, and
+what leaves a block are the links that joined some, fewer than it has members. So each two
+documents that share a bucket are compared or already in one class. Signatures decide
+clear pairs (over four standard deviations from the threshold); the others are decided by
+their whole shingle sets (32-bit hashes).
 
 The given weights are 1 for each shingle, that is plain Jaccard similarity; ``counted``
 weighs a shingle by how often it occurs.
@@ -39,13 +41,10 @@ BANDS, ROWS = 40, 7
 COORDINATES = BANDS * ROWS
 #: Similarity by signature beyond which the signature decides.
 SURE, SURELY_NOT = 0.9, 0.7
-#: Buckets of so few members have all their pairs listed at once; larger ones get leaders first,
-#: and those of more than LARGE members a second round of leaders and a look at signatures, before
-#: pairs are listed.
-SMALL, LARGE = 6, 48
-LEADERS = 3
+#: Buckets of so few members have all their pairs listed at once.
+SMALL = 6
 #: Members of a bucket that are compared with each other in one group.
-BLOCK = 2048
+BLOCK = 1024
 #: The first rank interval is [0, 2**FIRST); each further one doubles the end.
 FIRST = -4
 #: Shingles handled at once.
@@ -248,27 +247,55 @@ def _agreement(a: bytes, b: bytes) -> float:
     return float((same - 1 / 256) / (1 - 1 / 256))
 
 
-def _close_pairs(least: float, group: pa.Table) -> pa.Table:
-    """Pairs of different classes whose signatures agree, in the bucket of their first shared band."""
+def _joining_links(threshold: float, group: pa.Table) -> pa.Table:
+    """Links that join classes of a block of a bucket, at most one for each class.
+
+    Every two members of different classes are compared, in the bucket of their first shared band.
+    """
     i, j, key = (group[n][0].as_py() for n in ("i", "j", "key"))
     node, cls, mine = (group[n].to_numpy() for n in ("node", "class", "mine"))
-    bands = np.array(group["bands"].to_pylist(), np.int64)
-    sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+    names, of = np.unique(cls, return_inverse=True)
     found = []
-    for start in range(0, len(node), 32):
-        rows = slice(start, start + 32)
-        same = (sketch[rows, None, :] == sketch[None, :, :]).mean(axis=2)
-        close = (same - 1 / 256) / (1 - 1 / 256) >= least
-        close &= (node[rows, None] < node[None, :]) & (cls[rows, None] != cls[None, :])
-        if i != j:
-            close &= mine[rows, None] != mine[None, :]
-        a, b = np.nonzero(close)
-        a += start
-        shared = bands[a] == bands[b]
-        first = bands[a, shared.argmax(axis=1)] == key
-        found.append(np.stack([node[a[first]], node[b[first]]]))
-    a, b = np.concatenate(found, axis=1)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    if len(names) > 1 and (i == j or len(np.unique(mine)) > 1):
+        bands = np.array(group["bands"].to_pylist(), np.int64)
+        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+        # members of the commonest class need not be compared with each other
+        outside = np.flatnonzero(of != np.bincount(of).argmax())
+        is_outside = np.zeros(len(node), bool)
+        is_outside[outside] = True
+        place = np.arange(len(node))
+        for start in range(0, len(outside), 32):
+            rows = outside[start : start + 32]
+            same = (sketch[rows, None, :] == sketch[None, :, :]).mean(axis=2)
+            estimate = (same - 1 / 256) / (1 - 1 / 256)
+            close = (estimate >= threshold - (THRESHOLD - SURELY_NOT)) & (of[rows, None] != of[None, :])
+            close &= ~is_outside[None, :] | (rows[:, None] < place[None, :])
+            if i != j:
+                close &= mine[rows, None] != mine[None, :]
+            at, b = np.nonzero(close)
+            a = rows[at]
+            shared = bands[a] == bands[b]
+            first = shared.any(axis=1) & (bands[a, shared.argmax(axis=1)] == key)
+            found.append((estimate[at, b][first], a[first], b[first]))
+    made: list[tuple[int, int]] = []
+    if found:
+        estimate, a, b = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(-estimate, kind="stable")
+        sure = estimate >= threshold + (SURE - THRESHOLD)
+        sets, parent = group["shingles"], list(range(len(names)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for k in order.tolist():
+            x, y = int(a[k]), int(b[k])
+            one, other = root(int(of[x])), root(int(of[y]))
+            if one != other and (sure[k] or _jaccard(sets[x].as_py(), sets[y].as_py()) >= threshold):
+                parent[one] = other
+                made.append((int(node[x]), int(node[y])))
+    return pa.table({n: pa.array([m[k] for m in made], pa.int64()) for k, n in enumerate("ab")})
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -278,13 +305,14 @@ def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, digest, class_id, is_kept, n_links) of every document.
+    """(doc_id, digest, class_id, is_kept, n_members) of every document.
 
     A document is a doc_id and a text, given by its digest: rows that agree in both are one, rows
     that share only the id are different ones. Rows without doc_id are left out here. A class is a
     connected component of texts of similarity ``threshold`` or more; empty texts are equal. Its
     first document, by id and digest, is kept and gives the class its id. (Two classes have one
-    id only where rows share a doc_id and differ; each still keeps a document.)
+    id only where rows share a doc_id and differ; each still keeps a document.) ``n_members``
+    counts the documents of its class.
     """
     space = Workspace(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
@@ -303,18 +331,21 @@ def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD
     # most buckets have one member, so leaders are only sought in the others
     several = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = space.keep(rows.join(several, "key"), "members")
-    hashed = [F.min(F.struct(F.xxhash64("drawn", F.lit(s)), "node"))["node"].alias(f"l{s}") for s in range(2 * LEADERS)]
-    leaders = members.groupBy("key").agg(*hashed)
+    leaders = members.groupBy("key").agg(F.min(F.struct("drawn", "node"))["node"].alias("leader"))
     shared = space.keep(members.join(leaders, "key"), "buckets")
     sketches = space.keep(
         own.select("node", "sketch").join(members.select("node").distinct(), "node"), "sketches"
     )
-    sets = None
-    links, tested, known = None, None, None
+    # one document of each text that is wanted, then its text; a merge join at every size, so
+    # that a small run says what a large one costs
+    wanted = copies.join(sketches.select("node"), "node", "left_semi")
+    wanted = wanted.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("one"))
+    wanted = wanted.select("node", "one.doc_id", "one.digest")
+    texts = docs.withColumn("digest", text_digest()).join(wanted.hint("merge"), ["doc_id", "digest"])
+    sets = space.keep(_sets(texts.dropDuplicates(["node"]), counted), "sets")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """Pairs at or above the threshold."""
-        nonlocal sets
         estimate = map_rows(
             _with_both(pairs, sketches, "sketch"), ["x", "y"],
             lambda: lambda x, y: (_agreement(x, y),),
@@ -323,14 +354,6 @@ def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD
         sure, not_ = threshold + (SURE - THRESHOLD), threshold - (THRESHOLD - SURELY_NOT)
         estimate = space.keep(estimate.filter(F.col("similarity") >= not_), "estimates")
         unsure = estimate.filter(F.col("similarity") < sure).select("a", "b")
-        if sets is None:
-            # one document of each text that is wanted, then its text; a merge join at every size, so
-            # that a small run says what a large one costs
-            wanted = copies.join(sketches.select("node"), "node", "left_semi")
-            wanted = wanted.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("one"))
-            wanted = wanted.select("node", "one.doc_id", "one.digest")
-            texts = docs.withColumn("digest", text_digest()).join(wanted.hint("merge"), ["doc_id", "digest"])
-            sets = space.keep(_sets(texts.dropDuplicates(["node"]), counted), "sets")
         exact = map_rows(
             _with_both(unsure, sets, "shingles"), ["x", "y"],
             lambda: lambda x, y: (_jaccard(x, y),),
@@ -342,88 +365,53 @@ def classes(docs: DataFrame, counted: bool = False, threshold: float = THRESHOLD
             .select("a", "b")
         )
 
-    def led(table: DataFrame, seeds: range) -> DataFrame:
-        """Members of buckets with each of the buckets' leaders, of which a node has a few a band."""
-        own_leaders = F.array_distinct(F.flatten(F.collect_set(F.array(*(f"l{s}" for s in seeds)))))
-        each = table.groupBy("node").agg(own_leaders.alias("leaders"))
-        each = each.select("node", F.explode("leaders").alias("leader"))
-        return (
-            each.filter("node != leader")
-            .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-            .distinct()
-        )
+    def led(table: DataFrame) -> DataFrame:
+        """Members of buckets with each of their buckets' leaders, which for a node are few."""
+        each = table.select("node", "leader").filter("node != leader")
+        return each.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+    def every(table: DataFrame) -> DataFrame:
+        """All pairs of members of one bucket."""
+        left = table.select("key", F.col("node").alias("a"))
+        right = table.select("key", F.col("node").alias("b"))
+        return left.join(right, "key").filter("a < b").select("a", "b").distinct()
 
     def apart(table: DataFrame) -> DataFrame:
-        """Rows of buckets that still hold several classes, with the class."""
+        """Rows of buckets that hold several classes, with the class."""
         cls = F.coalesce("v", "node")
         rows = table.join(known.withColumnRenamed("u", "node"), "node", "left").withColumn("class", cls)
         mixed = rows.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi")
         return rows.drop("v").join(mixed.select("key"), "key", "left_semi")
 
-    def every(table: DataFrame) -> DataFrame:
-        """All pairs of members of one bucket, but those of one class."""
-        left = table.select("key", F.col("node").alias("a"), F.col("class").alias("class"))
-        right = table.select("key", F.col("node").alias("b"), F.col("class").alias("other"))
-        crossing = (F.col("a") < F.col("b")) & (F.col("class") != F.col("other"))
-        return left.join(right, "key").filter(crossing).select("a", "b").distinct()
-
-    def blocks(table: DataFrame) -> DataFrame:
-        """The same for buckets of any size, less the pairs that signatures surely tell apart.
+    def joining(table: DataFrame) -> DataFrame:
+        """Links that join the classes within buckets.
 
         A bucket is dealt over blocks, and every two blocks meet in a group of bounded size.
-        A pair is given by the first band it shares; if that bucket is smaller, the pair
-        is listed there.
         """
         sized = table.select("key", "node", "class", F.ceil(F.col("m") / BLOCK).cast("int").alias("n"))
-        rows = sized.join(own.select("node", "bands", "sketch").hint("merge"), "node")
+        rows = sized.join(own.select("node", "bands", "sketch").hint("merge"), "node").join(sets.hint("merge"), "node")
         mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
         each = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         each = each.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-        least = threshold - (THRESHOLD - SURELY_NOT)
-        grouped = each.drop("other", "n").groupBy("key", "i", "j")
-
-        def close(group: pa.Table) -> pa.Table:
-            return _close_pairs(least, group)
-
-        return grouped.applyInArrow(close, "a long, b long")
-
-    def settle(pairs: DataFrame) -> None:
-        """Compare pairs that were not compared before, and bring the classes up to date."""
-        nonlocal tested, links, known
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = space.keep(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if known is not None and pairs.isEmpty():
-            return
-        found = space.keep(compared(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        before = found if known is None else found.unionByName(known.select(F.col("u").alias("a"), F.col("v").alias("b")))
-        known = components(before, space)
-
-    alone = shared.withColumn("class", F.col("node"))
-    small, large = F.col("m") <= SMALL, F.col("m") > SMALL
-    settle(every(alone.filter(small)).unionByName(led(shared.filter(large), range(LEADERS))).distinct())
-    huge = shared.filter(F.col("m") > LARGE)
-    if not huge.isEmpty():
-        settle(led(apart(huge), range(LEADERS, 2 * LEADERS)))
-        settle(blocks(apart(huge)))
-    middle = shared.filter(large & (F.col("m") <= LARGE))
-    if not middle.isEmpty():
-        settle(every(apart(middle)))
-    degree = (
-        links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    )
+
+        def links(group: pa.Table) -> pa.Table:
+            return _joining_links(threshold, group)
+
+        return each.drop("other", "n").groupBy("key", "i", "j").applyInArrow(links, "a long, b long")
+
+    small, large = shared.filter(F.col("m") <= SMALL), shared.filter(F.col("m") > SMALL)
+    pairs = space.keep(every(small).unionByName(led(large)).distinct(), "pairs")
+    known = components(space.keep(compared(pairs), "links"), space)
+    more = space.keep(joining(apart(large)), "links")
+    if not more.isEmpty():
+        known = components(more.unionByName(known.select(F.col("u").alias("a"), F.col("v").alias("b"))), space)
     found = copies.join(known.withColumnRenamed("u", "node"), "node", "left").withColumn("of", F.coalesce("v", "node"))
-    kept = found.groupBy("of").agg(F.min(F.struct("doc_id", "digest")).alias("kept"))
-    return (
-        found.join(kept, "of")
-        .join(degree, "node", "left")
-        .select(
-            "doc_id", "digest", F.col("kept.doc_id").alias("class_id"),
-            (F.struct("doc_id", "digest") == F.col("kept")).alias("is_kept"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        )
+    kept = found.groupBy("of").agg(
+        F.min(F.struct("doc_id", "digest")).alias("kept"), F.count("*").alias("n_members")
+    )
+    return found.join(kept, "of").select(
+        "doc_id", "digest", F.col("kept.doc_id").alias("class_id"),
+        (F.struct("doc_id", "digest") == F.col("kept")).alias("is_kept"), "n_members",
     )
 
 
@@ -432,11 +420,8 @@ def text_digest(text: str = "text") -> Column:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, is_kept, n_links: one row for each doc_id and text; rows without doc_id are left out.
-
-    ``n_links`` counts the links its text was given when classes were formed.
-    """
-    return classes(docs).select("doc_id", "class_id", "is_kept", "n_links")
+    """doc_id, class_id, is_kept, n_members: one row for each doc_id and text; rows without doc_id are left out."""
+    return classes(docs).select("doc_id", "class_id", "is_kept", "n_members")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,8 +201,7 @@ def test_classes_against_all_pairs(spark, data):
 
 
 def test_large_groups_of_near_copies(spark, monkeypatch):
-    """More members than leaders can settle, in buckets over the limit for listing pairs at once."""
-    monkeypatch.setattr(neardup, "LARGE", 6)
+    """More members than a leader can settle, in buckets that are dealt over several blocks."""
     monkeypatch.setattr(neardup, "BLOCK", 16)
     r = np.random.default_rng(8)
     words = [f"w{k}" for k in range(400)]
@@ -219,6 +219,25 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert got == brute_classes(texts)
 
 
+def test_a_bucket_gives_no_more_links_than_it_has_classes():
+    """A chain of texts: each is similar to the next ones only, all share a band."""
+    words = [f"w{k}" for k in range(1000)]
+    shingler = neardup.Shingler()
+    rows = []
+    for k in range(30):
+        e = np.unique(shingler(" ".join(words[k * 6 : k * 6 + 130])))
+        sketch = neardup.signatures(e, np.ones(len(e)), np.zeros(len(e), np.int64), 1).astype(np.uint8)
+        rows.append({"key": 7, "i": 0, "j": 0, "mine": 0, "node": k, "class": k // 2 * 2, "bands": [7, 100 + k],
+                     "sketch": sketch.tobytes(), "shingles": np.unique((e >> np.uint64(32)).astype(np.uint32)).tobytes()})
+    sets = [set(np.frombuffer(r["shingles"], np.uint32).tolist()) for r in rows]
+    similar = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets, sets[1:])]
+    made = neardup._joining_links(0.8, pa.Table.from_pylist(rows)).to_pylist()
+    assert all(similar) and len(made) == 14  # fifteen classes become one
+    joined = {frozenset((m["a"] // 2, m["b"] // 2)) for m in made}
+    assert all(max(p) - min(p) <= 2 for p in joined) and set().union(*joined) == set(range(15))
+    assert neardup._joining_links(0.8, pa.Table.from_pylist(rows[:2])).num_rows == 0
+
+
 def test_weighted_sets_are_another_similarity(spark):
     docs = spark.createDataFrame([(1, "a b c d e " * 30), (2, "a b c d e " * 10)], "doc_id long, text string")
     plain = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
