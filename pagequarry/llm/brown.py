@@ -9,10 +9,11 @@ documents.
 
 The driver clusters the ``UNITS`` commonest words and the endings of all others one at a time
 until none moves. That gives each word a first class. Then all units are moved in ``STEPS``
-steps, half of them in each: a unit's counts by the class before and after it are summed on
-Spark, and a task chooses its best class by the table of class bigrams. As units move at once,
-the moves of a step count only as far as they raise the likelihood. Texts are kept as numbers of
-units for that. Tasks know units by a hash of the word: 8 bytes and a class for each.
+steps, half of them in each. For that the units beside each unit are counted and written once;
+a step passes over them where they lie, sums a unit's counts by the class before and after
+it and chooses its best class by the table of class bigrams. As units move at once, the moves of
+a step count only as far as they raise the likelihood. Tasks know units by a hash of the word:
+8 bytes and a class for each; the units beside one unit, at most all, are in one row.
 
 Word counts of frequent words (at most ``FREQUENT``) travel to the tasks; counts of other
 words are joined by word. Both the base score and the class model need the sum of
@@ -43,8 +44,10 @@ FREQUENT = 1 << 18
 PASSES = 12
 #: Least count of a word that is a unit of its own; steps that move all units.
 LEAST, STEPS = 5, 6
-#: Counts held by a task before equal ones are added up.
-HELD = 4_000_000
+#: Counts held by a task before equal ones are added up and handed on; those a task gathers.
+HELD, GATHERED = 2_000_000, 3_000_000
+#: Counts in one row of the table of units and the units beside them, and those looked at together.
+BLOCK, LOOKED = 100_000, 10_000
 #: Words counted before a task hands its counts on.
 COUNTED = 400_000
 
@@ -243,124 +246,191 @@ class Numbers:
         return self.endings.get(ending(word), self.size - 1)
 
 
-def encoded(texts: DataFrame, shared) -> DataFrame:
-    """The numbers of the units of every text."""
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    key, n = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*counts, np.zeros(0, np.int64)])
+    if not len(key):
+        return key, n
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[starts], np.add.reduceat(n, starts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def neighbours(texts: DataFrame, shared, size: int, tokens: int) -> DataFrame:
+    """Units with the units beside them and how often, some units in one row.
+
+    ``half`` is the units' parity. The others are arrays as bytes: the units, how many
+    counts each has, and of the counts the unit beside times two (one more if it comes before)
+    and the number. Texts end with unit 0, which also precedes the first word.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(Numbers(*shared.value))
+        keys, counts, held = [], [], 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            key, n = _added(keys, counts)
+            unit, beside = key // (2 * size), key % (2 * size)
+            for at in range(0, len(key), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(unit[part], pa.int32()), pa.array(beside[part]), pa.array(n[part])], ["unit", "beside", "n"]
+                )
+
         for values in _batches(batches, "text"):
-            rows = [np.fromiter(map(memo.__getitem__, w), np.int32, len(w)) for w in map(tokens_of, values)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["ids"])
+            for start in range(0, len(values), 100):
+                words = [w for text in values[start : start + 100] for w in tokens_of(text)]
+                b = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+                a = np.concatenate([[0], b[:-1]])
+                key, n = np.unique(np.concatenate([a * (2 * size) + 2 * b, b * (2 * size) + 2 * a + 1]), return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                held += len(key)
+                if held > HELD:
+                    yield from emit()
+                    keys, counts, held = [], [], 0
+        yield from emit()
 
-    return texts.select("text").mapInArrow(run, "ids array<int>")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [], []
+        for batch in batches:
+            unit, beside, n = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            keys.append(unit * (2 * size) + beside)
+            counts.append(n)
+        all_, n_all = _added(keys, counts)
+        for half in (0, 1):
+            mine = all_ // (2 * size) % 2 == half
+            key, n = all_[mine], n_all[mine]
+            units, starts = np.unique(key // (2 * size), return_index=True)
+            ends = np.concatenate([starts[1:], [len(key)]]).astype(np.int64)
+            at = 0
+            while at < len(units):
+                to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, side="right")))
+                part = slice(starts[at], ends[to - 1])
+                arrays = units[at:to], ends[at:to] - starts[at:to], key[part] % (2 * size), n[part]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([half], pa.int32()), *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in arrays)],
+                    ["half", "units", "sizes", "beside", "n"],
+                )
+                at = to
+
+    counted = texts.select("text").mapInArrow(count, "unit int, beside long, n long")
+    dealt = counted.repartition(max(1, math.ceil(2 * tokens / GATHERED)), "unit")
+    return dealt.mapInArrow(gather, "half int, units binary, sizes binary, beside binary, n binary")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Units and the ones before them. Texts end with unit 0, which also precedes the first."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     for batch in batches:
-        ids = batch.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(ids):
-            yield np.concatenate([[0], ids[:-1]]), ids
+        for row in zip(*(batch.column(c) for c in ("units", "sizes", "beside", "n"))):
+            yield tuple(np.frombuffer(x.as_buffer(), np.int64) for x in row)
 
 
-def class_table(numbered: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
+def class_table(blocks: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
     """How often a class follows another."""
-    shared = numbered.sparkSession.sparkContext.broadcast(cls)
+    shared = blocks.sparkSession.sparkContext.broadcast(cls)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, table = shared.value, np.zeros(k * k, np.int64)
-        for a, b in _pairs(batches):
-            table += np.bincount(of[a].astype(np.int64) * k + of[b], minlength=k * k)
+        for units, sizes, beside, n in _rows(batches):
+            after = beside % 2 == 0
+            at = np.repeat(of[units].astype(np.int64) * k, sizes)[after] + of[beside[after] // 2]
+            table += np.bincount(at, n[after], k * k).astype(np.int64)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], ["at", "n"])
 
-    cells = numbered.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    cells = blocks.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     shared.unpersist()
     out = np.zeros(k * k)
     out[cells["at"].to_numpy()] = cells["n"].to_numpy()
     return out.reshape(k, k)
 
 
-def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
-    key, n = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*counts, np.zeros(0, np.int64)])
-    if not len(key):
-        return key, n
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[starts], np.add.reduceat(n, starts)
-
-
-def moves(numbered: DataFrame, cls: np.ndarray, table: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def many_gains(table: np.ndarray, o: np.ndarray, i: np.ndarray, loop: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """What ``gains`` gives, for many units at once: a row for each."""
+    units = np.arange(len(old))
+    total_o, total_i = o.sum(axis=1), i.sum(axis=1)
+
+    def without(grid: np.ndarray, mine: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The part of the cells [class, j] for each j that a unit has ``mine`` counts to."""
+        u, j = np.nonzero(mine)
+        n, was = mine[u, j], old[u]
+        base, before = grid.T[j], _xlogx(grid).T[j]
+        base[np.arange(len(u)), was] -= n
+        at_old = np.flatnonzero(j == was)
+        base[at_old] -= other[u[at_old]]
+        base[at_old, j[at_old]] -= loop[u[at_old]]
+        before[np.arange(len(u)), was] = _xlogx(base[np.arange(len(u)), was])
+        before[at_old] = _xlogx(base[at_old])
+        more = _xlogx(base + n[:, None]) - before
+        more[np.arange(len(u)), j] = 0  # the crossing cell is counted by itself
+        out = np.zeros(mine.shape)
+        if len(u):
+            starts = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+            out[u[starts]] = np.add.reduceat(more, starts, axis=0)
+        return out
+
+    gain = without(table, o, i) + without(table.T, i, o)
+    cross = np.tile(np.diag(table), (len(old), 1))
+    cross[units, old] -= o[units, old] + i[units, old] + loop
+    gain += _xlogx(cross + o + i + loop[:, None]) - _xlogx(cross)
+    left, right = table.sum(axis=1) - i, table.sum(axis=0) - o
+    left[units, old] -= total_o + loop
+    right[units, old] -= total_i + loop
+    gain -= _xlogx(left + (total_o + loop)[:, None]) - _xlogx(left)
+    gain -= _xlogx(right + (total_i + loop)[:, None]) - _xlogx(right)
+    gain[:, 0] = -np.inf
+    return gain
+
+
+def moves(blocks: DataFrame, cls: np.ndarray, table: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Units of one half that gain by another class: numbers, classes, gains."""
-    k, shared = len(table), numbered.sparkSession.sparkContext.broadcast((cls, table))
+    k, shared = len(table), blocks.sparkSession.sparkContext.broadcast((cls, table))
     width = 2 * k + 1  # by unit: counts to each class, from each class, to itself
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, keys, counts, held = shared.value[0].astype(np.int64), [], [], 0
-        for a, b in _pairs(batches):
-            mine, yours, same = (a % 2 == half) & (a > 0), (b % 2 == half) & (b > 0), a == b
-            parts = [a[mine] * width + of[b[mine]], b[yours] * width + k + of[a[yours]], b[yours & same] * width + 2 * k]
-            key, n = np.unique(np.concatenate(parts), return_counts=True)
-            keys.append(key)
-            counts.append(n)
-            held += len(key)
-            if held > HELD:
-                key, n = _added(keys, counts)
-                keys, counts, held = [key], [n], len(key) // 2  # many distinct ones may be held
-        key, n = _added(keys, counts)
-        for at in range(0, len(key), 100_000):
-            part = key[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part // width, pa.int32()), pa.array(part % width, pa.int32()), pa.array(n[at : at + 100_000], pa.int64())],
-                ["unit", "slot", "n"],
-            )
-
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, classes = shared.value
-        keys, counts = [], []
-        for batch in batches:
-            unit, slot, n = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
-            keys.append(unit * width + slot)
-            counts.append(n)
-        key, n = _added(keys, counts)
-        units, starts = np.unique(key // width, return_index=True)
-        moved = []
-        for u, start, end in zip(units.tolist(), starts.tolist(), [*starts[1:].tolist(), len(key)]):
-            row, old = np.zeros(width), int(of[u])
-            row[key[start:end] % width] = n[start:end]
-            o, i, loop = row[:k], row[k:-1], row[-1]
-            o[old] -= loop
-            i[old] -= loop
-            _, gain = gains(classes, o, i, loop, old)
-            new = int(np.argmax(gain))
-            if new != old and gain[new] > gain[old] + 1e-9:
-                moved.append((u, new, gain[new] - gain[old]))
-        made = list(zip(*moved)) or [[], [], []]
+        of, grid = shared.value
+        of = of.astype(np.int64)
+        made = []
+        for units, sizes, beside, n in _rows(batches):
+            at, other, before = np.repeat(np.arange(len(units)), sizes), beside // 2, beside % 2
+            loop = (before == 1) & (other == units[at])
+            slot = np.concatenate([at * width + before * k + of[other], at[loop] * width + 2 * k])
+            rows = np.bincount(slot, np.concatenate([n, n[loop]]), len(units) * width).reshape(-1, width)
+            o, i, loops, old = rows[:, :k], rows[:, k:-1], rows[:, -1], of[units]
+            o[np.arange(len(old)), old] -= loops
+            i[np.arange(len(old)), old] -= loops
+            step = max(1, LOOKED // width)
+            for start in range(0, len(units), step):
+                part = slice(start, start + step)
+                gain = many_gains(grid, o[part], i[part], loops[part], old[part])
+                here, new = np.arange(len(gain)), gain.argmax(axis=1)
+                more = gain[here, new] - gain[here, old[part]]
+                good = (new != old[part]) & (more > 1e-9) & (units[part] > 0)
+                made.append((units[part][good], new[good], more[good]))
+        columns = [np.concatenate(c) for c in zip(*made)] or [[], [], []]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, kind) for c, kind in zip(made, (pa.int32(), pa.int32(), pa.float64()))], ["unit", "cls", "gain"]
+            [pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.float64()))], ["unit", "cls", "gain"]
         )
 
-    counted = numbered.mapInArrow(count, "unit int, slot int, n long").repartition("unit")
-    rows = counted.mapInArrow(choose, "unit int, cls int, gain double").toArrow()
+    rows = blocks.filter(F.col("half") == half).mapInArrow(choose, "unit int, cls int, gain double").toArrow()
     shared.unpersist()
     return tuple(rows[c].to_numpy() for c in ("unit", "cls", "gain"))
 
 
-def refined(numbered: DataFrame, cls: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def refined(blocks: DataFrame, cls: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all units after so many steps, and the class bigrams."""
     k = int(cls.max()) + 1
-    table = class_table(numbered, cls, k)
+    table = class_table(blocks, cls, k)
     idle = 0
     for step in range(steps if k > 2 else 0):
-        unit, new, gain = moves(numbered, cls, table, step % 2)
+        unit, new, gain = moves(blocks, cls, table, step % 2)
         order = np.lexsort((unit, -gain))
         idle += 1
         while len(order):  # all moves, or the half of them that gain most, and so on
             tried = cls.copy()
             tried[unit[order]] = new[order]
-            made = class_table(numbered, tried, k)
+            made = class_table(blocks, tried, k)
             if likelihood(made) > likelihood(table):
                 cls, table, idle = tried, made, 0
                 break
@@ -437,7 +507,7 @@ def scores(docs: DataFrame, learn: F.Column | None = None) -> DataFrame:
     ends_at = first[units.size - 1 - len(endings) :]
     cls = np.concatenate([[0], words["cls"].to_numpy()[at], ends_at]).astype(np.int8)
     numbers = sc.broadcast((keys, endings))
-    cls, table = refined(space.keep(encoded(train, numbers), "ids"), cls)
+    cls, table = refined(space.keep(neighbours(train, numbers, len(cls), n), "neighbours"), cls)
     known = sc.broadcast(cls)
     # words and tokens of each class
     of_class = flat_map_rows(

@@ -194,6 +194,21 @@ def test_licenses_of_odd_rows(odd_docs, no_docs):
     assert words[0] == 4 and words[40_000] == 1
 
 
+def test_gains_of_many_units_are_those_of_each():
+    r = np.random.default_rng(4)
+    k, n = 6, 40
+    counts = r.integers(0, 4, (n, n)) * (r.random((n, n)) < 0.3).astype(int)
+    cls = np.concatenate([[0], r.integers(1, k, n - 1)])
+    one = np.eye(k)[cls]
+    table, loop = one.T @ counts @ one, np.diag(counts).astype(float)
+    o, i = counts @ one, counts.T @ one
+    o[np.arange(n), cls] -= loop
+    i[np.arange(n), cls] -= loop
+    many = brown.many_gains(table, o, i, loop, cls)
+    for u in range(1, n):
+        assert np.allclose(many[u], brown.gains(table, o[u], i[u], loop[u], cls[u])[1], atol=1e-6)
+
+
 def test_brown_against_brute_force(spark, data, monkeypatch):
     monkeypatch.setattr(brown, "FREQUENT", 500)  # most words take the join
     texts = {r.doc_id: r.text for r in read(spark, data, "documents").collect()}
