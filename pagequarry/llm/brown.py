@@ -13,7 +13,8 @@ steps, half of them in each. For that the units beside each unit are counted and
 a step passes over them where they lie, sums a unit's counts by the class before and after
 it and chooses its best class by the table of class bigrams. As units move at once, the moves of
 a step count only as far as they raise the likelihood. Tasks know units by a hash of the word:
-8 bytes and a class for each; the units beside one unit, at most all, are in one row.
+8 bytes and a class for each; the units beside one unit, at most all, are in one row. There
+may be 2**31 units.
 
 Word counts of frequent words (at most ``FREQUENT``) travel to the tasks; counts of other
 words are joined by word. Both the base score and the class model need the sum of
@@ -45,7 +46,7 @@ PASSES = 12
 #: Least count of a word that is a unit of its own; steps that move all units.
 LEAST, STEPS = 5, 6
 #: Counts held by a task before equal ones are added up and handed on; those a task gathers.
-HELD, GATHERED = 2_000_000, 3_000_000
+HELD, GATHERED = 3_000_000, 3_000_000
 #: Counts in one row of the table of units and the units beside them, and those looked at together.
 BLOCK, LOOKED = 100_000, 10_000
 #: Words counted before a task hands its counts on.
@@ -265,39 +266,50 @@ def neighbours(texts: DataFrame, shared, size: int, tokens: int) -> DataFrame:
     and the number. Texts end with unit 0, which also precedes the first word.
     """
 
+    parts = max(1, math.ceil(2 * tokens / GATHERED))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(Numbers(*shared.value))
-        keys, counts, held = [], [], 0
+        keys, held = [], 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            key, n = _added(keys, counts)
+            key, n = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_counts=True)
             unit, beside = key // (2 * size), key % (2 * size)
-            for at in range(0, len(key), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(unit[part], pa.int32()), pa.array(beside[part]), pa.array(n[part])], ["unit", "beside", "n"]
-                )
+            part = unit % parts  # units are numbered by hash
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            for k in range(parts):
+                rows = order[edges[k] : edges[k + 1]]
+                if len(rows):
+                    arrays = unit[rows].astype(np.int32), beside[rows].astype(np.uint32), n[rows].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)],
+                        ["part", "unit", "beside", "n"],
+                    )
 
         for values in _batches(batches, "text"):
-            for start in range(0, len(values), 100):
-                words = [w for text in values[start : start + 100] for w in tokens_of(text)]
+            for text in values:
+                words = tokens_of(text)
                 b = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
                 a = np.concatenate([[0], b[:-1]])
-                key, n = np.unique(np.concatenate([a * (2 * size) + 2 * b, b * (2 * size) + 2 * a + 1]), return_counts=True)
-                keys.append(key)
-                counts.append(n)
-                held += len(key)
+                keys += [a * (2 * size) + 2 * b, b * (2 * size) + 2 * a + 1]
+                held += 2 * len(b)
                 if held > HELD:
                     yield from emit()
-                    keys, counts, held = [], [], 0
+                    keys, held = [], 0
         yield from emit()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+        keys, counts, held = [], [], 0
         for batch in batches:
-            unit, beside, n = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
-            keys.append(unit * (2 * size) + beside)
-            counts.append(n)
+            for row in zip(*(batch.column(c) for c in ("unit", "beside", "n"))):
+                unit, beside, n = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.int32, np.uint32, np.int32)))
+                keys.append(unit.astype(np.int64) * (2 * size) + beside)
+                counts.append(n.astype(np.int64))
+                held += len(n)
+            if held > 2 * GATHERED:  # equal ones of a frequent unit
+                key, n = _added(keys, counts)
+                keys, counts, held = [key], [n], len(key) // 2
         all_, n_all = _added(keys, counts)
         for half in (0, 1):
             mine = all_ // (2 * size) % 2 == half
@@ -315,9 +327,9 @@ def neighbours(texts: DataFrame, shared, size: int, tokens: int) -> DataFrame:
                 )
                 at = to
 
-    counted = texts.select("text").mapInArrow(count, "unit int, beside long, n long")
-    dealt = counted.repartition(max(1, math.ceil(2 * tokens / GATHERED)), "unit")
-    return dealt.mapInArrow(gather, "half int, units binary, sizes binary, beside binary, n binary")
+    # few rows of many counts, so the exchange costs little
+    counted = texts.select("text").mapInArrow(count, "part int, unit binary, beside binary, n binary")
+    return counted.repartition(parts, "part").mapInArrow(gather, "half int, units binary, sizes binary, beside binary, n binary")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
