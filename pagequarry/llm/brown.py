@@ -26,12 +26,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import partial
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,9 +47,11 @@ PASSES = 12
 #: Least count of a word that is a unit of its own; steps that move all units.
 LEAST, STEPS = 5, 6
 #: Counts held by a task before equal ones are added up and handed on; those a task gathers.
-HELD, GATHERED = 3_000_000, 3_000_000
+HELD, GATHERED = 500_000, 1_000_000
 #: Counts in one row of the table of units and the units beside them, and those looked at together.
 BLOCK, LOOKED = 100_000, 10_000
+#: Such rows that a task takes in at once.
+ROWS = 16
 #: Words counted before a task hands its counts on.
 COUNTED = 400_000
 
@@ -320,9 +323,10 @@ def neighbours(texts: DataFrame, shared, size: int, tokens: int) -> DataFrame:
             while at < len(units):
                 to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, side="right")))
                 part = slice(starts[at], ends[to - 1])
-                arrays = units[at:to], ends[at:to] - starts[at:to], key[part] % (2 * size), n[part]
+                beside = (key[part] % (2 * size)).astype(np.uint32)
+                arrays = units[at:to], ends[at:to] - starts[at:to], beside, n[part]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([half], pa.int32()), *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in arrays)],
+                    [pa.array([half], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)],
                     ["half", "units", "sizes", "beside", "n"],
                 )
                 at = to
@@ -335,7 +339,21 @@ def neighbours(texts: DataFrame, shared, size: int, tokens: int) -> DataFrame:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     for batch in batches:
         for row in zip(*(batch.column(c) for c in ("units", "sizes", "beside", "n"))):
-            yield tuple(np.frombuffer(x.as_buffer(), np.int64) for x in row)
+            units, sizes, beside, n = (x.as_buffer() for x in row)
+            yield (np.frombuffer(units, np.int64), np.frombuffer(sizes, np.int64),
+                   np.frombuffer(beside, np.uint32).astype(np.int64), np.frombuffer(n, np.int64))
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While this holds, tasks are handed ``ROWS`` rows at a time: rows of blocks are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def class_table(blocks: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
@@ -351,7 +369,8 @@ def class_table(blocks: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], ["at", "n"])
 
-    cells = blocks.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    with _small_batches(blocks.sparkSession):
+        cells = blocks.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     shared.unpersist()
     out = np.zeros(k * k)
     out[cells["at"].to_numpy()] = cells["n"].to_numpy()
@@ -425,7 +444,8 @@ def moves(blocks: DataFrame, cls: np.ndarray, table: np.ndarray, half: int) -> t
             [pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.float64()))], ["unit", "cls", "gain"]
         )
 
-    rows = blocks.filter(F.col("half") == half).mapInArrow(choose, "unit int, cls int, gain double").toArrow()
+    with _small_batches(blocks.sparkSession):
+        rows = blocks.filter(F.col("half") == half).mapInArrow(choose, "unit int, cls int, gain double").toArrow()
     shared.unpersist()
     return tuple(rows[c].to_numpy() for c in ("unit", "cls", "gain"))
 
