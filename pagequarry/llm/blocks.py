@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -39,17 +41,36 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 OTHER_TAGS = frozenset("nav header footer aside form button menu dialog fieldset".split())
 OTHER_NAMES = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies footer header "
-    "login masthead menu modal nav navbar navigation newsletter notice pagination popup promo related "
-    "reply share sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "disqus login masthead menu modal nav navbar navigation newsletter notice pagination popup promo related "
+    "replies reply share sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN_TAGS = frozenset(["article", "main"])
 MAIN_NAMES = frozenset("article articlebody content entry main post story".split())
+#: A name that begins or ends so tells a state of the page (has-sidebar, header-fixed).
+STATE_FIRST = frozenset("has hide is no not show with without".split())
+STATE_LAST = frozenset("active closed collapsed disabled enabled expanded fixed hidden open sticky visible".split())
 #: Start tags that end an open paragraph (or item) before them.
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p "
     "pre section table ul".split()
 )
 
+#: Open elements that a start tag ends, and those beyond which it ends none.
+_LISTS = frozenset("article aside body footer header main menu nav ol section table td th ul".split())
+_TABLE = frozenset(["table"])
+ENDS = {
+    "li": (frozenset(["li"]), _LISTS),
+    "dt": (frozenset(["dd", "dt"]), _LISTS | {"dl"}),
+    "dd": (frozenset(["dd", "dt"]), _LISTS | {"dl"}),
+    "option": (frozenset(["option"]), _LISTS),
+    "td": (frozenset(["td", "th"]), _TABLE),
+    "th": (frozenset(["td", "th"]), _TABLE),
+    "tr": (frozenset(["td", "th", "tr"]), _TABLE),
+    "tbody": (frozenset("tbody td tfoot th thead tr".split()), _TABLE),
+    "thead": (frozenset("tbody td tfoot th thead tr".split()), _TABLE),
+    "tfoot": (frozenset("tbody td tfoot th thead tr".split()), _TABLE),
+}
+
 #: The last two figures of a path say whether it holds containers of either kind.
 PATH_SIZE, WORD_SIZE, FIGURES = 26, 12, 6
 INPUT, HIDDEN = PATH_SIZE + WORD_SIZE + FIGURES, 16
@@ -57,20 +78,59 @@ PATH_BUCKETS, WORD_BUCKETS = 1024, 4096
 SAMPLE, TRAIN_BLOCKS, VARIANTS = 1_000, 150, 4
 STEPS, BATCH, HIDE = 500, 48, 0.15
 SEED = 7
+#: Pages are labelled together up to so many (padded) blocks; longer ones alone, so many at a time.
+CELLS = 4096
 
-_NAME = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
+@lru_cache(maxsize=65_536)
+def names_of(value: str) -> tuple[str, ...]:
+    """Names in a class or id, each as its words joined by hyphens: ``commentThread`` is ``comment-thread``."""
+    names = ("-".join(_WORD.findall(name)).lower() for name in value.split())
+    return tuple(dict.fromkeys(n for n in names if n))
+
+
+@lru_cache(maxsize=65_536)
+def container_words(part: tuple[str, tuple[str, ...]]) -> frozenset[str]:
+    """Words that the names of an element say of what it holds.
+
+    Names of the whole page (on html and body) and names that tell a state say nothing of that.
+    """
+    tag, names = part
+    if tag in ("html", "body"):
+        return frozenset()
+    split = [n.split("-") for n in names]
+    return frozenset(w for words in split if words[0] not in STATE_FIRST and words[-1] not in STATE_LAST for w in words)
+
+
+@lru_cache(maxsize=65_536)
+def evidence(part: tuple[str, tuple[str, ...]]) -> tuple[bool, bool]:
+    """Does the element look like a container of other text, of main text? Tags and whole names tell."""
+    tag, _ = part
+    words = container_words(part)
+    other = tag in OTHER_TAGS or (tag != "main" and not OTHER_NAMES.isdisjoint(words))
+    return other, tag in MAIN_TAGS or not MAIN_NAMES.isdisjoint(words)
+
+
 class PageBlocks(HTMLParser):
-    """Blocks of one page: (path, text, number of characters in links)."""
+    """Blocks of one page: (path, text, number of characters in links).
+
+    A path holds the different open elements (tag and names) as they were opened, and last the innermost
+    one, so that elements nested to any depth without new names make no longer paths.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.path: list[tuple[str, tuple[str, ...]]] = []
+        self.different: dict[tuple, int] = {}
+        self.open: Counter[str] = Counter()
+        self.outer: list[int] = []  # places of the open elements that are not inline
+        self.now: tuple | None = None
         self.blocks: list[tuple[tuple, str, int]] = []
         self.parts: list[str] = []
-        self.linked = self.links = self.silent = 0
+        self.linked = self.silent = 0
 
     def read(self, html: str) -> list[tuple[tuple, str, int]]:
         self.feed(_CUT_TAG.sub("", html))
@@ -82,40 +142,70 @@ class PageBlocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((tuple(self.path), text, self.linked))
+                if self.now is None:
+                    self.now = tuple(self.different)
+                    if self.path and self.path[-1] != self.now[-1]:
+                        self.now += (self.path[-1],)
+                self.blocks.append((self.now, text, self.linked))
             self.parts = []
         self.linked = 0
 
     def _push(self, tag: str, attrs: list) -> None:
-        names: tuple[str, ...] = ()
-        for key, value in attrs:
-            if key in ("class", "id", "role") and value:
-                names += tuple(_NAME.findall(value.lower())[:6])
-        self.path.append((tag, names))
-        self.links += tag == "a"
+        names = [n for key, value in attrs if key in ("class", "id", "role") and value for n in names_of(value)]
+        part = (tag, tuple(dict.fromkeys(names)))
+        if tag not in INLINE:
+            self.outer.append(len(self.path))
+        self.path.append(part)
+        self.different[part] = self.different.get(part, 0) + 1
+        self.open[tag] += 1
         self.silent += tag in SILENT
+        self.now = None
 
     def _pop(self) -> None:
-        tag, _ = self.path.pop()
-        self.links -= tag == "a"
+        part = self.path.pop()
+        tag = part[0]
+        if tag not in INLINE:
+            self.outer.pop()
+        if self.different[part] == 1:
+            del self.different[part]
+        else:
+            self.different[part] -= 1
+        self.open[tag] -= 1
         self.silent -= tag in SILENT
+        self.now = None
+
+    def _cut(self, k: int) -> None:
+        """The k-th open element and those in it end."""
+        while len(self.path) > k:
+            self._pop()
+
+    def _end_before(self, tag: str) -> None:
+        """End the elements that a start tag ends without end tags of theirs."""
+        if tag in ENDS_PARAGRAPH and self.outer and self.path[self.outer[-1]][0] == "p":
+            self._cut(self.outer[-1])
+        if tag in ENDS:
+            ended, until = ENDS[tag]
+            if any(self.open[t] for t in ended):
+                cut = None
+                for k in reversed(self.outer):
+                    name = self.path[k][0]
+                    if name in until:
+                        break
+                    if name in ended:
+                        cut = k
+                if cut is not None:
+                    self._cut(cut)
+        elif tag == "body":
+            while self.silent:
+                self._pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             self.flush()
-            if tag in ENDS_PARAGRAPH:  # an open paragraph and the inline elements in it end
-                k = len(self.path)
-                while k and self.path[k - 1][0] in INLINE:
-                    k -= 1
-                if k and (self.path[k - 1][0] == "p" or tag == "li" == self.path[k - 1][0]):
-                    while len(self.path) >= k:
-                        self._pop()
-            if tag == "body":
-                while self.silent:
-                    self._pop()
+            self._end_before(tag)
         elif tag == "br":
             self.parts.append(" ")
-        if tag not in VOID and len(self.path) < 200:
+        if tag not in VOID:
             self._push(tag, attrs)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -127,10 +217,11 @@ class PageBlocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
+        if not self.open[tag]:
+            return
         for k in range(len(self.path) - 1, -1, -1):
             if self.path[k][0] == tag:
-                while len(self.path) > k:
-                    self._pop()
+                self._cut(k)
                 return
             if tag in INLINE and self.path[k][0] not in INLINE:
                 return  # an inline end tag does not close blocks
@@ -138,7 +229,7 @@ class PageBlocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.parts.append(data)
-            if self.links:
+            if self.open["a"]:
                 self.linked += len(data)
 
 
@@ -149,15 +240,15 @@ def read_blocks(html: str | None) -> list[tuple[tuple, str, int]]:
 
 def rule(path: tuple, text: str, linked: int) -> float:
     """Training label of a block: 1 main text, 0 other."""
-    inside = False
-    for tag, names in path:
+    inside = held = False
+    for part in path:
+        tag, _ = part
+        other, main = evidence(part)
         # a header within an article holds its title
-        if tag in OTHER_TAGS and not (inside and tag == "header"):
+        if other and not (inside and tag == "header" and OTHER_NAMES.isdisjoint(container_words(part))):
             return 0.0
-        if not OTHER_NAMES.isdisjoint(names):
-            return 0.0
-        inside = inside or tag in MAIN_TAGS
-    if any(tag in MAIN_TAGS or not MAIN_NAMES.isdisjoint(names) for tag, names in path):
+        inside, held = inside or tag in MAIN_TAGS, held or main
+    if held:
         return 1.0
     return float(len(text.split()) >= 10 and linked < 0.3 * len(text))
 
@@ -170,9 +261,10 @@ def varied(blocks: list[tuple[tuple, str, int]], r: np.random.Generator) -> list
     renamed: dict[tuple, tuple] = {}
 
     def rename(part: tuple) -> tuple:
-        if part[0] in MAIN_TAGS or not MAIN_NAMES.isdisjoint(part[1]):
+        is_other, is_main = evidence(part)
+        if is_main:
             return as_main
-        if part[0] in OTHER_TAGS or not OTHER_NAMES.isdisjoint(part[1]):
+        if is_other:
             return renamed.setdefault(part, other[r.integers(len(other))])
         return part
 
@@ -211,30 +303,32 @@ class Vectors:
         if made is None:
             if len(self.path_of) > self.REMEMBERED // 20:
                 self.path_of.clear()
-            keys = {f"<{tag}" for tag, _ in path} | {f".{n}" for _, names in path for n in names}
+            keys = {f"<{tag}" for tag, _ in path} | {f".{w}" for part in path for w in container_words(part)}
             keys |= {f"last {tag}" for tag, _ in path[-1:]}
             at = [zlib.crc32(k.encode()) % PATH_BUCKETS for k in sorted(keys)]
             hashed = self.paths[at].sum(axis=0) / max(1, len(at)) ** 0.5 / 2
-            other = any(t in OTHER_TAGS or not OTHER_NAMES.isdisjoint(n) for t, n in path)
-            main = any(t in MAIN_TAGS or not MAIN_NAMES.isdisjoint(n) for t, n in path)
+            other, main = (any(e) for e in zip(*map(evidence, path))) if path else (False, False)
             made = self.path_of[path] = np.append(hashed, [3.0 * other, 3.0 * main])
         return made
 
-    def __call__(self, blocks: list[tuple[tuple, str, int]]) -> np.ndarray:
-        out = np.zeros((len(blocks), INPUT))
+    def __call__(self, blocks: list[tuple[tuple, str, int]], start: int = 0, end: int | None = None) -> np.ndarray:
+        """Of the blocks from ``start`` to ``end`` of the page's."""
+        n, end = len(blocks), len(blocks) if end is None else end
+        out = np.zeros((end - start, INPUT))
         if len(self.bucket_of) > self.REMEMBERED:
             self.bucket_of.clear()
         known = self.bucket_of
-        for k, (path, text, linked) in enumerate(blocks):
+        for k in range(start, end):
+            path, text, linked = blocks[k]
             words = text.lower().split()
-            for w in [w for w in words if w not in known]:
-                known[w] = zlib.crc32(w.encode("utf-8", "replace")) % WORD_BUCKETS
-            counts = np.bincount([known[w] for w in words], minlength=WORD_BUCKETS)
-            at = np.flatnonzero(counts)
-            out[k, :PATH_SIZE] = self.path(path)
-            out[k, PATH_SIZE : PATH_SIZE + WORD_SIZE] = counts[at] @ self.words[at] / len(words) ** 0.5 / 2
-            out[k, -FIGURES:] = (
-                np.log1p(len(words)) / 3, min(1.0, linked / len(text)), k / len(blocks),
+            for w in words:
+                if w not in known:
+                    known[w] = zlib.crc32(w.encode("utf-8", "replace")) % WORD_BUCKETS
+            row = out[k - start]
+            row[:PATH_SIZE] = self.path(path)
+            row[PATH_SIZE : PATH_SIZE + WORD_SIZE] = self.words[[known[w] for w in words]].sum(axis=0) / len(words) ** 0.5 / 2
+            row[-FIGURES:] = (
+                np.log1p(len(words)) / 3, min(1.0, linked / len(text)), k / n,
                 1 / (k + 1), min(len(path), 20) / 10, text[-1] in ".!?",
             )
         return out
@@ -257,11 +351,17 @@ class Labeller:
             weights["o"] = r.standard_normal(2 * HIDDEN + 1) / HIDDEN**0.5
         self.w = weights
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States over time; x is (pages, blocks, INPUT). Padding carries the state on."""
+    def _run(
+        self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None, state: list | None = None
+    ) -> np.ndarray:
+        """States over time; x is (pages, blocks, INPUT). Padding carries the state on.
+
+        ``state`` (h, c), where given, is begun from and set to what it is in the end.
+        """
         w, c0 = self.w[f"w{d}"], self.w[f"c{d}"]
         n, steps, _ = x.shape
-        h, c, out = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), np.zeros((n, steps, HIDDEN))
+        h, c = state or (np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)))
+        out = np.zeros((n, steps, HIDDEN))
         fixed = x @ w[:INPUT] + c0
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = fixed[:, t] + h @ w[INPUT:]
@@ -276,12 +376,30 @@ class Labeller:
             c = np.where(m, new, c)
             h = np.where(m, o * th, h)
             out[:, t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         states = np.concatenate([self._run(x, mask, "f"), self._run(x, mask, "b")], axis=2)
         return _sigmoid(states @ self.w["o"][:-1] + self.w["o"][-1])
 
+    def long_page(self, vectors: Callable[[int, int], np.ndarray], n: int, size: int = CELLS) -> np.ndarray:
+        """Probabilities of one page of ``n`` blocks, of which ``vectors(start, end)`` are made ``size`` at a time."""
+        behind, out = np.zeros((n, HIDDEN)), np.zeros(n)
+        spans = [(k, min(n, k + size)) for k in range(0, n, size)]
+        state = [np.zeros((1, HIDDEN)), np.zeros((1, HIDDEN))]
+        for start, end in reversed(spans):
+            x = vectors(start, end)[None]
+            behind[start:end] = self._run(x, np.ones(x.shape[:2], bool), "b", state=state)[0]
+        state = [np.zeros((1, HIDDEN)), np.zeros((1, HIDDEN))]
+        for start, end in spans:
+            x = vectors(start, end)[None]
+            ahead = self._run(x, np.ones(x.shape[:2], bool), "f", state=state)[0]
+            states = np.concatenate([ahead, behind[start:end]], axis=1)
+            out[start:end] = _sigmoid(states @ self.w["o"][:-1] + self.w["o"][-1])
+        return out
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean logistic loss over blocks, by back-propagation through time."""
         kept = {d: [] for d in "fb"}
@@ -367,15 +485,31 @@ def learn(pages: DataFrame, limit: int = SAMPLE) -> Labeller | None:
 
 
 def main_texts(htmls: list[str | None], model: Labeller, vectors: Vectors) -> list[str]:
-    """Main texts of pages; pages of about the same number of blocks are labelled together."""
-    read = [read_blocks(h) for h in htmls]
-    order = sorted((k for k, b in enumerate(read) if b), key=lambda k: len(read[k]))
-    out = [""] * len(read)
-    for start in range(0, len(order), 32):
-        group = order[start : start + 32]
-        x, mask = padded([vectors(read[k]) for k in group])
-        for k, p in zip(group, model.probabilities(x, mask)):
-            out[k] = "\n".join(b[1] for b, main in zip(read[k], p >= 0.5) if main)
+    """Main texts of pages; pages of about the same number of blocks are labelled together.
+
+    Pages of more than ``CELLS`` blocks are labelled alone and in parts, so what is held for
+    a block of them is its text and one state.
+    """
+    out = [""] * len(htmls)
+
+    def settle(k: int, blocks: list, p: np.ndarray) -> None:
+        out[k] = "\n".join(b[1] for b, main in zip(blocks, p >= 0.5) if main)
+
+    read: dict[int, list] = {}
+    for k, html in enumerate(htmls):
+        blocks = read_blocks(html)
+        if len(blocks) > CELLS:
+            settle(k, blocks, model.long_page(lambda start, end: vectors(blocks, start, end), len(blocks)))
+        elif blocks:
+            read[k] = blocks
+    group: list[int] = []
+    for k in [*sorted(read, key=lambda k: len(read[k])), None]:
+        if group and (k is None or len(group) == 32 or (len(group) + 1) * len(read[k]) > CELLS):
+            x, mask = padded([vectors(read[g]) for g in group])
+            for g, p in zip(group, model.probabilities(x, mask)):
+                settle(g, read.pop(g), p)
+            group = []
+        group.append(k)
     return out
 
 

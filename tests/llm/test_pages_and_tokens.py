@@ -4,6 +4,8 @@ import hashlib
 import html as html_
 import re
 import struct
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -53,6 +55,12 @@ LONG = "This paragraph tells of the harbour, its ships and the people who work t
         (f"<article><h1>Head</h1><p>{LONG} &amp; more</p></article><div class='comments'><p>{LONG}</p></div>", ["Head", f"{LONG} & more"]),
         (f"<nav><a href=/a>A</a></nav><article><p>{LONG}</p></article><form><p>{LONG}</p></form><script>var x</script>", [LONG]),
         ("", []), (None, []), ("<p>", []), ("   ", []),
+        (f"<article><p>{LONG}</p></article><div class='col-md-4 col-lg-3 d-none px-2 m-1 row sidebar'><p>{LONG}</p></div>", [LONG]),
+        (f"<article><p>{LONG}</p></article><div class='commentThread'><p>{LONG}</p></div>", [LONG]),
+        (f"<article><p>{LONG}</p></article><div id='disqus_thread'><p>{LONG}</p></div>", [LONG]),
+        (f"<main class='content has-sidebar'><h1>Head</h1><p>{LONG}</p></main><aside>{LONG}</aside>", ["Head", LONG]),
+        (f"<body class='page-header-fixed modal-open'><nav>Home</nav><article><p>{LONG}</p></article></body>", [LONG]),
+        (f"{'<div>' * 300}<article><p>{LONG}</p></article><script>var x=1;</script><div class='cookieNotice'>{LONG}</div>", [LONG]),
     ],
 )
 def test_kinds_of_pages(model, page, expected):
@@ -65,6 +73,57 @@ def test_blocks_of_broken_markup():
     assert texts("<ul><li>a<li>b</ul>c &lt;&am") == ["a", "b", "c <&am"]
     assert texts("<p>x</p><script>if (a<b) '<p>y'</script><p>z <b") == ["x", "z"]
     assert len(texts("<div>" * 5000 + "deep")) == 1
+    assert texts("<div>" * 300 + "<script>var x=1;</script>deep") == ["deep"]
+    assert texts("<table><tr><td>a<td>b<tr><th>c<td><table><td>d</table>e</table>f") == ["a", "b", "c", "d", "e", "f"]
+    assert texts("<dl><dt>a<dd>b<p>c<dt>d</dl>e</i>f</p>g") == ["a", "b", "c", "d", "ef", "g"]
+
+
+def test_paths_of_blocks():
+    path = lambda h: blocks.read_blocks(h)[-1][0]
+    tags = lambda h: [tag for tag, _ in path(h)]
+    assert tags("<table><tr><td>a<td>b<tr><td>c") == ["table", "tr", "td"]
+    assert tags("<ul><li>a<ul><li>b</ul><li>c<p>d") == ["ul", "li", "p"]
+    assert tags("<div><nav><div>" + "<div>" * 50 + "x") == ["div", "nav", "div"]
+    assert tags("<dl><dt>a<dd>b") == ["dl", "dd"] and tags("<p>a<div>b</div><b>c") == ["b"]
+    many = " ".join(f"{c}-box" for c in "abcdefghij") + " sidebarLeft"
+    assert path(f"<div class='{many}'>x")[0][1][-1] == "sidebar-left"
+
+
+@pytest.mark.parametrize(
+    "part, expected",
+    [
+        (("div", "commentThread"), (True, False)), (("div", "disqus_thread"), (True, False)),
+        (("main", "content has-sidebar"), (False, True)), (("body", "page-header-fixed modal-open post"), (False, False)),
+        (("div", "no-sidebar"), (False, False)), (("div", "fixed-header"), (True, False)),
+        (("div", "entry-content"), (False, True)), (("article", "comment"), (True, True)), (("div", "é 1"), (False, False)),
+    ],
+)
+def test_names_tell_of_containers(part, expected):
+    assert blocks.evidence((part[0], blocks.names_of(part[1]))) == expected
+
+
+def test_long_pages_in_parts(model):
+    vectors = blocks.Vectors()
+    page = blocks.read_blocks(f"<nav>Home</nav><article>{f'<p>{LONG}</p><h2>Head</h2>' * 60}</article><footer>End</footer>")
+    whole = model.probabilities(*blocks.padded([vectors(page)]))[0]
+    for size in (1, 7, 1000):
+        assert np.allclose(whole, model.long_page(lambda a, b: vectors(page, a, b), len(page), size))
+
+
+def test_memory_of_a_very_long_page():
+    code = """
+import resource
+from pagequarry.llm import blocks
+html = "<article><table>" + "<tr><td>one cell of it<td>another" * 50_000 + "</table></article>"
+small = ["<article><p>some words of a page</p></article>"] * 31
+model, vectors = blocks.Labeller(), blocks.Vectors()
+model.w["o"][-1] = 99  # everything is main text
+texts = blocks.main_texts([html, *small], model, vectors)
+assert texts[0].count(chr(10)) == 99_999 and texts[31] == "some words of a page"
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True)
+    assert int(done.stdout.split()[-1]) < 600
 
 
 def test_labeller_gradients():
