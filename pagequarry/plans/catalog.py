@@ -17,6 +17,7 @@ from pagequarry.operators import reports as P
 from pagequarry.operators import requests as R
 from pagequarry.operators import store
 from pagequarry.operators import timeline as T
+from pagequarry.operators.frontier import crawl_frontier
 from pagequarry.plans import derived as D
 from pagequarry.plans.scrape import scrape_batch, scrape_pages
 from pagequarry.session import tune, work_folder
@@ -638,6 +639,21 @@ def run_outcome(spark, folder):
     return results.select("write_seq", *_big("exit_code"), "to_save")
 
 
+@query
+def _crawl_frontier(spark, folder):
+    """All links, from a few pages and a URL that nothing links to, six steps far."""
+    seeds = _pages(spark, folder).filter("page_id % 100 = 3").select("url")
+    alone = _pages(spark, folder).filter("page_id = 3").select(F.concat("url", F.lit("/alone")).alias("url"))
+    return crawl_frontier(_from_pages(D.LINK_GRAPH, spark, folder), seeds.unionByName(alone), max_depth=6)
+
+
+@query
+def _crawl_frontier_site(spark, folder):
+    """From every tenth page to all that its site leads to."""
+    seeds = _pages(spark, folder).filter("page_id % 10 = 0").select("url")
+    return crawl_frontier(_from_pages(D.LINK_GRAPH, spark, folder), seeds, same_site=True)
+
+
 def _jobs(spark: SparkSession, folder: str) -> DataFrame:
     return _from_pages(D.REQUESTS, spark, folder)
 

@@ -172,6 +172,18 @@ SELECT page_id,
 FROM {pages}
 """
 
+# Links between pages: a tree over ids with links back, and lists of each site, which link to their pages, from
+# them and to the next list. Lists are no pages.
+LINK_GRAPH = """
+SELECT p.url AS url, q.url AS link FROM {pages} p JOIN {pages} q ON q.page_id = 2 * p.page_id + 1
+UNION ALL SELECT p.url, q.url FROM {pages} p JOIN {pages} q ON q.page_id = 2 * p.page_id + 2
+UNION ALL SELECT q.url, p.url FROM {pages} p JOIN {pages} q ON q.page_id = 2 * p.page_id + 1
+UNION ALL SELECT url, concat('https://', split_part(url, '/', 3), '/list/', CAST(page_id % 5 AS STRING)) FROM {pages}
+UNION ALL SELECT concat('https://', split_part(url, '/', 3), '/list/', CAST(page_id % 5 AS STRING)), url FROM {pages}
+UNION ALL SELECT concat('https://', split_part(url, '/', 3), '/list/', CAST(page_id % 5 AS STRING)),
+                 concat('https://', split_part(url, '/', 3), '/list/', CAST((page_id + 1) % 5 AS STRING)) FROM {pages}
+"""
+
 # Time texts, some of which are no ISO 8601 date and time.
 _TIMES = ["no time", "2024", "2024-01", "2024-1-2", "2024-01-02 03:04:05 UTC", "12:30", "T12:30",
           "20240102", "20240102T030405", "2024-W01-1", "2024-01-02T03:04:05Z", "2024-01-02 03:04"]
