@@ -1,19 +1,19 @@
 """Byte-level BPE: ranked merges over the bytes of distinct words, decoding by joined pieces.
 
 Texts are split by the tokenizer's pattern in one pass without an exchange; a task merges each
-distinct word it meets once and remembers its ids (``REMEMBERED`` words and pieces at most, then it
-begins anew). Words that are tokens as they stand have their rank as id. There are two forms of
-the merges, with the same ids, both over a literal map of ranks:
-
-* in the task, by a heap of pairs (``native=False``, the default), and
-* folded in Spark's higher-order functions (``native=True``): the task numbers its words and puts
-  each new one into a row ahead of the texts that use it; the fold keeps a word's ids and the
-  ranks of its neighbouring pairs, and each step merges the leftmost pair of least rank and looks up
-  the two pairs that this makes; then the ids are put in the place of the numbers. The fold is
-  quadratic in a word's length, so words of more than ``LONG`` bytes take the heap.
-
-Spark interprets expressions inside higher-order functions, some 100 microseconds for a word
-against 16 in the heap; the README has the figures. All texts are split by the same regular
+distinct word it meets once and remembers its ids (``REMEMBERED`` words at most, then it begins
+anew). Words that are tokens as they stand have their rank as id. There are two forms of the
+merges, with the same ids, both over a literal map of ranks:
+
+* folded in Spark's higher-order functions (``native=True``, the default): the task numbers its
+  words and puts each new one into a row ahead of the texts that use it; the fold keeps a word's ids
+  and the ranks of its neighbouring pairs, and each step merges the leftmost pair of least rank and
+  looks up the two pairs that this makes; then the ids are put in the place of the numbers. The
+  fold is quadratic in a word's length, so words of more than ``LONG`` bytes take the heap.
+* in the task, by a heap of pairs (``native=False``).
+
+Spark interprets expressions inside higher-order functions, so the fold costs several times the
+heap; the README has the figures. All texts are split by the same regular
 expressions, so a word's ids do not depend on its neighbours. Decoding looks up the bytes of every
 id and joins them, in Spark expressions.
 
@@ -41,8 +41,10 @@ NO_MERGE = 1 << 30
 PAIR_BUCKETS = 1 << 16
 #: Longer words (in bytes) are merged by a heap.
 LONG = 1024
-#: Distinct words and pieces a task holds, and words it puts in one row.
-REMEMBERED, WORDS_IN_ROW = 1 << 20, 2048
+#: Distinct words a task holds, pieces between spaces, and words it puts in one row.
+REMEMBERED, PIECES, WORDS_IN_ROW = 1 << 19, 1 << 17, 2048
+#: Texts taken in or handed on together.
+TEXTS = 512
 
 
 @dataclass(frozen=True)
@@ -108,10 +110,12 @@ class Encoder:
         for (left, right), rank in vocabulary.pairs().items():
             buckets[_pair_bucket(left, right)] += [((left + 1) << shift) + right, rank]
         singles = [vocabulary.ranks[bytes([b])] for b in range(256)]
+        first = [vocabulary.ranks.get(bytes([a, b]), NO_MERGE) for a in range(256) for b in range(256)]
         self.tables = _literal(
             spark,
             pairs=pa.array(buckets, pa.list_(pa.int64())),
             singles=pa.array(singles, pa.int64()),
+            first=pa.array(first, pa.int64()),
         )
         size = max(vocabulary.ranks.values()) + 1
         pieces: list[bytes | None] = [None] * size
@@ -126,50 +130,57 @@ class Encoder:
         return F.get(bucket, F.array_position(bucket, key).cast("int"))
 
     def fold(self, t: Column, word: Column) -> Column:
-        """Ids of one word: all ranked merges folded over its bytes."""
-        chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        ids = F.transform(chars, lambda c: F.get(t["singles"], F.ascii(c)))
-
-        def start(s: Column) -> Column:
-            following = F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))
-            ranks = F.transform(following, lambda x, i: self._rank(t, x, F.get(s, i + 1)))
-            return F.struct(s.alias("ids"), ranks.alias("ranks"))
-
-        def merge(s: Column, best: Column) -> Column:
-            ids, ranks, m, k = s["ids"], s["ranks"], best["m"], best["k"]
-            none = F.slice(ids, 1, 0)
-            before = F.when(k > 1, F.array(self._rank(t, F.get(ids, k - 2), m))).otherwise(none)
-            after = F.when(
-                k + 1 < F.size(ids), F.array(self._rank(t, m, F.get(ids, k + 1)))
-            ).otherwise(none)
-            size = F.size(ids)
-            return F.struct(
-                F.concat(F.slice(ids, 1, k - 1), F.array(m), F.slice(ids, k + 2, size)).alias("ids"),
-                F.concat(
-                    F.slice(ranks, 1, F.greatest(k - 2, F.lit(0))), before, after,
-                    F.slice(ranks, k + 2, size),
-                ).alias("ranks"),
-            )
+        """Ids of one word of at most ``LONG`` bytes: all ranked merges folded over its bytes.
+
+        The fold's state has one number for each token: the rank of the pair it makes with the
+        next one, the byte it starts at, its id. So the least number is the leftmost pair of least rank.
+        """
+        ids, starts = 1 << self.vocabulary.shift, 1 << LONG.bit_length()
+        rest = ids * starts
+        if NO_MERGE.bit_length() + rest.bit_length() > 63:
+            raise ValueError("too many tokens for the fold")
+
+        def number(rank: Column, start: Column, token: Column) -> Column:
+            return F.coalesce(rank, F.lit(NO_MERGE)) * rest + start * ids + token
+
+        def token(x: Column) -> Column:
+            return x.bitwiseAND(ids - 1)
+
+        def start(codes: Column) -> Column:
+            return F.transform(
+                codes,
+                lambda c, i: number(F.get(t["first"], c * 256 + F.get(codes, i + 1)), i, F.get(t["singles"], c)),
+            )
 
-        def step(s: Column) -> Column:
-            least = F.array_min(s["ranks"])
-            return F.when(F.coalesce(least, F.lit(NO_MERGE)) >= NO_MERGE, s).otherwise(
-                _let(
-                    F.struct(
-                        least.alias("m"),
-                        F.array_position(s["ranks"], least).cast("int").alias("k"),
-                    ),
-                    lambda best: merge(s, best),
+        def merge(s: Column, least: Column, k: Column) -> Column:
+            m = F.shiftright(least, rest.bit_length() - 1)
+            following = F.coalesce(self._rank(t, m, token(F.get(s, k + 1))), F.lit(NO_MERGE))
+            made = following * rest + least.bitwiseAND(rest - ids) + m
+            left = F.get(s, k - 2)
+            before = self._rank(t, token(left), m) * rest + left.bitwiseAND(rest - 1)
+            return F.flatten(
+                F.array(
+                    F.slice(s, 1, F.greatest(k - 2, F.lit(0))),
+                    F.when(k > 1, F.array(before, made)).otherwise(F.array(made)),
+                    F.slice(s, k + 2, LONG),
                 )
             )
 
-        def folded(s: Column) -> Column:
-            n = F.size(s)
-            return F.when(n < 2, s).otherwise(
-                F.aggregate(F.slice(s, 2, n), start(s), lambda acc, _: step(acc), lambda a: a["ids"])
+        def step(s: Column) -> Column:
+            return _let(
+                F.array_min(s),
+                lambda least: F.when(least >= NO_MERGE * rest, s).otherwise(
+                    _let(F.array_position(s, least).cast("int"), lambda k: merge(s, least, k))
+                ),
+            )
+
+        def folded(codes: Column) -> Column:
+            return F.aggregate(
+                F.slice(codes, 2, LONG), start(codes), lambda s, _: step(s), lambda s: F.transform(s, token)
             )
 
-        return _let(ids, folded)
+        chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+        return _let(F.transform(chars, F.ascii), folded)
 
     def decode(self, encoded: DataFrame, ids: str = "ids", out: str = "bytes") -> DataFrame:
         """``encoded`` with the bytes of its ids: their binary pieces joined."""
@@ -232,6 +243,15 @@ class Numberer:
         self.pieces: dict[str, bytes | bool] = {}
         self.next, self.new = self.first, []
 
+    def make_room(self) -> bool:
+        """Pieces are forgotten by themselves, as their words keep their numbers; whether those went, too."""
+        if len(self.numbers) > REMEMBERED:
+            self.forget()
+            return True
+        if len(self.pieces) > PIECES:
+            self.pieces = {}
+        return False
+
     def number(self, word: str) -> bytes:
         made = self.numbers.get(word)
         if made is None:
@@ -285,6 +305,11 @@ _NUMBERED = [
 ]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(k, TEXTS) for k in range(0, batch.num_rows, TEXTS))
+
+
 def _numbered(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str) -> DataFrame:
     """The ``keep`` columns and the ``numbers`` of every text's words; ahead of them rows of new ``words``.
 
@@ -297,12 +322,10 @@ def _numbered(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numberer, begin = Numberer(vocabulary, LONG), True
-        for batch in batches:
+        for batch in _slices(batches):
             texts, start = batch.column("__text").to_pylist(), 0
             while start < len(texts):
-                if len(numberer.numbers) + len(numberer.pieces) > REMEMBERED:
-                    numberer.forget()
-                    begin = True
+                begin |= numberer.make_room()
                 coded, end = [], start
                 while end < len(texts) and len(numberer.new) < WORDS_IN_ROW * 16:
                     coded.append(numberer(texts[end]))
@@ -327,7 +350,7 @@ def _with_ids(folded: DataFrame, keep: list[str], first: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = [i.to_bytes(4, "little") for i in range(first)]
         table = tokens
-        for batch in batches:
+        for batch in _slices(batches):
             numbers, begin, words = (batch.column(c) for c in ("numbers", "begin", "word_ids"))
             at, made = [], []
             for k, (text, new) in enumerate(zip(numbers, begin.to_pylist())):
@@ -353,11 +376,10 @@ def _merged(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numberer = Numberer(vocabulary, 0)
-        for batch in batches:
+        for batch in _slices(batches):
             made = []
             for text in batch.column("__text").to_pylist():
-                if len(numberer.numbers) + len(numberer.pieces) > REMEMBERED:
-                    numberer.forget()
+                numberer.make_room()
                 made.append(numberer(text))
             yield _ids_batch([batch.column(c) for c in keep], keep, made)
 
@@ -376,7 +398,7 @@ def _ids_batch(kept: list[pa.Array], keep: list[str], made: list[bytes]) -> pa.R
 
 
 def encoded(
-    docs: DataFrame, encoder: Encoder, keep: list[str], text: str = "text", native: bool = False
+    docs: DataFrame, encoder: Encoder, keep: list[str], text: str = "text", native: bool = True
 ) -> DataFrame:
     """The ``keep`` columns, ``ids``, and these as little-endian 32-bit integers, of every row."""
     names = {c: f"__kept{k}" for k, c in enumerate(keep)}
@@ -392,7 +414,7 @@ def encoded(
     return made.select(*(F.col(n).alias(c) for c, n in names.items()), "ids", "ids_binary")
 
 
-def token_digests(docs: DataFrame, vocabulary: Vocabulary, native: bool = False) -> DataFrame:
+def token_digests(docs: DataFrame, vocabulary: Vocabulary, native: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     encoder = Encoder(docs.sparkSession, vocabulary)
     ids = encoded(docs, encoder, ["doc_id"], native=native)

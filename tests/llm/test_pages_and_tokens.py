@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from plantext import shown_plan
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -199,6 +200,25 @@ def test_tokens_of_documents(spark, data, reference, tmp_path):
         assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == digests(texts[x.doc_id], reference)
 
 
+def test_merges_are_folded_by_default(spark, data, reference, monkeypatch):
+    """Queries that name no form of the merges take the fold, also when tasks begin anew."""
+    def heap(*_):
+        raise AssertionError("merged by the heap")
+
+    monkeypatch.setattr(bpe, "_merged", heap)
+    monkeypatch.setattr(bpe, "REMEMBERED", 300)
+    monkeypatch.setattr(bpe, "PIECES", 20)
+    docs = read(spark, data, "documents").limit(40)
+    encoder = bpe.Encoder(spark, public_vocabulary())
+    plan = shown_plan(bpe.encoded(docs, encoder, ["doc_id"]))
+    assert "aggregate(" in plan
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for x in bpe.token_digests(docs, public_vocabulary()).collect():
+        assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == digests(texts[x.doc_id], reference)
+    rows = corpus_pipeline.encode(spark, docs, data).collect()
+    assert len(rows) == 40 and all(r.decodes and r.ids == reference.encode_ordinary(texts[r.doc_id] or "") for r in rows)
+
+
 def test_tokens_of_no_rows(no_docs):
     assert bpe.token_digests(no_docs, public_vocabulary()).count() == 0
     assert bpe.token_digests(no_docs, public_vocabulary(), native=True).count() == 0
