@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,9 @@ PAYLOAD = np.uint64((1 << 60) - 1)
 #: A block is closed at so many ids or documents.
 BLOCK_IDS, BLOCK_DOCUMENTS = 1 << 20, 1 << 16
 #: Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 5 << 17
+REMEMBERED = 1 << 20
+#: Texts encoded together.
+TEXTS = 512
 #: Stands for the ids of what cannot be encoded by itself.
 NO_CUT = False
 #: Marks that this kind of tokenizer keeps apart from a letter before them.
@@ -235,7 +237,10 @@ class Encoder:
         self.alone.update((c, np.array(e.ids, np.uint32).tobytes()) for c, e in zip(new, coded))
         return b"".join(map(self.alone.__getitem__, chunks))
 
-    def __call__(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+    def __call__(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        return [x for k in range(0, len(texts), TEXTS) for x in self._together(texts[k : k + TEXTS])]
+
+    def _together(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         if len(self.alone) + len(self.spaced) > REMEMBERED:
             self.forget()
         get, waiting, new = self.spaced.get, [], set()
@@ -287,7 +292,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = 0, text: str =
             names = ["shard", "block", "first", "n_ids", "doc_ids", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        for batch in batches:
+        for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
             coded = encode(batch.column("text").to_pylist())
             for doc_id, x in zip(batch.column("doc_id").to_pylist(), coded):
                 ids.append(doc_id)

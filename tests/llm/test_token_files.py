@@ -66,6 +66,14 @@ def test_memory_is_bounded(monkeypatch):
     assert len(encode.spaced) < 20
 
 
+def test_memory_is_bounded_within_a_call(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 8)
+    encode = tokenfiles.Encoder(TOKENIZER, 0)
+    texts = [f"a{k} b{k} c{k} common d" for k in range(3 * 512 + 1)]
+    assert [x.tolist() for x in encode(texts)] == library_ids(texts)
+    assert len(encode.spaced) < 3 * 512
+
+
 def test_query_gives_every_documents_ids(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     got = sorted(QUERIES["op12_token_files"](spark, data).collect(), key=lambda r: r.doc_id)
