@@ -20,6 +20,25 @@ from pagequarry.functions.markup import PageReader
 from pagequarry.schemas import DOM
 from pagequarry.settings import ERROR_PARSE, NOISE_TAGS
 
+#: Pages, and bytes of their markup, that a step works on together; a longer page stands alone.
+PAGES_TOGETHER, BYTES_TOGETHER = 256, 1 << 20
+
+
+def _parts(batches: Iterator[pa.RecordBatch], html: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, so that what a step holds for its pages does not grow with a batch."""
+    for batch in batches:
+        sizes = [0] * batch.num_rows
+        if html is not None:
+            sizes = pc.fill_null(pc.binary_length(batch.column(html)), 0).to_pylist()
+        start = held = 0
+        for k, size in enumerate(sizes):
+            if k > start and (k - start >= PAGES_TOGETHER or held + size > BYTES_TOGETHER):
+                yield batch.slice(start, k - start)
+                start, held = k, 0
+            held += size
+        if start < len(sizes):
+            yield batch.slice(start)
+
 
 def _dom_array(html: pa.Array, reader: Callable[[str], PageReader]) -> pa.Array:
     """Each page becomes part of flat value lists plus offsets: no per-node objects in Arrow."""
@@ -91,7 +110,7 @@ def page_dom(
     names = [f.name for f in kept]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, html):
             dom = _dom_array(batch.column(html), reader)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), dom], [*names, "dom"]
@@ -122,7 +141,7 @@ def normalize(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     names, chosen = table.columns, set(columns)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             arrays = [
                 _nfkc(batch.column(n)) if n in chosen else batch.column(n) for n in names
             ]
@@ -141,7 +160,7 @@ def normalize_parts(table: DataFrame, struct: str, columns: Sequence[str]) -> Da
     names, chosen = [f.name for f in kept], set(columns)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             parts = dict(zip([f.name for f in fields], batch.column(struct).flatten()))
             arrays = [_nfkc(a) if n in chosen else a for n, a in parts.items()]
             yield pa.RecordBatch.from_arrays(

@@ -2,8 +2,10 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 
+from pagequarry.functions import dom
 from pagequarry.functions.markup import PageReader
 
 
@@ -120,3 +122,17 @@ def test_time_grows_with_size_only(piece):
     started = time.time()
     PageReader(piece * (200_000 // len(piece)))
     assert time.time() - started < 5
+
+
+def test_pages_read_together_are_bounded():
+    """However many rows a batch has, and however long its pages are."""
+    long = "<p>" + "x" * dom.BYTES_TOGETHER
+    html = [None, "<p>a", *["<p>b" * 3000] * 1000, long, "<p>c", *["<p>d"] * 2000, long]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(html))), pa.array(html)], ["page_id", "html"])
+    parts = list(dom._parts([batch, batch.slice(0, 0), batch.slice(5, 3)], "html"))
+    assert pa.Table.from_batches(parts).column("page_id").to_pylist() == [*range(len(html)), 5, 6, 7]
+    for part in parts:
+        assert 0 < part.num_rows <= dom.PAGES_TOGETHER
+        size = sum(len(x or "") for x in part.column("html").to_pylist())
+        assert size <= dom.BYTES_TOGETHER or part.num_rows == 1
+    assert max(part.num_rows for part in dom._parts([batch])) == dom.PAGES_TOGETHER
