@@ -52,6 +52,8 @@ HELD, GATHERED = 500_000, 1_000_000
 BLOCK, LOOKED = 100_000, 10_000
 #: Such rows that a task takes in at once.
 ROWS = 16
+#: Texts that a task takes in at once.
+TEXTS = 512
 #: Words counted before a task hands its counts on.
 COUNTED = 400_000
 
@@ -65,7 +67,8 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 def _batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list]:
     for batch in batches:
-        yield batch.column(column).to_pylist()
+        for k in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(k, TEXTS).column(column).to_pylist()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -124,6 +127,18 @@ class _Memo(dict):
         made = self[word] = self.units(word)
         return made
 
+    def many(self, words: list[bytes]) -> np.ndarray:
+        """Units of words in order; those not remembered are looked up together."""
+        found = list(map(self.get, words))
+        if None in found:
+            new = list({w for w, x in zip(words, found) if x is None})
+            made = dict(zip(new, self.units.many(new)))
+            if len(self) + len(made) > 300_000:
+                self.clear()
+            self.update(made)
+            found = [made[w] if x is None else x for w, x in zip(words, found)]
+        return np.array(found, np.int64)
+
 
 def unit_bigrams(texts: DataFrame, units: Units) -> DataFrame:
     """(a, b, n): how often unit b follows unit a; a text's first word follows the end."""
@@ -249,6 +264,17 @@ class Numbers:
             return k + 1
         return self.endings.get(ending(word), self.size - 1)
 
+    def many(self, words: list[bytes]) -> list[int]:
+        """Numbers of the units of many words, found in one search."""
+        keys = np.array([_key(w) for w in words], np.int64)
+        at = self.keys.searchsorted(keys)
+        held = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        held[inside] = self.keys[at[inside]] == keys[inside]
+        get, rest = self.endings.get, self.size - 1
+        return [0 if w == END else k if h else get(ending(w), rest)
+                for w, h, k in zip(words, held.tolist(), (at + 1).tolist())]
+
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their counts."""
@@ -292,8 +318,7 @@ def neighbours(texts: DataFrame, shared, size: int, tokens: int) -> DataFrame:
 
         for values in _batches(batches, "text"):
             for text in values:
-                words = tokens_of(text)
-                b = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+                b = memo.many(tokens_of(text))
                 a = np.concatenate([[0], b[:-1]])
                 keys += [a * (2 * size) + 2 * b, b * (2 * size) + 2 * a + 1]
                 held += 2 * len(b)
@@ -492,8 +517,7 @@ def _scorer(shared):
         tokens = tokens_of(text)
         found = list(map(logs.get, tokens))
         rest = Counter(w for w, x in zip(tokens, found) if x is None)
-        u = np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
-        c = cls[u]
+        c = cls[memo.many(tokens)]
         by_class = trans[np.concatenate([[0], c[:-1]]), c].sum() - within[c].sum()
         known = [x for x in found if x is not None]
         return len(tokens), len(known), math.fsum(known), float(by_class), list(rest), list(rest.values())

@@ -283,3 +283,12 @@ def test_scores_of_odd_rows(odd_docs, no_docs):
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
     assert sorted(r.n_tokens for r in rows)[:4] == [1, 1, 1, 1]
     assert brown.lm_scores(no_docs).count() == 0
+
+
+def test_units_of_many_words_are_those_of_each():
+    words = [f"w{k % 700}".encode() for k in range(2000)] + [brown.END, b"x", "漢字".encode()]
+    for keys in ([], sorted(brown._key(w) for w in words[:300:3])):
+        numbers = brown.Numbers(np.array(keys, np.int64), [brown.ending(b"w1"), brown.ending(b"x")])
+        memo = brown._Memo(numbers)
+        for part in (words[:500], words, []):
+            assert memo.many(part).tolist() == [numbers(w) for w in part]
