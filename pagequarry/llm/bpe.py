@@ -6,10 +6,11 @@ anew). Words that are tokens as they stand have their rank as id. There are two
 merges, with the same ids, both over a literal map of ranks:
 
 * folded in Spark's higher-order functions (``native=True``, the default): the task numbers its
-  words and puts each new one into a row ahead of the texts that use it; the fold keeps a word's ids
-  and the ranks of its neighbouring pairs, and each step merges the leftmost pair of least rank and
-  looks up the two pairs that this makes; then the ids are put in the place of the numbers. The
-  fold is quadratic in a word's length, so words of more than ``LONG`` bytes take the heap.
+  words and puts the bytes of each new one into a row ahead of the texts that use it; the fold keeps a
+  word's ids and the ranks of its neighbouring pairs, and each step merges the leftmost pair of least
+  rank and looks up the two pairs that this makes; then the ids are put in the place of the numbers.
+  The fold is quadratic in a word's length, so words of more than ``LONG`` bytes take the heap, as
+  do all words of vocabularies of more than 2**17 tokens, for which its numbers have no room.
 * in the task, by a heap of pairs (``native=False``).
 
 Spark interprets expressions inside higher-order functions, so the fold costs several times the
@@ -36,11 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rank of a pair that does not merge.
-NO_MERGE = 1 << 30
-PAIR_BUCKETS = 1 << 16
 #: Longer words (in bytes) are merged by a heap.
 LONG = 1024
+#: From so many tokens on, a step of the fold cuts the tokens instead of going over all.
+SHORT = 32
 #: Distinct words a task holds, pieces between spaces, and words it puts in one row.
 REMEMBERED, PIECES, WORDS_IN_ROW = 1 << 19, 1 << 17, 2048
 #: Texts taken in or handed on together.
@@ -54,10 +54,6 @@ class Vocabulary:
     ranks: dict[bytes, int]
     pattern: str
 
-    @cached_property
-    def shift(self) -> int:
-        return max(self.ranks.values()).bit_length() + 1
-
     def pairs(self) -> dict[tuple[int, int], int]:
         """Every pair of tokens whose bytes together are a token."""
         found = {}
@@ -82,13 +78,14 @@ def read_vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 def _literal(spark: SparkSession, **columns: pa.Array) -> Column:
-    """One struct of arrays as a scalar subquery, which is a literal when the query runs.
+    """One struct of arrays, binary ones as strings of these bytes, as a scalar subquery, which is a literal when the query runs.
 
     It has to be added to a table as a column first (``withColumn``), because subqueries must
     not stand within higher-order functions; a column used once is put in its place.
     """
     one = pa.table({k: pa.ListArray.from_arrays([0, len(v)], v) for k, v in columns.items()})
-    return spark.createDataFrame(one).select(F.struct(*columns).alias("x")).scalar()
+    given = [F.col(k).cast("array<string>").alias(k) if pa.types.is_binary(v.type) else k for k, v in columns.items()]
+    return spark.createDataFrame(one).select(F.struct(*given).alias("x")).scalar()
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -96,8 +93,35 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _pair_bucket(left, right):
-    return (left * 40503 + right) % PAIR_BUCKETS
+def _placed(pairs: dict[tuple[int, int], int], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of left tokens and one table: a pair's entry stands at its left token's offset plus the right token.
+
+    An entry is left token and rank; free ones have a left token that no pair has.
+    """
+    rights: dict[int, list[int]] = {}
+    for left, right in pairs:
+        rights.setdefault(left, []).append(right)
+    tokens, size = 1 << bits, 1 << bits + 4
+    while True:
+        offsets = np.zeros(tokens, np.int64)
+        entries = np.full(size + tokens, tokens - 2 << bits, np.int64)
+        used = np.zeros(size + tokens, bool)
+        for left, row in sorted(rights.items(), key=lambda x: (-len(x[1]), x[0])):
+            row = np.array(row)
+            first = left * 2654435761 % size
+            for at in range(first, first + size, 64):
+                tried = (at + np.arange(64)) % size
+                good = tried[~used[tried[:, None] + row].any(axis=1)]
+                if len(good):
+                    break
+            else:
+                break
+            at = offsets[left] = good[0]
+            used[at + row] = True
+            entries[at + row] = [(left << bits) + pairs[left, r] for r in row.tolist()]
+        else:
+            return offsets, entries
+        size *= 2  # rows do not fit between each other
 
 
 class Encoder:
@@ -105,95 +129,102 @@ class Encoder:
 
     def __init__(self, spark: SparkSession, vocabulary: Vocabulary) -> None:
         self.spark, self.vocabulary = spark, vocabulary
-        shift = vocabulary.shift
-        buckets: list[list[int]] = [[NO_MERGE] for _ in range(PAIR_BUCKETS)]
-        for (left, right), rank in vocabulary.pairs().items():
-            buckets[_pair_bucket(left, right)] += [((left + 1) << shift) + right, rank]
-        singles = [vocabulary.ranks[bytes([b])] for b in range(256)]
-        first = [vocabulary.ranks.get(bytes([a, b]), NO_MERGE) for a in range(256) for b in range(256)]
-        self.tables = _literal(
-            spark,
-            pairs=pa.array(buckets, pa.list_(pa.int64())),
-            singles=pa.array(singles, pa.int64()),
-            first=pa.array(first, pa.int64()),
-        )
         size = max(vocabulary.ranks.values()) + 1
+        #: Bits of a token or rank, and of the byte at which a token starts; the largest token is the edge of a word.
+        self.bits, self.starts = (size + 1).bit_length(), (LONG + 2).bit_length()
         pieces: list[bytes | None] = [None] * size
         for token, rank in vocabulary.ranks.items():
             pieces[rank] = token
         self.pieces = _literal(spark, pieces=pa.array(pieces, pa.binary()))
 
-    def _rank(self, t: Column, left: Column, right: Column) -> Column:
-        """Rank of a pair: the entry after its key in its bucket; the first entry if absent."""
-        key = (left + 1) * (1 << self.vocabulary.shift) + right
-        bucket = F.get(t["pairs"], _pair_bucket(left, right).cast("int"))
-        return F.get(bucket, F.array_position(bucket, key).cast("int"))
+    @property
+    def foldable(self) -> bool:
+        """Whether a number of the fold has room for the tokens."""
+        return 3 * self.bits + self.starts < 63
+
+    @cached_property
+    def tables(self) -> Column:
+        ranks, bits, low = self.vocabulary.ranks, self.bits, self.bits + self.starts
+        edge = (1 << bits) - 1
+        offsets, entries = _placed(self.vocabulary.pairs(), bits)
+        singles = [ranks[bytes([b])] for b in range(256)]
+        none = edge << bits + low
+        first = [none if (r := ranks.get(bytes([a, b]))) is None else r << low for a in range(256) for b in range(256)]
+        first = [x + singles[k >> 8] for k, x in enumerate(first)] + [none + x for x in singles] + [none + edge]
+        return _literal(
+            self.spark,
+            offsets=pa.array(offsets, pa.int32()),
+            entries=pa.array(entries << low, pa.int64()),
+            first=pa.array(first, pa.int64()),
+        )
 
     def fold(self, t: Column, word: Column) -> Column:
         """Ids of one word of at most ``LONG`` bytes: all ranked merges folded over its bytes.
 
-        The fold's state has one number for each token: the rank of the pair it makes with the
-        next one, the byte it starts at, its id. So the least number is the leftmost pair of least rank.
+        The word comes as ``byte_pairs`` has it. The fold's state has one number for each token, and one for the
+        edge on either side: what the table's entry for it and the next token differs in from one of
+        its own, the rank of the pair that they make, the byte it starts at, its id. So the least number is the
+        leftmost pair of least rank, and pairs that do not merge are larger than all that do.
         """
-        ids, starts = 1 << self.vocabulary.shift, 1 << LONG.bit_length()
-        rest = ids * starts
-        if NO_MERGE.bit_length() + rest.bit_length() > 63:
-            raise ValueError("too many tokens for the fold")
-
-        def number(rank: Column, start: Column, token: Column) -> Column:
-            return F.coalesce(rank, F.lit(NO_MERGE)) * rest + start * ids + token
-
-        def token(x: Column) -> Column:
-            return x.bitwiseAND(ids - 1)
-
-        def start(codes: Column) -> Column:
-            return F.transform(
-                codes,
-                lambda c, i: number(F.get(t["first"], c * 256 + F.get(codes, i + 1)), i, F.get(t["singles"], c)),
-            )
-
-        def merge(s: Column, least: Column, k: Column) -> Column:
-            m = F.shiftright(least, rest.bit_length() - 1)
-            following = F.coalesce(self._rank(t, m, token(F.get(s, k + 1))), F.lit(NO_MERGE))
-            made = following * rest + least.bitwiseAND(rest - ids) + m
-            left = F.get(s, k - 2)
-            before = self._rank(t, token(left), m) * rest + left.bitwiseAND(rest - 1)
-            return F.flatten(
-                F.array(
-                    F.slice(s, 1, F.greatest(k - 2, F.lit(0))),
-                    F.when(k > 1, F.array(before, made)).otherwise(F.array(made)),
-                    F.slice(s, k + 2, LONG),
-                )
+        bits, low = self.bits, self.bits + self.starts
+        token, start = F.lit((1 << bits) - 1), F.lit((1 << low) - (1 << bits))
+
+        def pair(left: Column, right: Column) -> Column:
+            at = F.get(t["offsets"], left.cast("int")) + right
+            return F.get(t["entries"], at.cast("int"))
+
+        def merge(s: Column, k: Column) -> Column:
+            least, left = F.get(s, k), F.get(s, k - 1)
+            m, of = F.shiftright(least, low), left.bitwiseAND(token)
+            following = pair(m, F.get(s, k + 2).bitwiseAND(token))
+            # (left << bits + low) ^ left in one product
+            made = following.bitwiseXOR(m * ((1 << bits + low) + 1)).bitwiseXOR(least.bitwiseAND(start))
+            ahead = pair(of, m).bitwiseXOR(of * ((1 << bits + low) + 1)).bitwiseXOR(left.bitwiseAND(start))
+            # cutting has a high cost of its own, going over all numbers one for each
+            put = F.transform(
+                s, lambda x, i: F.when(i == k, made).when(i == k - 1, ahead).when(i == k + 1, F.lit(None)).otherwise(x)
             )
+            cut = F.flatten(F.array(F.slice(s, 1, k - 1), F.array(ahead, made), F.slice(s, k + 3, LONG + 2)))
+            return F.when(F.size(s) < SHORT, F.filter(put, F.isnotnull)).otherwise(cut)
 
         def step(s: Column) -> Column:
-            return _let(
-                F.array_min(s),
-                lambda least: F.when(least >= NO_MERGE * rest, s).otherwise(
-                    _let(F.array_position(s, least).cast("int"), lambda k: merge(s, least, k))
-                ),
-            )
-
-        def folded(codes: Column) -> Column:
-            return F.aggregate(
-                F.slice(codes, 2, LONG), start(codes), lambda s, _: step(s), lambda s: F.transform(s, token)
-            )
-
-        chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        return _let(F.transform(chars, F.ascii), folded)
+            least = F.array_min(s)
+            at = (F.array_position(s, least) - 1).cast("int")
+            return F.when(least >= 1 << bits + low, s).otherwise(_let(at, lambda k: merge(s, k)))
+
+        begun = F.transform(word, lambda c, i: F.get(t["first"], c) + i * (1 << bits))
+        return F.aggregate(
+            F.slice(word, 4, LONG),
+            begun,
+            lambda s, _: step(s),
+            lambda s: F.transform(F.slice(s, 2, F.size(s) - 2), lambda x: x.bitwiseAND(token).cast("int")),
+        )
 
     def decode(self, encoded: DataFrame, ids: str = "ids", out: str = "bytes") -> DataFrame:
         """``encoded`` with the bytes of its ids: their binary pieces joined."""
         made = _let(
             F.col("__pieces"),
             lambda p: F.array_join(
-                F.transform(F.col(ids), lambda i: F.get(p["pieces"], i).cast("string")), ""
+                F.transform(F.col(ids), lambda i: F.get(p["pieces"], i)), ""
             ),
         )
         tables = encoded.select("*", self.pieces.alias("__pieces"))
         return tables.select(*encoded.columns, made.cast("binary").alias(out))
 
 
+def byte_pairs(words: list[str]) -> pa.ListArray:
+    """Every word's bytes, each with the one after it; the last has none, and on either side is the edge."""
+    coded = [w.encode() for w in words]
+    ends = np.cumsum([len(w) for w in coded], dtype=np.int64)
+    codes = np.frombuffer(b"".join(coded), np.uint8).astype(np.int32)
+    pairs = codes * 256 + np.append(codes[1:], np.int32(0))[: len(codes)]
+    pairs[ends - 1] = 65536 + codes[ends - 1]
+    edge = 65536 + 256
+    starts = ends - np.diff(ends, prepend=0)
+    pairs = np.insert(pairs, np.concatenate([starts, ends]), edge)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends + 2 * np.arange(1, len(words) + 1)]), pa.int32()), pa.array(pairs))
+
+
 def encode_word(word: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
     """Ids of a word of any length: pairs in a heap, tokens in a linked list."""
     ids = [ranks[bytes([b])] for b in word]
@@ -233,11 +264,15 @@ class Numberer:
 
     def __init__(self, vocabulary: Vocabulary, longest: int) -> None:
         self.vocabulary, self.longest = vocabulary, longest
-        self.pairs = vocabulary.pairs()
         self.split, self.ranks = vocabulary.splitter(), vocabulary.ranks
         self.first = max(vocabulary.ranks.values()) + 1
         self.forget()
 
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """Only words that the heap merges need them."""
+        return self.vocabulary.pairs()
+
     def forget(self) -> None:
         self.numbers: dict[str, bytes] = {}
         self.pieces: dict[str, bytes | bool] = {}
@@ -300,7 +335,7 @@ class Numberer:
 
 _NUMBERED = [
     T.StructField("numbers", T.BinaryType()),
-    T.StructField("words", T.ArrayType(T.StringType())),
+    T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType()))),
     T.StructField("begin", T.BooleanType()),
 ]
 
@@ -331,14 +366,15 @@ def _numbered(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: st
                     coded.append(numberer(texts[end]))
                     end += 1
                 new, numberer.new = numberer.new, []
-                rows = [new[k : k + WORDS_IN_ROW] for k in range(0, len(new), WORDS_IN_ROW)] or [[]]
-                first = [begin and k == 0 for k in range(len(rows))]
+                rows = [*range(0, len(new), WORDS_IN_ROW), len(new)] if new else [0, 0]
+                first = [begin and k == 0 for k in range(len(rows) - 1)]
                 begin = False
-                nothing = [pa.nulls(len(rows), f.type) for f in arrow][: len(keep)]
-                made = [pa.nulls(len(rows), pa.binary()), pa.array(rows, pa.list_(pa.string())), pa.array(first)]
+                nothing = [pa.nulls(len(first), f.type) for f in arrow][: len(keep)]
+                words = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), byte_pairs(new))
+                made = [pa.nulls(len(first), pa.binary()), words, pa.array(first)]
                 yield pa.RecordBatch.from_arrays([*nothing, *made], schema=arrow)
                 part = batch.slice(start, end - start)
-                made = [pa.array(coded, pa.binary()), pa.nulls(len(coded), pa.list_(pa.string())), pa.nulls(len(coded), pa.bool_())]
+                made = [pa.array(coded, pa.binary()), pa.nulls(len(coded), words.type), pa.nulls(len(coded), pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], schema=arrow)
                 start = end
 
@@ -348,24 +384,41 @@ def _numbered(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: st
 def _with_ids(folded: DataFrame, keep: list[str], first: int) -> DataFrame:
     """Ids in the place of the numbers, from the rows of words that came ahead in the same partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = [i.to_bytes(4, "little") for i in range(first)]
-        table = tokens
+        # ids of all numbers one after the other, where each number's end; a token has itself
+        ids, ends = np.arange(first, dtype="<i4"), np.arange(first + 1)
+        new_ids, new_ends = [], []
         for batch in _slices(batches):
             numbers, begin, words = (batch.column(c) for c in ("numbers", "begin", "word_ids"))
-            at, made = [], []
-            for k, (text, new) in enumerate(zip(numbers, begin.to_pylist())):
+            at = []
+            for k, new in enumerate(begin.to_pylist()):
                 if new is None:
                     at.append(k)
-                    made.append(b"".join(map(table.__getitem__, np.frombuffer(text.as_buffer(), "<u4").tolist())))
                     continue
+                if at:  # texts before these words
+                    yield made(batch, at, numbers, ids, ends)
+                    at = []
                 if new:
-                    table = tokens.copy()
+                    ids, ends, new_ids, new_ends = ids[:first], ends[: first + 1], [], []
                 of = words[k].values
-                raw = of.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                cuts = np.concatenate([[0], np.cumsum(4 * of.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
-                table.extend(raw[a:b] for a, b in zip(cuts, cuts[1:]))
+                new_ids.append(of.flatten().to_numpy(zero_copy_only=False).astype("<i4"))
+                last = (new_ends[-1] if new_ends else ends)[-1]
+                new_ends.append(last + np.cumsum(of.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64))
+                if k + 1 == len(begin) or begin[k + 1].as_py() is None:
+                    ids, ends = np.concatenate([ids, *new_ids]), np.concatenate([ends, *new_ends])
+                    new_ids, new_ends = [], []
             if at:
-                yield _ids_batch([batch.column(c).take(pa.array(at)) for c in keep], keep, made)
+                yield made(batch, at, numbers, ids, ends)
+
+    def made(batch: pa.RecordBatch, at: list[int], numbers: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        texts = [np.frombuffer(numbers[k].as_buffer(), "<u4") for k in at]
+        of = np.concatenate(texts).astype(np.int64)
+        starts, sizes = ends[of], ends[of + 1] - ends[of]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        flat = ids[np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])]
+        cuts = upto[np.concatenate([[0], np.cumsum([len(x) for x in texts])])]
+        raw = flat.tobytes()
+        return _ids_batch([batch.column(c).take(pa.array(at)) for c in keep], keep,
+                          [raw[4 * a : 4 * b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())])
 
     return folded.mapInArrow(run, _ids_schema(folded, keep))
 
@@ -404,7 +457,7 @@ def encoded(
     names = {c: f"__kept{k}" for k, c in enumerate(keep)}
     rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(text).alias("__given"))
     inner = list(names.values())
-    if not native:
+    if not native or not encoder.foldable:
         made = _merged(rows, encoder.vocabulary, inner, "__given")
         return made.select(*(F.col(n).alias(c) for c, n in names.items()), "ids", "ids_binary")
     numbered = _numbered(rows, encoder.vocabulary, inner, "__given").withColumn("__pairs", encoder.tables)

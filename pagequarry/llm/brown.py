@@ -52,8 +52,8 @@ HELD, GATHERED = 500_000, 1_000_000
 BLOCK, LOOKED = 100_000, 10_000
 #: Such rows that a task takes in at once.
 ROWS = 16
-#: Texts that a task takes in at once.
-TEXTS = 512
+#: Texts that a task takes in at once, and tokens of texts that it looks up together.
+TEXTS, TOKENS = 512, 50_000
 #: Words counted before a task hands its counts on.
 COUNTED = 400_000
 
@@ -303,7 +303,8 @@ def neighbours(texts: DataFrame, shared, size: int, tokens: int) -> DataFrame:
 
         def emit() -> Iterator[pa.RecordBatch]:
             key, n = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_counts=True)
-            unit, beside = key // (2 * size), key % (2 * size)
+            a, b = key // size, key % size
+            unit, beside, n = np.concatenate([a, b]), np.concatenate([2 * b, 2 * a + 1]), np.concatenate([n, n])
             part = unit % parts  # units are numbered by hash
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -316,15 +317,27 @@ def neighbours(texts: DataFrame, shared, size: int, tokens: int) -> DataFrame:
                         ["part", "unit", "beside", "n"],
                     )
 
+        def take(words: list[bytes]) -> int:
+            """Of whole texts: each ends with unit 0, which precedes the next one's first word, too."""
+            b = memo.many(words)
+            keys.append(np.concatenate([[0], b[:-1]]) * size + b)
+            return len(b)
+
         for values in _batches(batches, "text"):
+            words: list[bytes] = []
             for text in values:
-                b = memo.many(tokens_of(text))
-                a = np.concatenate([[0], b[:-1]])
-                keys += [a * (2 * size) + 2 * b, b * (2 * size) + 2 * a + 1]
-                held += 2 * len(b)
-                if held > HELD:
-                    yield from emit()
-                    keys, held = [], 0
+                words += tokens_of(text)
+                if len(words) >= TOKENS:
+                    held += take(words)
+                    words = []
+                    if held > HELD:
+                        yield from emit()
+                        keys, held = [], 0
+            if words:
+                held += take(words)
+            if held > HELD:
+                yield from emit()
+                keys, held = [], 0
         yield from emit()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,11 +383,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """While this holds, tasks are handed ``ROWS`` rows at a time: rows of blocks are large."""
+def _small_batches(spark: SparkSession, rows: int = ROWS) -> Iterator[None]:
+    """While this holds, tasks are handed so many rows at a time: texts are large, rows of blocks more so."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, ROWS)
+    spark.conf.set(name, rows)
     try:
         yield
     finally:
@@ -402,6 +415,29 @@ def class_table(blocks: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
     return out.reshape(k, k)
 
 
+def coarse_bigrams(blocks: DataFrame, unit_of: np.ndarray, size: int) -> np.ndarray:
+    """How often a unit of a coarser kind follows another; ``unit_of`` gives that of each unit."""
+    shared = blocks.sparkSession.sparkContext.broadcast(unit_of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, table = shared.value, np.zeros(size * size, np.int64)
+        for units, sizes, beside, n in _rows(batches):
+            after = beside % 2 == 0
+            at = np.repeat(of[units] * size, sizes)[after] + of[beside[after] // 2]
+            np.add.at(table, at, n[after])
+        at = np.flatnonzero(table)
+        for k in range(0, len(at), 50_000):
+            part = at[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(table[part], pa.int64())], ["at", "n"])
+
+    with _small_batches(blocks.sparkSession):
+        cells = blocks.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    out = np.zeros(size * size)
+    out[cells["at"].to_numpy()] = cells["n"].to_numpy()
+    return out.reshape(size, size)
+
+
 def many_gains(table: np.ndarray, o: np.ndarray, i: np.ndarray, loop: np.ndarray, old: np.ndarray) -> np.ndarray:
     """What ``gains`` gives, for many units at once: a row for each."""
     units = np.arange(len(old))
@@ -509,18 +545,32 @@ def transitions(table: np.ndarray) -> np.ndarray:
 def _scorer(shared):
     """Per text: tokens, known tokens and log counts of frequent words, class part, the rest."""
     words, counts, keys, endings, cls, trans, within = shared.value
-    logs = dict(zip(words, np.log10(np.array(counts, float) + 0.5).tolist()))
     memo = _Memo(Numbers(keys, endings))
+    # a frequent word has its place in the list, from which its log count and class follow; others a class alone
+    place = dict(zip(words, range(len(words))))
+    logs, cls_of = np.log10(np.array(counts, float) + 0.5), np.zeros(len(words), np.int64)
+    for k in range(0, len(words), TOKENS):
+        cls_of[k : k + TOKENS] = cls[memo.units.many(words[k : k + TOKENS])]
     trans, within = np.array(trans), np.array(within)
 
     def step(text: str | None) -> tuple:
         tokens = tokens_of(text)
-        found = list(map(logs.get, tokens))
-        rest = Counter(w for w, x in zip(tokens, found) if x is None)
-        c = cls[memo.many(tokens)]
+        at = list(map(place.get, tokens))
+        rest = [w for w, x in zip(tokens, at) if x is None] if None in at else []
+        if rest:
+            places = np.array([-1 if x is None else x for x in at], np.int64)
+            held = places >= 0
+            c = np.zeros(len(tokens), np.int64)
+            c[~held] = cls[memo.many(rest)]
+            places = places[held]
+            c[held] = cls_of[places]
+        else:
+            places = np.array(at, np.int64)
+            c = cls_of[places]
         by_class = trans[np.concatenate([[0], c[:-1]]), c].sum() - within[c].sum()
-        known = [x for x in found if x is not None]
-        return len(tokens), len(known), math.fsum(known), float(by_class), list(rest), list(rest.values())
+        rare = Counter(rest)
+        known = logs[places].tolist()
+        return len(tokens), len(known), math.fsum(known), float(by_class), list(rare), list(rare.values())
 
     return step
 
@@ -535,7 +585,8 @@ def scores(docs: DataFrame, learn: F.Column | None = None) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     space = Workspace(docs.sparkSession, "brown")
     train = docs if learn is None else docs.filter(learn)
-    vocabulary = space.keep(word_counts(train), "words")
+    with _small_batches(docs.sparkSession, TEXTS):
+        vocabulary = space.keep(word_counts(train), "words")
     total = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total.n or 0), int(total.v or 0)
 
@@ -549,21 +600,25 @@ def scores(docs: DataFrame, learn: F.Column | None = None) -> DataFrame:
     ends = commonest(tail.groupBy("word").agg(F.sum("c").alias("c")), ENDINGS)
     endings = [b"\n" + e for e in ends]
     units = Units(names, endings)
-    bigrams = np.zeros((units.size, units.size))
-    cells = unit_bigrams(train, units).toArrow()
-    bigrams[cells["a"].to_numpy(), cells["b"].to_numpy()] = cells["n"].to_numpy()
-    first = exchange(bigrams)
-    # every word of LEAST occurrences by hash, with the class of its first unit
+    # every word of LEAST occurrences by hash, with its first unit
     words = flat_map_rows(
         vocabulary.filter((F.col("c") >= LEAST) & (F.col("word") != F.lit(END))), ["word"],
-        partial(_first_classes, names, endings, first.tolist()),
-        [T.StructField("key", T.LongType()), T.StructField("cls", T.ByteType())],
+        partial(_first_units, names, endings),
+        [T.StructField("key", T.LongType()), T.StructField("unit", T.IntegerType())],
     ).toArrow()
     keys, at = np.unique(words["key"].to_numpy(), return_index=True)
-    ends_at = first[units.size - 1 - len(endings) :]
-    cls = np.concatenate([[0], words["cls"].to_numpy()[at], ends_at]).astype(np.int8)
+    ends_at = np.arange(units.size - 1 - len(endings), units.size)
+    unit_of = np.concatenate([[0], words["unit"].to_numpy()[at], ends_at]).astype(np.int64)
     numbers = sc.broadcast((keys, endings))
-    cls, table = refined(space.keep(neighbours(train, numbers, len(cls), n), "neighbours"), cls)
+    with _small_batches(docs.sparkSession, TEXTS):
+        blocks = space.keep(neighbours(train, numbers, len(unit_of), n), "neighbours")
+    if vocabulary.filter(F.col("word").isin([F.lit(w) for w in names[-1:]]) & (F.col("c") < LEAST)).isEmpty():
+        bigrams = coarse_bigrams(blocks, unit_of, units.size)
+    else:  # some of the first units are rarer than the others
+        bigrams = np.zeros((units.size, units.size))
+        cells = unit_bigrams(train, units).toArrow()
+        bigrams[cells["a"].to_numpy(), cells["b"].to_numpy()] = cells["n"].to_numpy()
+    cls, table = refined(blocks, exchange(bigrams)[unit_of].astype(np.int8))
     known = sc.broadcast(cls)
     # words and tokens of each class
     of_class = flat_map_rows(
@@ -596,7 +651,8 @@ def scores(docs: DataFrame, learn: F.Column | None = None) -> DataFrame:
     ]
     numbered = docs.select("doc_id", "text")
     parts = map_rows(numbered, ["text"], partial(_scorer, shared), fields, ["doc_id"])
-    parts = space.keep(parts.withColumn("row", F.monotonically_increasing_id()), "parts")
+    with _small_batches(docs.sparkSession, TEXTS):
+        parts = space.keep(parts.withColumn("row", F.monotonically_increasing_id()), "parts")
     rest = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
     rest = rest.select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     found = (
@@ -619,9 +675,9 @@ def scores(docs: DataFrame, learn: F.Column | None = None) -> DataFrame:
     )
 
 
-def _first_classes(names: list[bytes], endings: list[bytes], cls: list[int]):
+def _first_units(names: list[bytes], endings: list[bytes]):
     units = Units(names, endings)
-    return lambda word: [(_key(bytes(word)), cls[units(bytes(word))])]
+    return lambda word: [(_key(bytes(word)), units(bytes(word)))]
 
 
 def _class_counter(numbers, known):
