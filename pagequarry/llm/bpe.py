@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from pagequarry.session import bound_batches
+
 #: Longer words (in bytes) are merged by a heap.
 LONG = 1024
 #: From so many tokens on, a step of the fold cuts the tokens instead of going over all.
@@ -453,7 +455,11 @@ def _ids_batch(kept: list[pa.Array], keep: list[str], made: list[bytes]) -> pa.R
 def encoded(
     docs: DataFrame, encoder: Encoder, keep: list[str], text: str = "text", native: bool = True
 ) -> DataFrame:
-    """The ``keep`` columns, ``ids``, and these as little-endian 32-bit integers, of every row."""
+    """The ``keep`` columns, ``ids``, and these as little-endian 32-bit integers, of every row.
+
+    Its Python steps hold a batch of texts, or of their ids, at once, so the session's batches are bounded.
+    """
+    bound_batches(docs.sparkSession)
     names = {c: f"__kept{k}" for k, c in enumerate(keep)}
     rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(text).alias("__given"))
     inner = list(names.values())

@@ -31,6 +31,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch as ``tune`` does, where the session allows more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = int(RUNTIME_SETTINGS[name])
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 @cache
 def _own_folder() -> str:
     """Folder of this process for a local session, removed when the process ends."""

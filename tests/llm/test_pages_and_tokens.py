@@ -219,6 +219,41 @@ def test_merges_are_folded_by_default(spark, data, reference, monkeypatch):
     assert len(rows) == 40 and all(r.decodes and r.ids == reference.encode_ordinary(texts[r.doc_id] or "") for r in rows)
 
 
+@pytest.mark.parametrize("short", [0, 6, 2000])
+def test_fold_cuts_or_goes_over_all_tokens(spark, reference, short, monkeypatch):
+    monkeypatch.setattr(bpe, "SHORT", short)
+    r = np.random.default_rng(6)
+    odd = ["".join(r.choice(list("abcdeté漢ñ"), int(r.integers(2, 40)))) for _ in range(60)] + ["", "aaaa" * 9, "x"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for x in bpe.token_digests(docs, public_vocabulary()).collect():
+        assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == digests(odd[x.doc_id], reference), odd[x.doc_id]
+
+
+def test_encoding_holds_little_at_once(spark, reference):
+    """Batches of texts are bounded, and pairs are made only for words that the heap merges."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        docs = spark.createDataFrame([(1, "some wrds")], "doc_id long, text string")
+        bpe.encoded(docs, bpe.Encoder(spark, public_vocabulary()), ["doc_id"])
+        assert int(spark.conf.get(name)) <= 1000
+    finally:
+        spark.conf.set(name, before)
+    numberer = bpe.Numberer(public_vocabulary(), bpe.LONG)
+    numberer("some wrds onleon")
+    assert numberer.new and "pairs" not in vars(numberer)
+    numberer("a" * 2000)
+    assert "pairs" in vars(numberer)
+
+
+def test_large_vocabularies_take_the_heap(spark, reference, monkeypatch):
+    monkeypatch.setattr(bpe.Encoder, "foldable", False)
+    docs = spark.createDataFrame([(1, "onleon thndanwh")], "doc_id long, text string")
+    (x,) = bpe.token_digests(docs, public_vocabulary()).collect()
+    assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == digests("onleon thndanwh", reference)
+
+
 def test_tokens_of_no_rows(no_docs):
     assert bpe.token_digests(no_docs, public_vocabulary()).count() == 0
     assert bpe.token_digests(no_docs, public_vocabulary(), native=True).count() == 0
