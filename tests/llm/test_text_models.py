@@ -292,3 +292,21 @@ def test_units_of_many_words_are_those_of_each():
         memo = brown._Memo(numbers)
         for part in (words[:500], words, []):
             assert memo.many(part).tolist() == [numbers(w) for w in part]
+
+
+def test_first_bigrams_from_neighbours(spark):
+    """The table of neighbours, made of whole slices, gives the first units' bigrams without another pass."""
+    r = np.random.default_rng(8)
+    texts = [" ".join(r.choice(["aa", "ba", "ca", "da", "xe", "ye"], int(r.integers(0, 30)))) for _ in range(300)] + [None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    words = [b"aa", b"ba", b"ca", b"da"]
+    endings = [brown.ending(b"xe")]
+    units = brown.Units(words[:2], [brown.ending(b"ca"), *endings])
+    keys, of = zip(*sorted((brown._key(w), units(w)) for w in words))
+    shared = spark.sparkContext.broadcast((np.array(keys, np.int64), endings))
+    blocks = brown.neighbours(docs, shared, len(keys) + 3, 5000).cache()
+    found = brown.coarse_bigrams(blocks, np.array([0, *of, units(b"xe"), units.size - 1]), units.size)
+    wanted = np.zeros((units.size, units.size))
+    for x in brown.unit_bigrams(docs, units).collect():
+        wanted[x.a, x.b] = x.n
+    assert (found == wanted).all() and found.sum() == sum(len(brown.tokens_of(t)) for t in texts)
